@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, sharding, url_rules
+from tessera.llm import chat, exact_dedup, packing, pieces, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_packing": packing.op4_packing,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
