@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ROWS)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context; they may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._tessera_shipped = True
+
+
 def runs(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about so many characters each (a longer text is a range of its own)."""
     first = total = 0
@@ -37,4 +54,30 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     small_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows, sorted by key, that never part a key's rows."""
+    import pyarrow.compute as pc
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key)
+        last, first = column[-1], column[0]
+        if held and first != held[-1].column(key)[-1]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if held and first == last:
+            held.append(batch)
+            continue
+        tail = pc.sum(pc.equal(column, last)).as_py()
+        if tail < batch.num_rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, batch.num_rows - tail)])
+            held = []
+        held.append(batch.slice(batch.num_rows - tail))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, packing, pieces, sharding, url_rules
+from tessera.llm import chat, exact_dedup, minhash, packing, pieces, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_packing": packing.op4_packing,
+    "op5_minhash_dedup": minhash.op5_minhash_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash_dedup": minhash.OP5_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
