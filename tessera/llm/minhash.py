@@ -46,7 +46,7 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _STRETCH = 1 << 22
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -77,7 +77,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             back = np.full(len(part), inverse, np.uint64)
             back[0] = 1
             np.cumprod(back, out=back)
-            hashes.append(_mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)))
+            hashes.append(mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)))
             firsts.append(s + at)
         at = end
     return (np.concatenate(hashes), np.concatenate(firsts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -93,14 +93,14 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     grams = np.zeros(n, np.uint64)
     for j in range(k):
         grams += words[j : j + n] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 % 2**64)
-    grams = _mix(grams)
+    grams = mix(grams)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(grams[a : b - k + 1]))
         elif b > a:
             whole = words[a:b] * (2 * np.arange(b - a, dtype=np.uint64) + np.uint64(1))
-            out.append(_mix(np.array([whole.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
+            out.append(mix(np.array([whole.sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -117,8 +117,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _class_of(s: np.ndarray) -> int:
     """64 bits that tell sets apart, as a signed long."""
-    m = _mix(s + np.uint64(0x632BE59BD9B4E019))
-    return int(_mix(np.array([m.sum(dtype=np.uint64) ^ _mix(np.array([np.bitwise_xor.reduce(m) + np.uint64(len(s))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
+    m = mix(s + np.uint64(0x632BE59BD9B4E019))
+    return int(mix(np.array([m.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(m) + np.uint64(len(s))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
@@ -373,7 +373,8 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: All pairs that share a shingle, then the least id reachable; for tables of a few thousand documents.
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
 s AS MATERIALIZED (
   SELECT doc_id, list_distinct(CASE WHEN len(words) >= 2 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])
                                     WHEN len(words) = 1 THEN words ELSE [] END) AS shingles FROM w),

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, minhash, packing, pieces, sharding, url_rules
+from tessera.llm import chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language.op1_language_id,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_packing": packing.op4_packing,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
