@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules
+from tessera.llm import chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
+    "op2_winnowing": winnow.op2_winnowing,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_packing": packing.op4_packing,
     "op5_minhash_dedup": minhash.op5_minhash_dedup,
