@@ -3,18 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import exact_dedup, language, minhash, packing, pii
 from tessera.llm.common import stash, table
-from tessera.llm.exact_dedup import keep_first_copies
 
+#: Language ID rejects texts without a letter and those whose calibrated probability is no better than a guess.
+LEAST_SCORE = 0.3
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first_copies(docs)
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; the model learns from this stage's own rows that are not held out."""
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    return language.keep_identified(docs, model, LEAST_SCORE)
 
-STAGES = [("exact dedup", exact_dedup)]
 
-#: Language ID, cascades of similarity groups and packing can't be put in SQL; tests compare with brute force.
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the document with the largest doc_id."""
+    return exact_dedup.keep_first_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8 the document with the smallest doc_id."""
+    return minhash.drop_near_duplicates(docs, k=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    return pii.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("exact dedup", exact_copies), ("MinHash near-dedup", near_copies), ("PII", personal_data), ("best-fit packing", best_fit_packing)]
+
+#: A trained classifier and tokenisation can't be put in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -59,3 +59,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     hot = F.broadcast(right.filter(F.col(weight) * HOT_KEYS > total))
     cold = right.filter(F.col(weight) * HOT_KEYS <= total)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept (doc_id, one row for each row to keep); of rows that repeat an id, one."""
+    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeats = bool(ids.filter("n > 1").take(1))
+    rows = docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id"]) if repeats else rows

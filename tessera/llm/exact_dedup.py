@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, join_hot, stash, table
+from tessera.llm.common import ascii_lower, join_hot, keep_ids, stash, table
 
 
 def text_digest(text: Column) -> Column:
@@ -63,9 +63,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact deduplication keeps, with all their columns; of rows that repeat id and text, one."""
-    kept = deduplicate(docs).filter("kept").select("doc_id").distinct()
-    rows = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    return keep_ids(docs, stash(deduplicate(docs).filter("kept").select("doc_id"), "kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

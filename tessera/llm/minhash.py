@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_arrow, runs, texts_of, whole_groups
-from tessera.llm.common import join_hot, stash, table
+from tessera.llm.common import join_hot, keep_ids, stash, table
 from tessera.llm.components import components
 
 TREES, LEVELS = 16, 4
@@ -362,8 +362,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat an id, one."""
-    kept = near_duplicates(docs, k).filter("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").dropDuplicates(["doc_id"])
+    return keep_ids(docs, stash(near_duplicates(docs, k).filter("kept").select("doc_id"), "kept"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
