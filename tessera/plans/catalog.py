@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessera.plans import relational_queries, scoring_queries  # noqa: F401
+from tessera.plans import graph_queries, relational_queries, scoring_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
