@@ -197,7 +197,7 @@ def train(rows: DataFrame) -> Model:
     examples = [(at, tf * idf[at] * SCALE, languages.index(lang)) for lang, at, tf in zip(got["lang"], map(np.asarray, got["at"]), map(np.asarray, got["tf"]), strict=True)]
     fit, judge = [e for i, e in enumerate(examples) if i % 5 or len(examples) < 50], [e for i, e in enumerate(examples) if i % 5 == 0 and len(examples) >= 50]
     weights, bias = follow_the_leader(fit, len(languages))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in judge]).reshape(len(judge), -1)
+    logits = np.array([x @ weights[at] + bias for at, x, _ in judge]).reshape(len(judge), len(languages))
     temperature = calibrate(logits, np.array([y for *_, y in judge], int))
     return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, temperature)
 
