@@ -26,7 +26,7 @@ from tessera.llm.common import stash, table
 ORDERS, BITS = 3, 17
 BUCKETS = 1 << BITS
 #: Rows, all languages together, that the classifier is fitted on at most.
-SAMPLE = 4000
+SAMPLE = 2000
 EPOCHS = 3
 #: Follow-the-regularised-leader: learning rate and its damping, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
