@@ -61,9 +61,21 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (doc_id, one row for each row to keep); of rows that repeat an id, one."""
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeats = bool(ids.filter("n > 1").take(1))
-    rows = docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if repeats else rows
+#: Ids are broadcast up to so many; beyond, the same join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df (stored), marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def keep_ids(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id has a kept row in verdicts (stored: doc_id, kept); of rows that repeat a kept id, one.
+
+    What goes is mostly little: its ids are anti-joined, by broadcast while they are few, so texts stay where they are.
+    """
+    ids = stash(verdicts.groupBy("doc_id").agg(F.count_if("kept").alias("n")), "ids")
+    gone = ids.filter("n = 0").select("doc_id")
+    rows = docs.alias("d").join(few(gone).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    return rows.dropDuplicates(["doc_id"]) if ids.filter("n > 1").take(1) else rows

@@ -63,7 +63,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact deduplication keeps, with all their columns; of rows that repeat id and text, one."""
-    return keep_ids(docs, stash(deduplicate(docs).filter("kept").select("doc_id"), "kept"))
+    return keep_ids(docs, stash(deduplicate(docs).select("doc_id", "kept"), "kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
