@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_arrow, runs, texts_of, whole_groups
-from tessera.llm.common import join_hot, keep_ids, stash, table
+from tessera.llm.common import few, keep_ids, stash, table
 from tessera.llm.components import components
 
 TREES, LEVELS = 16, 4
 #: Signature length: each tree has LEVELS minwise tokens of its own.
 TOKENS = TREES * LEVELS
 #: Nodes of more classes branch; blocks of a candidate group have at most so many classes and about so many shingles.
-NODE, BLOCK, BLOCK_SHINGLES = 2000, 1000, 4_000_000
+NODE, BLOCK, BLOCK_SHINGLES = 400, 1000, 4_000_000
 PIVOTS = 16
 BROADCAST_NODES = 100_000
 #: Signatures of sets that are 0.8 alike agree in fewer places with probability under 1e-5.
@@ -174,9 +174,9 @@ def _linked(members: DataFrame, classes: DataFrame) -> DataFrame:
                         left.append(cls[h[ok] + p])
                         right.append(cls[h[ok] + q])
             for h, size in zip(heads[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                edges = spanning(sig[h : h + size])
-                left.append(cls[h + edges[:, 0]])
-                right.append(cls[h + edges[:, 1]])
+                a, b = stars(cls[h : h + size], spanning(sig[h : h + size]))
+                left.append(a)
+                right.append(b)
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -229,6 +229,19 @@ def spanning(sig: np.ndarray, sets: list[np.ndarray] | None = None, labels: list
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+def stars(names: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same connections with every name under the least of its component: paths of one step, and the same ones from all trees."""
+    root = np.arange(len(names))
+    for a, b in edges.tolist():
+        x, y = root[a], root[b]
+        if x != y:
+            root[root == x] = y
+    linked = np.unique(edges)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, root[linked], names[linked])
+    return least[root[linked]], names[linked]
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 80 * union."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -249,19 +262,19 @@ def candidates(classes: DataFrame) -> DataFrame:
         # Large nodes are few, at most one per NODE rows; broadcast while their count allows it.
         large = F.broadcast(large) if n_large <= BROADCAST_NODES else large
         light = rows.join(large, "node", "left_anti") if n_large else rows
-        found.append(_linked(light.join(sizes.filter(F.col("size") <= NODE), "node").select("node", "class"), classes))
+        found.append(light.join(sizes.filter(F.col("size") <= NODE), "node").select("node", "class"))
         if not n_large:
             break
         held = stash(rows.join(large, "node"), "large-nodes")
         if level == LEVELS:
-            found.append(_linked(_blocks(held, "node", NODE), classes))
+            found.append(_blocks(held, "node", NODE))
             break
         token = F.expr("CASE " + " ".join(f"WHEN tree = {r} THEN substring(signature, {4 * (r * LEVELS + level) + 1}, 4)" for r in range(TREES)) + " END")
         rows = held.join(classes.select("class", "signature"), "class").select("class", "tree", F.xxhash64("node", token).alias("node"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return stash(out, "candidates")
+    return stash(_linked(out, classes), "candidates")
 
 
 def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -278,7 +291,7 @@ def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame,
     """Edges (a, b) between classes of a node (assigned: node, class) whose full sets are alike, as far as they connect
     something new. asking: class, label, asks; pairs of one label, and pairs in which none asks, are left out."""
     nodes = assigned.groupBy("class").agg(F.collect_set("node").alias("nodes"))
-    wanted = nodes.join(classes.select("class", "first_doc"), "class")
+    wanted = few(stash(nodes.join(classes.select("class", "first_doc"), "class"), "wanted"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("text", "class", "nodes")
     sets = full_sets(texts, k)
     if asking is not None:
@@ -297,9 +310,9 @@ def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame,
                     continue
                 sets_ = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in at]
                 sig = np.stack([signature(s) for s in sets_]) if len(at) > 2 else np.zeros((2, 1))
-                edges = spanning(sig, sets_, label[at].tolist() if asked else None, asks[at] if asked else None)
-                left += cls[at[edges[:, 0]]].tolist()
-                right += cls[at[edges[:, 1]]].tolist()
+                x, y = stars(cls[at], spanning(sig, sets_, label[at].tolist() if asked else None, asks[at] if asked else None))
+                left += x.tolist()
+                right += y.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return map_arrow(sets.repartition("node").sortWithinPartitions("node"), rows, "a long, b long")
@@ -349,20 +362,21 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     yield to others of their component. An empty table gives no rows. Other columns are not read.
     """
     sketches = stash(sketch(docs, k), "sketches")
-    classes = stash(sketches.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = stash(sketches.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     groups = stash(components(candidates(classes)), "candidate-groups")
     roots = _verified(docs, k, classes, groups).withColumnRenamed("node", "class")
-    labels = stash(classes.select("class", "first_doc", "copies").join(roots, "class", "left").select("class", "first_doc", "copies", F.coalesce("root", "class").alias("root")), "labels")
-    least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n_classes"))
-    by_class = join_hot(labels, least, "root", "n_classes", labels.count()).select("class", "component_id", "copies")
-    linked = join_hot(sketches.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class"), by_class, "class", "copies", sketches.count()).select("doc_id", "n_shingles", "component_id")
+    labels = stash(classes.select("class", "first_doc").join(roots, "class", "left").select("class", "first_doc", F.coalesce("root", "class").alias("root")), "labels")
+    least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    # Plain sort-merge joins: adaptive execution splits the partition of a large component or class.
+    by_class = labels.join(least.hint("shuffle_merge"), "root").select("class", "component_id")
+    linked = sketches.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(by_class.hint("shuffle_merge"), "class").select("doc_id", "n_shingles", "component_id")
     alone = sketches.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat an id, one."""
-    return keep_ids(docs, stash(near_duplicates(docs, k).filter("kept").select("doc_id"), "kept"))
+    return keep_ids(docs, stash(near_duplicates(docs, k).select("doc_id", "kept"), "kept"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
