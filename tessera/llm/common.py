@@ -70,12 +70,19 @@ def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def keep_ids(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has a kept row in verdicts (stored: doc_id, kept); of rows that repeat a kept id, one.
+def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose id and key have a kept row in verdicts (stored: doc_id, key, kept); of rows that repeat both, one.
 
-    What goes is mostly little: its ids are anti-joined, by broadcast while they are few, so texts stay where they are.
+    `key` is worked out from a row of docs and tells texts apart, so an id that several texts carry is judged text by text; null
+    ids are equal. What goes is mostly little: it is anti-joined, by broadcast while it is few, so texts stay where they are, and
+    only rows that repeat id and key are brought together.
     """
-    ids = stash(verdicts.groupBy("doc_id").agg(F.count_if("kept").alias("n")), "ids")
-    gone = ids.filter("n = 0").select("doc_id")
-    rows = docs.alias("d").join(few(gone).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    return rows.dropDuplicates(["doc_id"]) if ids.filter("n > 1").take(1) else rows
+    pairs = stash(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key_") == F.col("p.key"))
+    narrowed = lambda rows, which, how: rows.alias("d").join(which.alias("p"), same, how)
+    rows = narrowed(docs.withColumn("row_key_", key), few(pairs.filter("NOT kept").select("doc_id", "key")), "left_anti")
+    repeated = pairs.filter("kept AND n > 1").select("doc_id", "key")
+    if repeated.take(1):
+        repeated = few(repeated)
+        rows = narrowed(rows, repeated, "left_anti").unionByName(narrowed(rows, repeated, "left_semi").dropDuplicates(["doc_id", "row_key_"]))
+    return rows.drop("row_key_")

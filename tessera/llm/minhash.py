@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_arrow, runs, texts_of, whole_groups
-from tessera.llm.common import few, keep_ids, stash, table
+from tessera.llm.common import few, keep_rows, stash, table
 from tessera.llm.components import components
+from tessera.llm.exact_dedup import text_digest
 
 TREES, LEVELS = 16, 4
 #: Signature length: each tree has LEVELS minwise tokens of its own.
@@ -121,8 +122,9 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix(np.array([m.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(m) + np.uint64(len(s))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), signature (tokens of 4 bytes)."""
+def sketch(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class (null for an empty set), signature (tokens of 4 bytes); keyed: and the key (binary) that docs has."""
+    carried = ["key"] if keyed else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +134,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(s))
                     cls.append(_class_of(s) if len(s) else None)
                     sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *[batch.column(c) for c in carried]], ["doc_id", "n_shingles", "class", "signature", *carried])
 
-    return map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, class long, signature binary")
+    return map_arrow(docs.select("doc_id", "text", *carried), rows, "doc_id long, n_shingles long, class long, signature binary" + ", key binary" * keyed)
 
 
 def full_sets(wanted: DataFrame, k: int) -> DataFrame:
@@ -361,22 +363,37 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     nothing. Rows that repeat an id are texts of their own with one verdict by id; null ids
     yield to others of their component. An empty table gives no rows. Other columns are not read.
     """
-    sketches = stash(sketch(docs, k), "sketches")
+    return _verdicts(docs, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
+    """near_duplicates with each row's group (root, null for a text without words); keyed: and its key."""
+    carried = ["key"] if keyed else []
+    sketches = stash(sketch(docs, k, keyed), "sketches")
     classes = stash(sketches.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     groups = stash(components(candidates(classes)), "candidate-groups")
     roots = _verified(docs, k, classes, groups).withColumnRenamed("node", "class")
     labels = stash(classes.select("class", "first_doc").join(roots, "class", "left").select("class", "first_doc", F.coalesce("root", "class").alias("root")), "labels")
     least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     # Plain sort-merge joins: adaptive execution splits the partition of a large component or class.
-    by_class = labels.join(least.hint("shuffle_merge"), "root").select("class", "component_id")
-    linked = sketches.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class").join(by_class.hint("shuffle_merge"), "class").select("doc_id", "n_shingles", "component_id")
-    alone = sketches.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    by_class = labels.join(least.hint("shuffle_merge"), "root").select("class", "root", "component_id")
+    linked = sketches.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class", *carried).join(by_class.hint("shuffle_merge"), "class").select("doc_id", "n_shingles", "component_id", "root", *carried)
+    alone = sketches.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), *carried)
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat an id, one."""
-    return keep_ids(docs, stash(near_duplicates(docs, k).select("doc_id", "kept"), "kept"))
+    """The rows of docs that near_duplicates keeps, with all their columns: one of each group. Texts without words are in no
+    group; of such rows that repeat id and text, one."""
+    key = F.unhex(text_digest(F.col("text")))
+    found = stash(_verdicts(docs.select("doc_id", "text", key.alias("key")), k, keyed=True).select("doc_id", "key", "root", "kept"), "kept")
+    # An id, or null where a group has no id, may be on several texts of its group.
+    several = found.filter("kept AND root IS NOT NULL").groupBy("doc_id", "root").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    several = stash(several.filter("first < last"), "several")
+    if several.take(1):
+        same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.root") == F.col("s.root"))
+        found = found.alias("f").join(few(several).alias("s"), same, "left").select("f.doc_id", "f.key", (F.col("f.kept") & F.coalesce(F.col("f.key") == F.col("s.first"), F.lit(True))).alias("kept"))
+    return keep_rows(docs, key, found)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,3 +329,20 @@ def test_pipeline_equals_its_parts(spark, data):
     comp, _ = brute_components([texts[i] for i in firsts], 5)
     assert sorted(r["doc_id"] for r in rows) == [firsts[i] for i in range(len(firsts)) if comp[i] == i]
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == len(rows)
+
+
+def test_stages_judge_ids_text_by_text(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice("abcdefgh") + str(r.randrange(10_000)) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(None, a), (None, b), (None, c), (None, c.upper()), (1, d), (1, e), (2, e), (3, f), (3, f), (4, g), (4, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    # c is on two rows of no id, e is a copy under another id, f is one row twice; nothing else goes.
+    fixed, c_rows, f_rows = {0, 1, 4, 9, 10, 11}, {2, 3}, {7, 8}
+    for keep, e_row in ((exact_dedup.keep_first_copies, 6), (minhash.drop_near_duplicates, 5)):
+        got = [x["n"] for x in keep(docs).collect()]
+        assert len(got) == len(set(got)) == 9 and fixed | {e_row} <= set(got)
+        assert len(c_rows & set(got)) == len(f_rows & set(got)) == 1
+    near = [(None, a + " x y"), (None, a), (7, b), (7, b + " z"), (7, d)]
+    got = [x["text"] for x in minhash.drop_near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()]
+    assert len(got) == 3 and d in got and len({a, a + " x y"} & set(got)) == len({b, b + " z"} & set(got)) == 1
