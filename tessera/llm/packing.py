@@ -3,8 +3,8 @@
 Documents are tokenised and cut in one pass. Full pieces are sequences of their own and never move. All
 other pieces are dealt at random into groups of bounded size; in each, a best-fit start is improved by
 moving and exchanging pieces between underfull sequences, always increasing the sum of squared fills,
-until sequences empty out. The sequences still underfull after that meet in new, fewer groups and are
-searched again, round after round, until they fit one group.
+until sequences empty out. The sequences still underfull after that meet in new groups of the same bounded size and
+are searched again, round after round, until they fit one group or a round hardly saves a sequence any more.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of a group.
 GROUP = 16_000
+#: Rounds end when one saves less than one in so many of the sequences that it searched.
+LEAST_SAVED = 1000
 #: Words kept in the cache of a worker; beyond, it starts anew, and the full one serves once more for what is looked up again.
 CACHE_WORDS = 500_000
 #: Bins with more pieces offer no pairs of pieces: their single pieces are small enough.
@@ -248,19 +250,20 @@ def _search(capacity: int, start: bool) -> Callable[[pd.DataFrame], pd.DataFrame
         heads = np.concatenate(([True], bins[1:] != bins[:-1]))
         offset = np.empty(len(order), np.int64)
         offset[order] = before - np.maximum.accumulate(np.where(heads, before, 0))
-        return pdf.assign(bin=(int(pdf["grp"].iloc[0]) << 32) + where, offset=offset, fill=np.bincount(where, np.array(sizes))[where].astype(np.int64))
+        return pdf.assign(bin=(int(pdf["grp"].iloc[0]) << 24) + where, offset=offset, fill=np.bincount(where, np.array(sizes))[where].astype(np.int64))
 
     return searched
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset. Groups are dealt by a hash of the row, so none is large whatever the data."""
+    """pieces with sequence_id and offset. Groups are dealt by a hash of the row or of the sequence, and every round has as many as its
+    pieces need, so none is much over `group` whatever the data."""
     ship(pieces.sparkSession)
     rows = stash(pieces, "pieces")
     schema = f"{PIECES}, grp long, bin long, offset long, fill long"
     done = [rows.filter(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = rows.filter(F.col("length") < capacity).select("*", F.monotonically_increasing_id().alias("uid"))
-    n, level = rest.count(), 0
+    n, level, met = rest.count(), 0, None
     if n == 0:
         return done[0]
     groups = -(-n // group)
@@ -268,12 +271,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     while True:
         level += 1
         found = stash(rest.groupBy("grp").applyInPandas(_search(capacity, start=level == 1), schema), f"packed-{level}")
-        if groups == 1:
+        underfull = F.col("fill") < capacity
+        bins, underfull_bins, underfull_pieces = found.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & underfull), F.count_if(underfull)).first()
+        # A round searches the `met` bins that the one before left underfull; the first has none to compare with.
+        if groups == 1 or not underfull_bins or (met is not None and (met - bins) * LEAST_SAVED < met):
             break
-        # Bins stay whole; the next round has at most a quarter of the groups, or as many as its pieces need.
-        groups = max(1, min(groups // 4, -(-found.filter(F.col("fill") < capacity).count() // group)))
+        # Bins stay whole.
+        met, groups = underfull_bins, max(1, -(-underfull_pieces // group))
         done.append(_numbered(found.filter(F.col("fill") == capacity), level))
-        rest = found.filter(F.col("fill") < capacity).select(*pieces.columns, F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("grp"), "bin")
+        rest = found.filter(underfull).select(*pieces.columns, F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).alias("grp"), "bin")
     done.append(_numbered(found, level))
     out = done[0]
     for part in done[1:]:
@@ -283,7 +289,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
 
 def _numbered(found: DataFrame, level: int) -> DataFrame:
     """Sequence ids below 0 and apart from those of other rounds."""
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (-(F.col("bin") * 64 + level)).alias("sequence_id"), "offset")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (-(F.col("bin") * 65536 + level)).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -115,6 +115,22 @@ def test_packing_is_whole(spark, data):
     assert len(fills) <= 1.15 * -(-sum(map(len, ids.values())) // 1024)
 
 
+def test_packing_groups_stay_bounded(spark, monkeypatch):
+    """Pieces of which no two fit together leave every sequence underfull in every round."""
+    largest, stash = [], packing.stash
+
+    def noted(df, name):
+        out = stash(df, name)
+        if name.startswith("packed"):
+            largest.append(out.groupBy("grp").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "stash", noted)
+    rows = packing.pack(spark.range(1200).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (600 + F.col("id") % 3).alias("length"), F.lit(0).cast("long").alias("ids_crc32")), group=100).collect()
+    assert len({r["sequence_id"] for r in rows}) == len({r["doc_id"] for r in rows}) == len(rows) == 1200
+    assert max(largest) <= 200
+
+
 def test_local_search_only_improves():
     r = random.Random(4)
     sizes = [r.randint(1, 700) for _ in range(1500)]
