@@ -46,13 +46,19 @@ def graph_support(edges: DataFrame, key: str) -> DataFrame:
     )
 
 
-def coauthor_edges(works: DataFrame, most: int = 50) -> DataFrame:
-    """(a, b, weight) of authors of common works: 0.18 a work, 1 at most. Works of over `most` authors say little of any pair and
-    stay out, which also bounds a work's pairs."""
+def coauthor_edges(works: DataFrame, block: int = 500) -> DataFrame:
+    """(a, b, weight) of authors of common works: 0.18 a work, 1 at most.
+
+    A work's authors are dealt into blocks of about `block`, and each pair of blocks meets under a key of its own, so no task holds
+    all pairs of a large work; works of one block meet once.
+    """
     authors = works.distinct()
-    small = authors.groupBy("work").count().filter((F.col("count") > 1) & (F.col("count") <= most)).select("work")
-    x = authors.join(small, "work")
-    pairs = x.select("work", F.col("author").alias("a")).join(x.select("work", F.col("author").alias("b")), "work").filter("a < b")
+    sizes = authors.groupBy("work").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = authors.join(sizes, "work").withColumn("own", F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int"))
+    x = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    left, right = (x.select("work", "i", "j", F.col("author").alias(c), F.col("own").alias(f"{c}_own")) for c in ("a", "b"))
+    # Under a key of two blocks, pairs within one of them are left to that block's own key.
+    pairs = left.join(right, ["work", "i", "j"]).filter("a < b AND (i = j OR a_own <> b_own)")
     return pairs.groupBy("a", "b").agg(F.round(F.least(F.lit(1.0), 0.18 * F.count("*")), 6).alias("weight"))
 
 
