@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries searched at once; the query side of a batch is broadcast, so its size is checked.
+from tessera.functions.store import stored
+
+#: Queries searched at once; the query side of a batch is broadcast, so more are searched in blocks.
 MAX_QUERIES = 10_000
 #: Okapi BM25 parameters.
 K1, B = 1.2, 0.75
@@ -60,11 +64,18 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, scores: DataFrame, asked:
 def batch_search(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int = 64) -> DataFrame:
     """query_id, vec_id, similarity, place: the k nearest of every query, by blocks of the corpus.
 
-    Queries are broadcast (at most MAX_QUERIES); each block's best k a query are cut before the last ranking, so that sees
-    parts * k rows a query however large the corpus.
+    Queries are broadcast; over MAX_QUERIES are dealt by id into blocks of about half as many, which are searched in turn and stored. Each
+    block's best k a query are cut before the last ranking, so that sees parts * k rows a query however large the corpus.
     """
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"search at most {MAX_QUERIES} queries at once")
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return _search_block(queries, vectors, k, parts)
+    blocks = -(-2 * n // MAX_QUERIES)
+    asked = lambda i: queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+    return reduce(DataFrame.unionByName, [stored(_search_block(asked(i), vectors, k, parts), "found") for i in range(blocks)])
+
+
+def _search_block(queries: DataFrame, vectors: DataFrame, k: int, parts: int) -> DataFrame:
     pairs = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
     x = pairs.select("query_id", "vec_id", "part", cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
     best = [F.desc(F.round("similarity", 6)), F.asc("vec_id")]
