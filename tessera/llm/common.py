@@ -20,28 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); an own one only where that is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Unset, it is a new one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    """Writes df to the application's part of the shared folder and reads it back: cuts the lineage, survives lost executors.
+    What a result still reads stays until drop_stashes."""
+    path = f"{_home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes the files behind a stash that nothing needs any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tessera/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def drop_stashes(spark: SparkSession) -> None:
+    """Deletes all of this application's stashes; call it when its results are written."""
+    _delete(spark, _home(spark))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,28 +76,42 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-#: Ids are broadcast up to so many; beyond, the same join shuffles.
-BROADCAST_IDS = 200_000
+#: Bits of a row filter: so many for each marked row, and never more than MOST_BITS (64 MB), whatever the input.
+BITS_EACH, MOST_BITS = 64, 1 << 29
+_BITMAP = 1 << 15
+
+
+def may_match(rows: DataFrame, key: str, marked: DataFrame) -> DataFrame:
+    """rows with a boolean column maybe_: false only where no row of marked (stored: `key` alone) has the row's key.
+
+    The keys of `marked` are hashed into a bitmap of bounded size, which is broadcast, so rows stay where they are. What is
+    true goes on to an exact join; some 2 % of the other rows are true as well while the filter has BITS_EACH bits a key,
+    and more of them the fuller it is, so the join takes over by and by where there are too many keys for a filter.
+    """
+    bits = min(MOST_BITS, -(-max(1, marked.count()) * BITS_EACH // _BITMAP) * _BITMAP)
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    maps = marked.select(place(key).alias("h")).groupBy(F.floor(F.col("h") / _BITMAP).alias("map_")).agg(F.bitmap_construct_agg(F.col("h") % _BITMAP).alias("bits_"))
+    at = F.col("h_") % _BITMAP
+    byte = F.conv(F.hex(F.substr("bits_", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("h_", place(key)).withColumn("map_", F.floor(F.col("h_") / _BITMAP)).join(F.broadcast(maps), "map_", "left")
+    # The bit of a byte by division: shifts take constants only.
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    return found.withColumn("maybe_", F.coalesce(bit, F.lit(False))).drop("h_", "map_", "bits_")
 
 
-def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """df (stored), marked for broadcast if it has at most `most` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One value for id and text digest (binary, of fixed length); null ids are equal."""
+    return F.concat(digest, F.coalesce(F.encode(doc_id.cast("string"), "UTF-8"), F.lit(b"")))
 
 
 def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose id and key have a kept row in verdicts (stored: doc_id, key, kept); of rows that repeat both, one.
+    """The rows of docs whose key has a kept row in verdicts (key, kept); of rows that repeat a key, one.
 
-    `key` is worked out from a row of docs and tells texts apart, so an id that several texts carry is judged text by text; null
-    ids are equal. What goes is mostly little: it is anti-joined, by broadcast while it is few, so texts stay where they are, and
-    only rows that repeat id and key are brought together.
+    `key` (see row_key) is worked out from a row of docs and tells texts apart, so an id that several texts carry is judged text
+    by text. Texts stay where they are but for those that a filter of bounded size can't clear: rows to drop, repeated ones and
+    a few more are brought together by key and judged exactly.
     """
-    pairs = stash(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row_key_") == F.col("p.key"))
-    narrowed = lambda rows, which, how: rows.alias("d").join(which.alias("p"), same, how)
-    rows = narrowed(docs.withColumn("row_key_", key), few(pairs.filter("NOT kept").select("doc_id", "key")), "left_anti")
-    repeated = pairs.filter("kept AND n > 1").select("doc_id", "key")
-    if repeated.take(1):
-        repeated = few(repeated)
-        rows = narrowed(rows, repeated, "left_anti").unionByName(narrowed(rows, repeated, "left_semi").dropDuplicates(["doc_id", "row_key_"]))
-    return rows.drop("row_key_")
+    pairs = stash(verdicts.groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "keys")
+    rows = may_match(docs.withColumn("row_key_", key), "row_key_", pairs.filter("NOT kept OR n > 1").select(F.col("key").alias("row_key_")))
+    once = rows.filter("maybe_").dropDuplicates(["row_key_"]).join(pairs.filter("NOT kept").select(F.col("key").alias("row_key_")), "row_key_", "left_anti")
+    return rows.filter("NOT maybe_").select(docs.columns).unionByName(once.select(docs.columns))

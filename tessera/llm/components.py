@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_stash, stash
+from tessera.llm.common import drop_stash, join_hot, stash
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each edge from u with the least of u and its neighbours. Both sides shuffle on u for the join alone, so
-    adaptive execution splits the partition of a hub."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(least.hint("shuffle_merge"), "u")
+def _stars(edges: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): each edge from u with the least of u and its neighbours. Edges of a hub stay where they are: the few hubs'
+    values are broadcast."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return join_hot(edges, least, "u", "n", total).select("u", "v", "m")
 
 
 def _stars_only(edges: DataFrame) -> bool:
@@ -30,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _stars_only(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stash(_stars(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        large = stash(_stars(both, 2 * now.count()).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         drop_stash(now)
-        stars = _stars(large)
+        stars = _stars(large, large.count())
         now = stash(stars.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         drop_stash(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, join_hot, keep_rows, stash, table
+from tessera.llm.common import ascii_lower, join_hot, keep_rows, row_key, stash, table
 
 
 def text_digest(text: Column) -> Column:
@@ -63,8 +63,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact deduplication keeps, with all their columns; of rows that repeat id and text, one."""
-    verdicts = deduplicate(docs).select("doc_id", F.unhex("text_sha256").alias("key"), "kept")
-    return keep_rows(docs, F.unhex(text_digest(F.col("text"))), stash(verdicts, "kept"))
+    verdicts = deduplicate(docs).select(row_key(F.col("doc_id"), F.unhex("text_sha256")).alias("key"), "kept")
+    return keep_rows(docs, row_key(F.col("doc_id"), F.unhex(text_digest(F.col("text")))), verdicts)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

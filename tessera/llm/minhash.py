@@ -1,17 +1,19 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 1. Each document's word shingles become a set of 64-bit hashes; equal sets are one class, and only
-   classes go on. A class has a signature of minwise tokens.
+   classes go on. A class has minwise tokens, by which it branches, and a sketch, by which it is compared.
 2. Independent trees branch the classes by chosen minwise tokens: a node's classes share the tokens on
-   its path. Nodes of one class end; small nodes compare their signatures exhaustively; large nodes branch
-   again, and what still stays together is dealt into blocks that share pivots. Classes whose
-   signatures agree enough hang together as candidates.
+   its path, two of them to begin with. Nodes of one class end; small nodes compare their sketches exhaustively; large
+   nodes branch again. Classes whose sketches agree enough hang together as candidates.
 3. Candidate groups compare full sets exactly. Pairs already connected through others are passed over,
-   which loses no connection. A group too large for a task is dealt into blocks with shared pivots, and every
-   class that this leaves apart from the group's main part is compared with all of the group, in blocks.
+   which loses no connection.
 
-A pair at the threshold shares a path in a tree with probability 0.8 a level, so TREES trees miss it
-with probability 0.2 ** TREES at the first level and 0.59 ** TREES (2e-4) at the fourth.
+A last node or a candidate group too large for a task is dealt into blocks with shared pivots, and every class that this
+leaves apart from its main part meets all of it, in blocks: nothing in it goes uncompared.
+
+A pair at the threshold shares a path in a tree with probability 0.8 a token, so TREES trees miss it with probability
+0.36 ** TREES (8e-8) where nodes are small from the start, 0.49 ** TREES (1e-5) after one more token and 0.59 ** TREES (2e-4)
+at the last level.
 """
 
 from __future__ import annotations
@@ -24,19 +26,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_arrow, runs, texts_of, whole_groups
-from tessera.llm.common import few, keep_rows, stash, table
+from tessera.llm.common import drop_stash, join_hot, keep_rows, may_match, row_key, stash, table
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import text_digest
 
-TREES, LEVELS = 16, 4
-#: Signature length: each tree has LEVELS minwise tokens of its own.
+#: Trees and tokens of their longest paths; a path begins with FIRST tokens.
+TREES, LEVELS, FIRST = 16, 4, 2
 TOKENS = TREES * LEVELS
-#: Nodes of more classes branch; blocks of a candidate group have at most so many classes and about so many shingles.
-NODE, BLOCK, BLOCK_SHINGLES = 400, 1000, 4_000_000
+#: Nodes of more classes branch; blocks of a last node or of a candidate group have at most so many classes and, with full sets, about so many shingles.
+NODE, NODE_BLOCK, BLOCK, BLOCK_SHINGLES = 400, 2000, 1000, 4_000_000
 PIVOTS = 16
-BROADCAST_NODES = 100_000
-#: Signatures of sets that are 0.8 alike agree in fewer places with probability under 1e-5.
-AGREE = 0.5625
+#: Bins of a sketch, each with a value of 4 bits.
+BINS = 256
+#: Sketches of sets that are 0.8 alike agree in a lower share of their bins with probability under 1e-5.
+AGREE = 0.7
 
 _RNG = np.random.default_rng(20260701)
 _BYTE = _RNG.integers(0, 2**64, 256, np.uint64)
@@ -107,7 +110,7 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def tokens(s: np.ndarray) -> np.ndarray:
     """Minwise tokens of a set: for each of TOKENS hash functions, the least value."""
     least = np.full(TOKENS, 2**32 - 1, np.uint32)
     for i in range(0, len(s), 4096):
@@ -116,31 +119,60 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least
 
 
+def bins(s: np.ndarray) -> np.ndarray:
+    """The sketch of a set (sorted): the least hash of each of BINS ranges as a value from 1 to 15, 0 for an empty range."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+    at = np.searchsorted(s, edges)
+    some = at < np.append(at[1:], len(s))
+    least = mix(s[np.minimum(at, len(s) - 1)]) % np.uint64(15) + np.uint64(1)
+    return np.where(some, least, 0).astype(np.uint8)
+
+
+def packed(sketch: np.ndarray) -> bytes:
+    return ((sketch[::2] << 4) | sketch[1::2]).tobytes()
+
+
+def unpacked(raws: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), BINS // 2)
+    out = np.empty((len(raws), BINS), np.uint8)
+    out[:, ::2], out[:, 1::2] = both >> 4, both & 15
+    return out
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the bins that either sketch fills in which both have the same value."""
+    either = np.maximum(a, b) > 0
+    return ((a == b) & either).sum(axis=-1) / np.maximum(either.sum(axis=-1), 1)
+
+
 def _class_of(s: np.ndarray) -> int:
     """64 bits that tell sets apart, as a signed long."""
     m = mix(s + np.uint64(0x632BE59BD9B4E019))
     return int(mix(np.array([m.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(m) + np.uint64(len(s))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def sketch(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), signature (tokens of 4 bytes); keyed: and the key (binary) that docs has."""
-    carried = ["key"] if keyed else []
+def sketch(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, key, n_shingles, and class, tokens (4 bytes each) and bins (null for an empty set) of rows (doc_id, key, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, cls, sig = texts_of(batch), [], [], []
+            texts, n, cls, minwise, sketches = texts_of(batch), [], [], [], []
             for a, b in runs(texts):
                 for s in shingle_sets(texts[a:b], k):
+                    some = len(s) > 0
                     n.append(len(s))
-                    cls.append(_class_of(s) if len(s) else None)
-                    sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), *[batch.column(c) for c in carried]], ["doc_id", "n_shingles", "class", "signature", *carried])
+                    cls.append(_class_of(s) if some else None)
+                    minwise.append(tokens(s).astype(">u4").tobytes() if some else None)
+                    sketches.append(packed(bins(s)) if some else None)
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(minwise, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "class", "tokens", "bins"])
 
-    return map_arrow(docs.select("doc_id", "text", *carried), rows, "doc_id long, n_shingles long, class long, signature binary" + ", key binary" * keyed)
+    return map_arrow(docs.select("doc_id", "key", "text"), rows, "doc_id long, key binary, n_shingles long, class long, tokens binary, bins binary")
 
 
 def full_sets(wanted: DataFrame, k: int) -> DataFrame:
-    """node, class, shingles (8 bytes each) from rows (text, class, nodes); a text of another class gives none."""
+    """node, label, asks, class, shingles (8 bytes each) from rows (text, class, nodes); a text of another class gives none."""
+    nodes = "array<struct<node:long,label:long,asks:boolean>>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,20 +183,22 @@ def full_sets(wanted: DataFrame, k: int) -> DataFrame:
                 both = pa.RecordBatch.from_arrays([part.column("nodes"), part.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], ["nodes", "class", "shingles"])
                 yield both.filter(keep)
 
-    return map_arrow(wanted.select("text", "class", "nodes"), rows, "nodes array<long>, class long, shingles binary").select(F.explode("nodes").alias("node"), "class", "shingles")
+    return map_arrow(wanted.select("text", "class", "nodes"), rows, f"nodes {nodes}, class long, shingles binary").select(F.explode("nodes").alias("n"), "class", "shingles").select("n.*", "class", "shingles")
 
 
 def _token(tree: int, level: int):
-    return F.substring("signature", 4 * (tree * LEVELS + level) + 1, 4)
+    return F.substring("tokens", 4 * (tree * LEVELS + level) + 1, 4)
 
 
-def _linked(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes of one node whose signatures agree enough; a node is compared in one task."""
+def _linked(assigned: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes of one node whose sketches agree enough; a node is compared in one task. assigned: node, class,
+    label, asks; pairs of one label, and pairs in which none asks, are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
             node, cls = t.column("node").to_numpy(), t.column("class").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), ">u4").astype(np.uint32).reshape(-1, TOKENS)
+            label, asks = t.column("label").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+            sketches = unpacked(t.column("bins").to_pylist())
             heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
             sizes = np.diff(np.append(heads, len(node)))
             left, right = [], []
@@ -172,52 +206,42 @@ def _linked(members: DataFrame, classes: DataFrame) -> DataFrame:
                 h = heads[sizes == size]
                 for q in range(1, size):
                     for p in range(q):
-                        ok = (sig[h + p] == sig[h + q]).mean(axis=1) >= AGREE
+                        ok = (agreement(sketches[h + p], sketches[h + q]) >= AGREE) & (label[h + p] != label[h + q]) & (asks[h + p] | asks[h + q])
                         left.append(cls[h[ok] + p])
                         right.append(cls[h[ok] + q])
             for h, size in zip(heads[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                a, b = stars(cls[h : h + size], spanning(sig[h : h + size]))
+                own = slice(h, h + size)
+                a, b = stars(cls[own], spanning(sketches[own], None, label[own].tolist(), asks[own]))
                 left.append(a)
                 right.append(b)
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows_in = members.join(classes.select("class", "signature"), "class").select("node", "class", "signature").repartition("node").sortWithinPartitions("node")
+    rows_in = assigned.join(classes.select("class", "bins"), "class").select("node", "class", "label", "asks", "bins").repartition("node").sortWithinPartitions("node")
     return map_arrow(rows_in, rows, "a long, b long").distinct()
 
 
-def spanning(sig: np.ndarray, sets: list[np.ndarray] | None = None, labels: list[int] | None = None, asks: np.ndarray | None = None) -> np.ndarray:
+def spanning(sketches: np.ndarray, sets: list[np.ndarray] | None, labels: list[int], asks: np.ndarray) -> np.ndarray:
     """Edges that connect what exhaustive comparison would connect, and no more of them than that takes.
 
-    Signatures decide alone, or let full sets decide if those are given. labels: classes that are
-    connected already. asks: only pairs with one of these at least are compared.
+    Sketches decide alone, or let full sets decide if those are given. labels: what has the same one is connected already.
+    asks: only pairs with one of these at least are compared.
     """
-    n = len(sig)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    if labels is not None:
-        first: dict[int, int] = {}
-        for i, x in enumerate(labels):
-            parent[i] = first.setdefault(x, i)
-    roots = np.array([root(i) for i in range(n)])
+    n = len(sketches)
+    first: dict[int, int] = {}
+    roots = np.array([first.setdefault(x, i) for i, x in enumerate(labels)])
     sizes = np.array([len(s) for s in sets]) if sets is not None else None
     edges = []
     for i in range(1, n):
         open_ = roots[:i] != roots[i]
-        if asks is not None and not asks[i]:
+        if not asks[i]:
             open_ &= asks[:i]
         if sizes is not None:
             open_ &= np.minimum(sizes[:i], sizes[i]) >= 0.8 * np.maximum(sizes[:i], sizes[i]) - 1e-6
         js = np.flatnonzero(open_)
         if not len(js):
             continue
-        agree = (sig[js] == sig[i]).mean(axis=1)
+        agree = agreement(sketches[js], sketches[i])
         js = js[agree >= AGREE][np.argsort(-agree[agree >= AGREE], kind="stable")]
         while len(js):
             j = int(js[0])
@@ -252,58 +276,76 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
+def _every(nodes: DataFrame) -> DataFrame:
+    """node, class with label, asks of classes that are each compared with all of their node."""
+    return nodes.select("node", "class", F.col("class").alias("label"), F.lit(True).alias("asks"))
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes from all trees."""
-    tree = F.explode(F.array(*[F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), _token(r, 0)).alias("node")) for r in range(TREES)]))
-    level, found, rows = 0, [], classes.select("class", tree.alias("t")).select("class", "t.tree", "t.node")
+    """Edges (a, b) between classes from all trees (stored)."""
+    tree = F.explode(F.array(*[F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), *[_token(r, i) for i in range(FIRST)]).alias("node")) for r in range(TREES)]))
+    level, found, last, rows = FIRST, [], None, classes.select("class", tree.alias("t")).select("class", "t.tree", "t.node")
+    total = TREES * classes.count()
     while True:
-        level += 1
-        sizes = stash(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "nodes")
-        large = sizes.filter(F.col("size") > NODE)
-        n_large = large.count()
-        # Large nodes are few, at most one per NODE rows; broadcast while their count allows it.
-        large = F.broadcast(large) if n_large <= BROADCAST_NODES else large
-        light = rows.join(large, "node", "left_anti") if n_large else rows
-        found.append(light.join(sizes.filter(F.col("size") <= NODE), "node").select("node", "class"))
-        if not n_large:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        shared = stash(join_hot(rows, sizes, "node", "size", total), "nodes")
+        found.append(_every(shared.filter(F.col("size") <= NODE)))
+        large = shared.filter(F.col("size") > NODE)
+        if not large.take(1):
             break
-        held = stash(rows.join(large, "node"), "large-nodes")
         if level == LEVELS:
-            found.append(_blocks(held, "node", NODE))
+            last = large.select(F.col("node").alias("key"), "class", F.col("size").alias("n"), "size")
+            found.append(_blocks(last, NODE_BLOCK))
             break
-        token = F.expr("CASE " + " ".join(f"WHEN tree = {r} THEN substring(signature, {4 * (r * LEVELS + level) + 1}, 4)" for r in range(TREES)) + " END")
-        rows = held.join(classes.select("class", "signature"), "class").select("class", "tree", F.xxhash64("node", token).alias("node"))
+        token = F.expr("CASE " + " ".join(f"WHEN tree = {r} THEN substring(tokens, {4 * (r * LEVELS + level) + 1}, 4)" for r in range(TREES)) + " END")
+        rows = large.join(classes.select("class", "tokens"), "class").select("class", "tree", F.xxhash64("node", token).alias("node"))
+        level, total = level + 1, large.count()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return stash(_linked(out, classes), "candidates")
+    edges = stash(_linked(out, classes), "candidates")
+    return edges if last is None else stash(edges.unionByName(_linked(_apart(last, edges, NODE_BLOCK), classes)), "candidates")
 
 
-def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """(node, class): rows of each key (with its size) dealt into blocks of about `most`, each block with the key's pivots."""
-    pivots = rows.groupBy(key).agg(F.max("size").alias("size"), F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(j)), F.col("class")))["class"] for j in range(PIVOTS)])).alias("pivots"))
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """node, class, label, asks: rows (key, class, size) of each key dealt into blocks of about `most`, each block with the key's pivots."""
+    pivots = rows.groupBy("key").agg(F.max("size").alias("size"), F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(j)), F.col("class")))["class"] for j in range(PIVOTS)])).alias("pivots"))
     count = F.ceil(F.col("size") / most).cast("int")
-    block = lambda i: F.xxhash64(F.col(key), F.lit(1), i.cast("long"))
-    dealt = rows.select(block(F.pmod(F.xxhash64("class", key), count)).alias("node"), "class")
-    shared = pivots.select(key, "size", F.explode("pivots").alias("class")).select(key, "class", F.explode(F.sequence(F.lit(0), count - 1)).alias("i")).select(block(F.col("i")).alias("node"), "class")
-    return dealt.unionByName(shared).distinct()
-
-
-def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame, asking: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between classes of a node (assigned: node, class) whose full sets are alike, as far as they connect
-    something new. asking: class, label, asks; pairs of one label, and pairs in which none asks, are left out."""
-    nodes = assigned.groupBy("class").agg(F.collect_set("node").alias("nodes"))
-    wanted = few(stash(nodes.join(classes.select("class", "first_doc"), "class"), "wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("text", "class", "nodes")
-    sets = full_sets(texts, k)
-    if asking is not None:
-        sets = sets.join(asking, "class")
-    asked = asking is not None
+    block = lambda i: F.xxhash64(F.col("key"), F.lit(1), i.cast("long"))
+    dealt = rows.select(block(F.pmod(F.xxhash64("class", "key"), count)).alias("node"), "class")
+    shared = pivots.select("key", "size", F.explode("pivots").alias("class")).select("key", "class", F.explode(F.sequence(F.lit(0), count - 1)).alias("i")).select(block(F.col("i")).alias("node"), "class")
+    return _every(dealt.unionByName(shared).distinct())
+
+
+def _apart(rows: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """node, class, label, asks: every class that `edges` (stored) leave outside the main part of its key meets all of the key, in
+    blocks of both. rows (stored): key, class, n (rows of the key), size."""
+    found = components(edges).select(F.col("node").alias("class"), "root")
+    labelled = stash(rows.join(found, "class", "left").select("key", "class", "n", "size", F.coalesce("root", "class").alias("label")), "labelled")
+    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.sum("c").alias("n")).filter("rest > 0")
+    sides = join_hot(labelled.drop("n"), parts, "key", "n", labelled.count()).withColumn("asks", F.col("label") != F.col("main"))
+    sides = sides.withColumn("blocks", F.ceil(F.col("size") / most).cast("int")).withColumn("parts", F.ceil(F.col("rest") / most).cast("int"))
+    own, part = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")
+    node = lambda b, p: F.xxhash64(F.col("key"), F.lit(3), b, p)
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: node(own, p))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: node(b, part))
+    return sides.select("class", "label", "asks", F.explode(F.array_distinct(F.concat(meets, F.when(F.col("asks"), asked).otherwise(F.array().cast("array<long>"))))).alias("node"))
+
+
+def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes of a node whose full sets are alike, as far as they connect something new. assigned as in _linked.
+
+    Of the texts (docs: key, text), those that a bounded filter on their keys passes are brought to the classes they stand for.
+    """
+    nodes = assigned.groupBy("class").agg(F.collect_set(F.struct("node", "label", "asks")).alias("nodes"))
+    wanted = stash(nodes.join(classes.select("class", "key"), "class"), "wanted")
+    texts = may_match(docs.select("key", "text"), "key", wanted.select("key")).filter("maybe_").select("key", "text").dropDuplicates(["key"])
+    sets = full_sets(texts.join(wanted, "key").select("text", "class", "nodes"), k)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
             node, cls, raw = t.column("node").to_numpy(), t.column("class").to_numpy(), t.column("shingles")
-            label, asks = (t.column("label").to_numpy(), t.column("asks").to_numpy()) if asked else (None, None)
+            label, asks = t.column("label").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
             heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))).tolist()
             left, right = [], []
             for a, b in zip(heads, [*heads[1:], len(node)], strict=True):
@@ -311,8 +353,7 @@ def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame,
                 if len(at) < 2:
                     continue
                 sets_ = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in at]
-                sig = np.stack([signature(s) for s in sets_]) if len(at) > 2 else np.zeros((2, 1))
-                x, y = stars(cls[at], spanning(sig, sets_, label[at].tolist() if asked else None, asks[at] if asked else None))
+                x, y = stars(cls[at], spanning(np.stack([bins(s) for s in sets_]), sets_, label[at].tolist(), asks[at]))
                 left += x.tolist()
                 right += y.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -321,37 +362,18 @@ def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame,
 
 
 def _verified(docs: DataFrame, k: int, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, root): components of the classes by full sets. groups: (node, root) by signatures."""
-    members = groups.select(F.col("node").alias("class"), F.col("root").alias("comp")).join(classes.select("class", "n_shingles"), "class")
+    """(node, root): components of the classes by full sets. groups: (node, root) by sketches."""
+    members = stash(groups.select(F.col("node").alias("class"), F.col("root").alias("key")).join(classes.select("class", "n_shingles"), "class"), "members")
     weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") * (BLOCK / BLOCK_SHINGLES)))
-    sizes = stash(members.groupBy("comp").agg(weight.alias("size")), "groups")
-    large = sizes.filter(F.col("size") > BLOCK)
-    n_large = large.count()
-    if not n_large:
-        return components(_compared(docs, k, classes, members.select(F.col("comp").alias("node"), "class")))
-    large = F.broadcast(large) if n_large <= BROADCAST_NODES else large
-    huge = stash(members.select("class", "comp").join(large, "comp"), "large-groups")
-    small = members.join(large, "comp", "left_anti").select(F.col("comp").alias("node"), "class")
-    edges = stash(_compared(docs, k, classes, small.unionByName(_blocks(huge, "comp", BLOCK))), "links")
-    found = stash(components(edges), "components")
-    labelled = huge.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "comp", "size", F.coalesce("root", "class").alias("label"))
-    labelled = stash(labelled, "labelled")
-    main = labelled.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    main = F.broadcast(main) if n_large <= BROADCAST_NODES else main
-    rest = stash(labelled.join(main, "comp").filter("label <> main").select("class", "comp"), "rest")
-    per = rest.groupBy("comp").agg(F.count("*").alias("n_rest"))
-    if not per.take(1):
-        return found
-    # Every class outside its group's main part meets all of the group, in blocks of both.
-    sides = labelled.join(F.broadcast(per) if n_large <= BROADCAST_NODES else per, "comp").join(rest.select("class", F.lit(True).alias("asks")), "class", "left").fillna(False, ["asks"])
-    sides = sides.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("n_rest") / BLOCK).cast("int"))
-    own, part = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")
-    node = lambda b, p: F.xxhash64(F.col("comp"), F.lit(3), b, p)
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: node(own, p))
-    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: node(b, part))
-    assigned = sides.select("class", F.explode(F.array_distinct(F.concat(meets, F.when(F.col("asks"), asked).otherwise(F.array().cast("array<long>"))))).alias("node"))
-    more = _compared(docs, k, classes, assigned, sides.select("class", "label", "asks"))
-    return components(edges.unionByName(more))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("size"))
+    sized = stash(join_hot(members, sizes, "key", "n", members.count()).select("key", "class", "n", "size"), "groups")
+    drop_stash(members)
+    small, huge = sized.filter(F.col("size") <= BLOCK), sized.filter(F.col("size") > BLOCK)
+    nodes = _every(small.select(F.col("key").alias("node"), "class"))
+    if not huge.take(1):
+        return components(_compared(docs, k, classes, nodes))
+    edges = stash(_compared(docs, k, classes, nodes.unionByName(_blocks(huge, BLOCK))), "links")
+    return components(edges.unionByName(_compared(docs, k, classes, _apart(huge, edges, BLOCK))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -360,40 +382,41 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     Documents whose sets of k-word shingles are 0.8 alike or more are linked; component_id is the smallest
     doc_id reachable, and the document with that id is kept. Words part at ASCII white space and A-Z is
     lower-cased. A text of fewer than k words is one shingle; one without words, or null, is linked with
-    nothing. Rows that repeat an id are texts of their own with one verdict by id; null ids
-    yield to others of their component. An empty table gives no rows. Other columns are not read.
+    nothing. Very long texts are worked through in stretches. Rows that repeat an id are texts of their own with one verdict by
+    id; null ids yield to others of their component. An empty table gives no rows. Other columns are not read.
     """
-    return _verdicts(docs, k).select("doc_id", "n_shingles", "component_id", "kept")
-
-
-def _verdicts(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
-    """near_duplicates with each row's group (root, null for a text without words); keyed: and its key."""
-    carried = ["key"] if keyed else []
-    sketches = stash(sketch(docs, k, keyed), "sketches")
-    classes = stash(sketches.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    groups = stash(components(candidates(classes)), "candidate-groups")
-    roots = _verified(docs, k, classes, groups).withColumnRenamed("node", "class")
-    labels = stash(classes.select("class", "first_doc").join(roots, "class", "left").select("class", "first_doc", F.coalesce("root", "class").alias("root")), "labels")
-    least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    # Plain sort-merge joins: adaptive execution splits the partition of a large component or class.
-    by_class = labels.join(least.hint("shuffle_merge"), "root").select("class", "root", "component_id")
-    linked = sketches.filter("class IS NOT NULL").select("doc_id", "n_shingles", "class", *carried).join(by_class.hint("shuffle_merge"), "class").select("doc_id", "n_shingles", "component_id", "root", *carried)
-    alone = sketches.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), *carried)
+    key = F.encode(F.concat_ws(" ", F.xxhash64("text").cast("string"), F.col("doc_id").cast("string")), "UTF-8")
+    return _verdicts(docs.select("doc_id", "text", key.alias("key")), k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, k: int) -> DataFrame:
+    """near_duplicates of docs (doc_id, text, and a key that tells their rows' texts apart) with each row's key and group (root, null for a text without words)."""
+    sketches = stash(sketch(docs, k), "sketches")
+    some = sketches.filter("class IS NOT NULL")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "tokens", "bins")]
+    classes = stash(some.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"), F.count("*").alias("n_docs"), *first), "classes")
+    edges = candidates(classes.select("class", "tokens", "bins"))
+    roots = _verified(docs, k, classes.select("class", "key", "n_shingles"), components(edges)).withColumnRenamed("node", "class")
+    labels = stash(classes.select("class", "first_doc", "n_docs").join(roots, "class", "left").select("class", "first_doc", "n_docs", F.coalesce("root", "class").alias("root")), "labels")
+    for done in (edges, classes):
+        drop_stash(done)
+    least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n"))
+    by_class = join_hot(labels, least, "root", "n", labels.count()).select("class", "root", "component_id", "n_docs")
+    linked = join_hot(some.select("doc_id", "key", "n_shingles", "class"), by_class, "class", "n_docs", sketches.count()).select("doc_id", "key", "n_shingles", "component_id", "root")
+    alone = sketches.filter("class IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns: one of each group. Texts without words are in no
-    group; of such rows that repeat id and text, one."""
-    key = F.unhex(text_digest(F.col("text")))
-    found = stash(_verdicts(docs.select("doc_id", "text", key.alias("key")), k, keyed=True).select("doc_id", "key", "root", "kept"), "kept")
+    group; of such rows that repeat id and text, one. Null ids, repeated ids and an empty table are as in near_duplicates."""
+    key = row_key(F.col("doc_id"), F.unhex(text_digest(F.col("text"))))
+    found = stash(_verdicts(docs.select("doc_id", "text", key.alias("key")), k).select("doc_id", "key", "root", "kept"), "kept")
     # An id, or null where a group has no id, may be on several texts of its group.
-    several = found.filter("kept AND root IS NOT NULL").groupBy("doc_id", "root").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    several = stash(several.filter("first < last"), "several")
-    if several.take(1):
-        same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.root") == F.col("s.root"))
-        found = found.alias("f").join(few(several).alias("s"), same, "left").select("f.doc_id", "f.key", (F.col("f.kept") & F.coalesce(F.col("f.key") == F.col("s.first"), F.lit(True))).alias("kept"))
-    return keep_rows(docs, key, found)
+    several = found.filter("kept AND root IS NOT NULL").groupBy("doc_id", "root").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
+    same = F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.root") == F.col("s.root"))
+    judged = found.alias("f").join(several.alias("s"), same, "left").select("f.key", (F.col("f.kept") & F.coalesce(F.col("f.key") == F.col("s.first"), F.lit(True))).alias("kept"))
+    return keep_rows(docs, key, judged)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

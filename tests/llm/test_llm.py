@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tessera.llm import batches, chat, components, exact_dedup, language, minhash, packing, pieces, pii, queries, sharding, url_rules, winnow
+from tessera.llm import batches, chat, common, components, exact_dedup, language, minhash, packing, pieces, pii, queries, sharding, url_rules, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, size long"
 BPE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -182,7 +182,7 @@ def brute_components(texts, k):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     """Also with limits so small that nodes branch, groups fall into blocks and the rest is asked again."""
     if small:
-        for name, value in (("NODE", 12), ("BLOCK", 9), ("PIVOTS", 2)):
+        for name, value in (("NODE", 12), ("NODE_BLOCK", 9), ("BLOCK", 9), ("PIVOTS", 2)):
             monkeypatch.setattr(minhash, name, value)
     texts, docs = near_table(spark)
     want, sizes = brute_components(texts, 2)
@@ -191,6 +191,42 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_template_corpus_loses_no_pair(spark, monkeypatch):
+    """Texts that share three quarters of their shingles stay together in last nodes and in a candidate group, both over the limits;
+    isolated pairs among them, hardly over the threshold, are linked."""
+    for name, value in (("NODE", 100), ("NODE_BLOCK", 150), ("BLOCK", 150)):
+        monkeypatch.setattr(minhash, name, value)
+    r = np.random.default_rng(8)
+    rows, shared = [], [f"s{i}" for i in range(150)]
+    for i in range(500):
+        own = [f"o{i}x{j}" for j in range(26)]
+        rows.append([*shared, *own])
+    for i in range(60):  # a copy with few of its own words
+        twin = list(rows[8 * i])
+        for j in r.choice(26, 17, replace=False):
+            twin[150 + j] = f"t{i}x{j}"
+        rows.append(twin)
+    texts = [" ".join(w) for w in rows]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1).collect()}
+    sets = [set(t) for t in rows]
+    for i in range(60):
+        a, b = sets[8 * i], sets[500 + i]
+        assert 100 * len(a & b) >= 80 * len(a | b) and 100 * len(sets[1] & a) < 80 * len(sets[1] | a)
+        assert got[500 + i] == got[8 * i] == 8 * i
+    assert sum(i == c for i, c in got.items()) == 500
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 29])
+def test_a_row_filter_passes_all_that_match(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(20_000).select(F.col("id").alias("k"))
+    got = common.may_match(rows, "k", rows.filter("k % 10 = 3")).collect()
+    assert len(got) == 20_000 and all(x["maybe_"] for x in got if x["k"] % 10 == 3)
+    others = sum(x["maybe_"] for x in got) - 2000
+    assert others < (0.1 if most > 1 << 15 else 0.2) * 20_000
+    assert not any(x["maybe_"] for x in common.may_match(rows, "k", rows.limit(0)).collect())
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1060)]
