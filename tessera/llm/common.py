@@ -65,15 +65,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join of many rows (left) with one row per key (right).
+    """Inner join of many rows (left) with one row per key (right, stored); the key is no null and fits a literal.
 
     `weight` is the key's row count in left and `total` the count of all: keys that hold over
-    1/HOT_KEYS of the rows are at most HOT_KEYS, so they are broadcast and their rows stay where they
+    1/HOT_KEYS of the rows are at most HOT_KEYS, so they are named and broadcast and their rows stay where they
     are; only the others shuffle, and none of those keys is large.
     """
-    hot = F.broadcast(right.filter(F.col(weight) * HOT_KEYS > total))
-    cold = right.filter(F.col(weight) * HOT_KEYS <= total)
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+    hot = [r[0] for r in right.filter(F.col(weight) * HOT_KEYS > total).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    named = F.col(key).isin(hot)
+    return left.filter(named).join(F.broadcast(right.filter(named)), key).unionByName(left.filter(~named).join(right.filter(~named), key))
 
 
 #: Bits of a row filter: so many for each marked row, and never more than MOST_BITS (64 MB), whatever the input.

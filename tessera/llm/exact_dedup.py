@@ -57,7 +57,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     d = stash(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "digests")
     groups = d.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     own.add(groups)
-    found = groups.drop("keep_id").join(own.rows().hint("merge"), "digest")
+    found = stash(groups.drop("keep_id").join(own.rows().hint("merge"), "digest"), "groups")
     return join_hot(d, found, "digest", "group_size", d.count()).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -12,8 +12,7 @@ A last node or a candidate group too large for a task is dealt into blocks with
 leaves apart from its main part meets all of it, in blocks: nothing in it goes uncompared.
 
 A pair at the threshold shares a path in a tree with probability 0.8 a token, so TREES trees miss it with probability
-0.36 ** TREES (8e-8) where nodes are small from the start, 0.49 ** TREES (1e-5) after one more token and 0.59 ** TREES (2e-4)
-at the last level.
+0.36 ** TREES (8e-8) where nodes are small from the start and 0.49 ** TREES (1e-5) at the last level.
 """
 
 from __future__ import annotations
@@ -22,16 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import map_arrow, runs, texts_of, whole_groups
 from tessera.llm.common import drop_stash, join_hot, keep_rows, may_match, row_key, stash, table
-from tessera.llm.components import components
+from tessera.llm.components import components, extended
 from tessera.llm.exact_dedup import text_digest
 
 #: Trees and tokens of their longest paths; a path begins with FIRST tokens.
-TREES, LEVELS, FIRST = 16, 4, 2
+TREES, LEVELS, FIRST = 16, 3, 2
 TOKENS = TREES * LEVELS
 #: Nodes of more classes branch; blocks of a last node or of a candidate group have at most so many classes and, with full sets, about so many shingles.
 NODE, NODE_BLOCK, BLOCK, BLOCK_SHINGLES = 400, 2000, 1000, 4_000_000
@@ -186,7 +185,7 @@ def full_sets(wanted: DataFrame, k: int) -> DataFrame:
     return map_arrow(wanted.select("text", "class", "nodes"), rows, f"nodes {nodes}, class long, shingles binary").select(F.explode("nodes").alias("n"), "class", "shingles").select("n.*", "class", "shingles")
 
 
-def _token(tree: int, level: int):
+def _token(tree: int, level: int) -> Column:
     return F.substring("tokens", 4 * (tree * LEVELS + level) + 1, 4)
 
 
@@ -218,7 +217,7 @@ def _linked(assigned: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     rows_in = assigned.join(classes.select("class", "bins"), "class").select("node", "class", "label", "asks", "bins").repartition("node").sortWithinPartitions("node")
-    return map_arrow(rows_in, rows, "a long, b long").distinct()
+    return map_arrow(rows_in, rows, "a long, b long")
 
 
 def spanning(sketches: np.ndarray, sets: list[np.ndarray] | None, labels: list[int], asks: np.ndarray) -> np.ndarray:
@@ -282,29 +281,31 @@ def _every(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes from all trees (stored)."""
-    tree = F.explode(F.array(*[F.struct(F.lit(r).alias("tree"), F.xxhash64(F.lit(r), *[_token(r, i) for i in range(FIRST)]).alias("node")) for r in range(TREES)]))
-    level, found, last, rows = FIRST, [], None, classes.select("class", tree.alias("t")).select("class", "t.tree", "t.node")
+    """(node, root), stored: components of the classes by sketches, from all trees."""
+    paths = F.explode(F.array(*[F.array(*[F.xxhash64(F.lit(r), *[_token(r, i) for i in range(n)]) for n in range(FIRST, LEVELS + 1)]) for r in range(TREES)]))
+    level, found, last, rows = FIRST, [], None, classes.select("class", paths.alias("path"))
     total = TREES * classes.count()
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        rows = rows.select("class", F.col("path")[0].alias("node"), F.slice("path", 2, LEVELS).alias("path"))
+        sizes = stash(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         shared = stash(join_hot(rows, sizes, "node", "size", total), "nodes")
+        drop_stash(sizes)
         found.append(_every(shared.filter(F.col("size") <= NODE)))
         large = shared.filter(F.col("size") > NODE)
-        if not large.take(1):
+        total = large.count()
+        if not total:
             break
         if level == LEVELS:
             last = large.select(F.col("node").alias("key"), "class", F.col("size").alias("n"), "size")
             found.append(_blocks(last, NODE_BLOCK))
             break
-        token = F.expr("CASE " + " ".join(f"WHEN tree = {r} THEN substring(tokens, {4 * (r * LEVELS + level) + 1}, 4)" for r in range(TREES)) + " END")
-        rows = large.join(classes.select("class", "tokens"), "class").select("class", "tree", F.xxhash64("node", token).alias("node"))
-        level, total = level + 1, large.count()
+        level, rows = level + 1, large
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    edges = stash(_linked(out, classes), "candidates")
-    return edges if last is None else stash(edges.unionByName(_linked(_apart(last, edges, NODE_BLOCK), classes)), "candidates")
+    roots = components(_linked(out, classes))
+    apart = None if last is None else _apart(last, roots, NODE_BLOCK)
+    return roots if apart is None else extended(roots, stash(_linked(apart, classes), "apart"))
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -317,12 +318,15 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
     return _every(dealt.unionByName(shared).distinct())
 
 
-def _apart(rows: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """node, class, label, asks: every class that `edges` (stored) leave outside the main part of its key meets all of the key, in
-    blocks of both. rows (stored): key, class, n (rows of the key), size."""
-    found = components(edges).select(F.col("node").alias("class"), "root")
+def _apart(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame | None:
+    """node, class, label, asks: every class that the components `roots` leave outside the main part of its key meets all of the key,
+    in blocks of both. None if there is no such class. rows (stored): key, class, n (rows of the key), size."""
+    found = roots.select(F.col("node").alias("class"), "root")
     labelled = stash(rows.join(found, "class", "left").select("key", "class", "n", "size", F.coalesce("root", "class").alias("label")), "labelled")
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.sum("c").alias("n")).filter("rest > 0")
+    parts = stash(parts, "parts")
+    if not parts.take(1):
+        return None
     sides = join_hot(labelled.drop("n"), parts, "key", "n", labelled.count()).withColumn("asks", F.col("label") != F.col("main"))
     sides = sides.withColumn("blocks", F.ceil(F.col("size") / most).cast("int")).withColumn("parts", F.ceil(F.col("rest") / most).cast("int"))
     own, part = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")
@@ -365,15 +369,17 @@ def _verified(docs: DataFrame, k: int, classes: DataFrame, groups: DataFrame) ->
     """(node, root): components of the classes by full sets. groups: (node, root) by sketches."""
     members = stash(groups.select(F.col("node").alias("class"), F.col("root").alias("key")).join(classes.select("class", "n_shingles"), "class"), "members")
     weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") * (BLOCK / BLOCK_SHINGLES)))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("size"))
+    sizes = stash(members.groupBy("key").agg(F.count("*").alias("n"), weight.alias("size")), "sizes")
     sized = stash(join_hot(members, sizes, "key", "n", members.count()).select("key", "class", "n", "size"), "groups")
-    drop_stash(members)
+    for done in (members, sizes):
+        drop_stash(done)
     small, huge = sized.filter(F.col("size") <= BLOCK), sized.filter(F.col("size") > BLOCK)
     nodes = _every(small.select(F.col("key").alias("node"), "class"))
     if not huge.take(1):
         return components(_compared(docs, k, classes, nodes))
-    edges = stash(_compared(docs, k, classes, nodes.unionByName(_blocks(huge, BLOCK))), "links")
-    return components(edges.unionByName(_compared(docs, k, classes, _apart(huge, edges, BLOCK))))
+    roots = components(_compared(docs, k, classes, nodes.unionByName(_blocks(huge, BLOCK))))
+    apart = _apart(huge, roots, BLOCK)
+    return roots if apart is None else extended(roots, stash(_compared(docs, k, classes, apart), "apart"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -395,13 +401,13 @@ def _verdicts(docs: DataFrame, k: int) -> DataFrame:
     some = sketches.filter("class IS NOT NULL")
     first = [F.first(c).alias(c) for c in ("n_shingles", "tokens", "bins")]
     classes = stash(some.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"), F.count("*").alias("n_docs"), *first), "classes")
-    edges = candidates(classes.select("class", "tokens", "bins"))
-    roots = _verified(docs, k, classes.select("class", "key", "n_shingles"), components(edges)).withColumnRenamed("node", "class")
+    groups = candidates(classes.select("class", "tokens", "bins"))
+    roots = _verified(docs, k, classes.select("class", "key", "n_shingles"), groups).withColumnRenamed("node", "class")
     labels = stash(classes.select("class", "first_doc", "n_docs").join(roots, "class", "left").select("class", "first_doc", "n_docs", F.coalesce("root", "class").alias("root")), "labels")
-    for done in (edges, classes):
+    for done in (groups, classes):
         drop_stash(done)
-    least = labels.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n"))
-    by_class = join_hot(labels, least, "root", "n", labels.count()).select("class", "root", "component_id", "n_docs")
+    least = stash(labels.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n")), "roots")
+    by_class = stash(join_hot(labels, least, "root", "n", labels.count()).select("class", "root", "component_id", "n_docs"), "by-class")
     linked = join_hot(some.select("doc_id", "key", "n_shingles", "class"), by_class, "class", "n_docs", sketches.count()).select("doc_id", "key", "n_shingles", "component_id", "root")
     alone = sketches.filter("class IS NULL").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
