@@ -16,12 +16,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
-#: Turns are first merged in stretches of so many turn numbers, so no long conversation is one array of turns.
+#: Turns are first collected and sorted in stretches of so many turn numbers, so many tasks share a long conversation.
 STRETCH = 512
 
-_BLOCKS = "array<struct<role:string,texts:array<string>>>"
-
-
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -30,30 +27,39 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def _append(blocks: Column, block: Column) -> Column:
-    """Adds a block; merges it into the last one if that has the same role."""
-    last = F.element_at(blocks, -1)
-    joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], block["texts"]).alias("texts"))
-    return F.when((F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == block["role"]), F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(joined))).otherwise(F.concat(blocks, F.array(block)))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(turns: Column) -> Column:
+    """Neighbours of one role in an array of turns as blocks (role, texts): each block is a slice that begins where the role changes."""
+
+    def of(t: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+
+        def cut(starts: Column) -> Column:
+            def block(s: Column, j: Column) -> Column:
+                own = F.slice(t, s + 1, F.coalesce(F.get(starts, j + 1), F.size(t)) - s)
+                return F.struct(F.get(t, s)["role"].alias("role"), F.transform(own, lambda x: x["text"]).alias("texts"))
+
+            return F.transform(starts, block)
 
+        return _let(heads, cut)
 
-def _extend(blocks: Column, more: Column) -> Column:
-    """Appends blocks that are merged among themselves: only the seam can merge."""
-    return F.concat(_append(blocks, F.element_at(more, 1)), F.slice(more, 2, F.size(more)))
+    return _let(turns, of)
 
 
 def merge_turns(turns: DataFrame) -> DataFrame:
     """conv_id, blocks: turns ordered by turn (ties by role, then text), neighbours of one role merged.
 
     Null roles and texts count as empty; null turns come first; rows with a null conv_id are one
-    conversation; repeated rows are turns of their own.
+    conversation; repeated rows are turns of their own. An empty table gives no rows. Other columns are not read.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by_stretch = turns.groupBy("conv_id", F.floor(F.col("turn") / STRETCH).alias("stretch")).agg(F.sort_array(F.collect_list(row)).alias("t"))
-    start = F.array().cast(_BLOCKS)
-    merged = by_stretch.select("conv_id", "stretch", F.aggregate("t", start, lambda a, x: _append(a, F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts")))).alias("blocks"))
-    whole = merged.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("stretch", "blocks"))).alias("s"))
-    return whole.select("conv_id", F.aggregate("s", start, lambda a, x: _extend(a, x["blocks"])).alias("blocks"))
+    whole = by_stretch.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("stretch", "t"))).alias("s"))
+    return whole.select("conv_id", _blocks(F.flatten(F.transform("s", lambda x: x["t"]))).alias("blocks"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A text as UTF-32 has four bytes a code point, so its k-grams are fixed slices of bytes, each hashed at its place. Hash
 and place pack into one long (hash above, then the place counted down), so the least long of a window is its least
-hash, rightmost on ties. A fold walks from one window minimum to the next, some two steps a window, however long the text.
+hash, rightmost on ties. (A hash that rolls from place to place has no cheap form here: see the README.) A fold walks from one window minimum to the next, some two steps a window, however long the text.
 Any run of GRAM + WINDOW - 1 characters that two texts share leaves a common hash in both fingerprints.
 """
 
@@ -75,8 +75,10 @@ def _minima(text: Column, first: Column | int, whole: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Packed hashes and places of the text's fingerprint, in order of place. Empty for an empty text; a text shorter than a gram has one hash."""
-    return _minima(text, 0, F.lit(True))
+    """Packed hashes and places of the text's fingerprint, in order of place. Empty for an empty text; a text shorter than a gram has one hash.
+    A text whose places don't fit in PLACE_BITS is an error."""
+    fits = F.when(F.length(text) <= _PLACES, text).otherwise(F.raise_error(F.lit(f"a text has over {_PLACES} characters")).cast("string"))
+    return _minima(fits, 0, F.lit(True))
 
 
 def hash_of(packed: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -319,6 +320,54 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages, labelled.limit(0)).filter("page_id = 1").first()["verdict"] == "allow"
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """Of the mined URLs those are blocked that hold any set of tokens, of any size, which is sure enough."""
+    r = random.Random(11)
+    urls = {}
+    for _ in range(500):
+        host, path = r.choice(["a-b", "a-c", "d", "e"]), "/".join(r.choice(["p", "q", "r", "s"]) for _ in range(r.randint(0, 3)))
+        u = f"https://{host}.example/{path}?{r.choice(['x', 'y', ''])}={r.randrange(10**6)}"
+        urls[u] = r.random() < (0.95 if "a-b" in host and "p" in path else 0.9 if "?y" in u and host == "d" else 0.05)
+    rows = list(urls.items())
+    labelled = spark.createDataFrame(rows + rows[:100] + [(None, True), ("https://n.example/", None)], "url string, blocked boolean")
+    got = url_rules.match_rules(spark.createDataFrame([(u,) for u in urls], "url string"), url_rules.mine_rules(labelled))
+    tokens = {x["url"]: frozenset(x["t"]) for x in labelled.dropna().select("url", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    n, bad = collections.Counter(), collections.Counter()
+    for u, t in tokens.items():
+        for k in range(1, len(t) + 1):
+            for some in itertools.combinations(sorted(t), k):
+                n[some] += 1
+                bad[some] += urls[u]
+    base = sum(urls.values()) / len(urls)
+    sure = {s: bad[s] / n[s] for s in n if n[s] >= url_rules.MIN_ROWS and bad[s] / n[s] >= max(url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT * base)}
+    want = {u: max(c) for u, t in tokens.items() if (c := [c for s, c in sure.items() if t.issuperset(s)])}
+    have = {x["url"]: x["confidence"] for x in got.collect()}
+    assert 50 < len(want) < 250 and have == pytest.approx(want)
+
+
+def test_mining_long_urls_is_bounded(spark):
+    long = "/".join(f"word{chr(97 + i)}" for i in range(24))
+    rows = [(f"https://bad.example/{long}/?q{k}=1", True) for k in range(30)] * 3 + [(f"https://ok{i % 9}.example/a{i}/b", False) for i in range(300)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert len(rules) == 1 and len(rules[0]["antecedent"]) == 25 and rules[0]["confidence"] == 1.0
+
+
+def test_awkward_urls_and_chats(spark):
+    long = "http://x.example/" + "a/" * 50_000 + "?" + "k=1&" * 20_000
+    pages = spark.createDataFrame([(1, None, "d"), (None, "", "d"), (2, long, "d"), (2, long, None), (3, "http://casino.example/", "d"), (4, "http://", "d"), (5, "http://É.example?x", "d")], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(2, 1, 1), (2, 1, 0), (None, None, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    labelled = url_rules.labelled_urls(pages, labels)
+    assert sorted(x["blocked"] for x in labelled.collect()) == [False] * 4 + [True] * 3
+    got = url_rules.judge_urls(pages, labelled).collect()
+    assert len(got) == 7 and {x["verdict"] for x in got} == {"allow"} and sorted(x["host"] for x in got) == ["", "", "", "casino.example", "x.example", "x.example", "É.example"]
+    assert url_rules.judge_urls(pages.limit(0), labelled.limit(0)).count() == 0
+    schema = "conv_id long, turn long, role string, text string, blocks string"
+    turns = [(None, 1, "user", "a", "b"), (None, None, "user", "z", "b"), (None, 1, "user", "a", "b"), (1, 5, None, None, None), (1, 5, "assistant", "", None)]
+    chats = {x["conv_id"]: (x["formatted"], x["loss_spans"]) for x in chat.format_chats(spark.createDataFrame(turns, schema)).collect()}
+    assert chats[None] == ("<|turn|>user<|text|>z<|next|>a<|next|>a<|end|>", []) and chats[1][0] == "<|turn|><|text|><|end|><|turn|>assistant<|text|><|end|>"
+    assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_index_keeps_what_came_first(spark):
     index = exact_dedup.DigestIndex(spark, "index_test", buckets=4)
     first = exact_dedup.deduplicate(spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string"), index)
