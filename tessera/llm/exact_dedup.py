@@ -49,8 +49,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     Of equal texts in this batch the row with the largest id stands for all; a digest that an earlier
     batch brought keeps the id it has in the index, and then nothing of this batch is kept. Null and
     empty texts are one group. Rows that repeat an id with an equal text all carry the same verdict; a
-    null id is kept only where its group has no other. An empty table gives an empty result. Columns
-    besides the two named are not read.
+    null id is kept only where its group has no other. Very long texts are digested whole. An empty table gives an empty result.
+    Columns besides the two named are not read. Without an index the batch gets one of its own, which goes again.
     """
     spark = docs.sparkSession
     own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
@@ -58,6 +58,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     groups = d.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     own.add(groups)
     found = stash(groups.drop("keep_id").join(own.rows().hint("merge"), "digest"), "groups")
+    if index is None:
+        own.drop()
     return join_hot(d, found, "digest", "group_size", d.count()).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -2,7 +2,8 @@
 
 Records hash by id into a fixed number of virtual slots. Bytes are summed per slot, and a small
 versioned table maps slots to shards. Rebalancing edits that map: a shard keeps the slots that fit its
-share and only the rest move, each to the shard with the fewest bytes so far. Work on records is one
+share and only the rest move, each to the shard with the fewest bytes so far. A MapStore keeps every version, so a later run starts
+from the latest map and moves little. Work on records is one
 hash, one partial aggregation and one window within slots; the map has SLOTS rows whatever the input.
 """
 
@@ -36,6 +37,34 @@ def first_map(spark: SparkSession, shards: int) -> DataFrame:
     return spark.range(SLOTS).select(F.col("id").alias("virtual_slot"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(0).alias("version"))
 
 
+class MapStore:
+    """All versions of a corpus's slot map, in a table of SLOTS rows a version (virtual_slot, shard, version). A version that was not
+    written whole doesn't count."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+
+    def versions(self) -> list[int]:
+        if not self.spark.catalog.tableExists(self.name):
+            return []
+        return [r[0] for r in self.spark.table(self.name).groupBy("version").count().filter(F.col("count") == SLOTS).orderBy("version").collect()]
+
+    def load(self, version: int | None = None) -> DataFrame | None:
+        """The map of a version, of the latest if none is named; None if there is none yet."""
+        known = self.versions()
+        if version is not None and version not in known:
+            raise KeyError(f"{self.name} has no version {version}")
+        return self.spark.table(self.name).filter(F.col("version") == (known[-1] if version is None else version)) if known else None
+
+    def append(self, slot_map: DataFrame) -> DataFrame:
+        """Adds a version, higher than those before; gives it back as stored."""
+        version = slot_map.agg(F.max("version")).first()[0]
+        if version in self.versions():
+            raise ValueError(f"{self.name} has version {version} already")
+        slot_map.select("virtual_slot", "shard", "version").coalesce(1).write.format("parquet").mode("append").saveAsTable(self.name)
+        return self.load(version)
+
+
 def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int) -> DataFrame:
     """The next version of the map, for `shards` shards, with near-equal bytes.
 
@@ -75,15 +104,19 @@ def shard_rows(rows: DataFrame, slot_map: DataFrame, weights: DataFrame) -> Data
     return rows.withColumn("place", place).join(F.broadcast(starts), "virtual_slot").withColumn("slot", (F.col("first") + F.col("place")).cast("long"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, store: MapStore | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    The law is `bytes`: shard sizes are near equal, to within a virtual slot. Rows that repeat an id share
-    a slot and each keep their place. An empty table gives no rows. Other columns of docs are not read.
+    The law is `bytes`: shard sizes are near equal, to within a virtual slot. The map of `store` is edited and kept there as its next
+    version; without a store slots are dealt anew. Rows that repeat an id share a slot and each keep their place; null ids go by
+    their text, null texts have size 1. Very long texts are measured whole, none is moved. An empty table gives no rows. Other
+    columns of docs are not read.
     """
     rows = stash(records(docs), "slots")
     weights = stash(slot_weights(rows), "weights")
-    slot_map = stash(rebalance(first_map(docs.sparkSession, shards), weights, shards), "slot-map")
+    before = store.load() if store else None
+    after = rebalance(first_map(docs.sparkSession, shards) if before is None else before, weights, shards)
+    slot_map = store.append(stash(after, "slot-map")) if store else stash(after, "slot-map")
     return shard_rows(rows, slot_map, weights).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 

@@ -376,6 +376,8 @@ def test_index_keeps_what_came_first(spark):
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second.collect()} == {9: (2, False), 10: (10, True)}
     assert index.rows().count() == 3
     index.drop()
+    exact_dedup.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 def test_shards(spark):
@@ -394,6 +396,46 @@ def test_shards(spark):
     assert moved[0] < 0.25 * moved[2] and 0.09 * moved[2] < moved[1] < 0.13 * moved[2]
 
 
+def brute_rebalance(shard_of, weight, shards):
+    share, out, load, moving = sum(weight.values()) / shards, {}, [0] * shards, []
+    for s in sorted(set(shard_of.values())):
+        upto = 0
+        for v in sorted((v for v in shard_of if shard_of[v] == s), key=lambda v: (-weight[v], v)):
+            upto += weight[v]
+            if upto <= share and s < shards:
+                out[v] = s
+                load[s] += weight[v]
+            else:
+                moving.append((weight[v], v))
+    for w, v in sorted(moving, reverse=True):
+        out[v] = load.index(min(load))
+        load[out[v]] += w
+    return out
+
+
+def test_shards_equal_brute_force_and_go_on_from_the_stored_map(spark):
+    r = random.Random(12)
+    rows = [(r.choice([i, i, None, 7]), r.choice(["", None, "é" * r.randrange(300), "x" * r.randrange(2000)])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = sharding.MapStore(spark, "slot_maps_test")
+    assert store.load() is None
+    placed = sharding.records(docs).toPandas()
+    weight = {**dict.fromkeys(range(sharding.SLOTS), 0), **placed.groupby("virtual_slot")["size"].sum().to_dict()}
+    was = {v: v % 8 for v in range(sharding.SLOTS)}
+    for version, shards in ((1, 8), (2, 9), (3, 5)):
+        got = sharding.shard_documents(docs, shards, store).toPandas()
+        want = brute_rebalance(was, weight, shards)
+        assert set(got["map_version"]) == {version} and [want[v] for v in got["virtual_slot"]] == got["shard"].tolist()
+        own = got.assign(text_crc32=got["text_crc32"], null_first=got["doc_id"].notna()).sort_values(["virtual_slot", "null_first", "doc_id", "text_crc32", "size"])
+        for _, g in own.groupby("shard"):
+            assert g["slot"].tolist() == list(range(len(g)))
+        was = want
+    assert store.versions() == [1, 2, 3] and store.load(2).count() == sharding.SLOTS
+    with pytest.raises(KeyError):
+        store.load(9)
+    spark.sql("DROP TABLE slot_maps_test")
+
+
 def test_language_on_held_out_rows(spark):
     r = random.Random(6)
     syllables = {"en": ["the", "ing", "tion", "and", "er"], "de": ["sch", "ung", "heit", "ein", "ü"], "fr": ["eau", "ment", "é", "ou", "le"]}
