@@ -26,7 +26,9 @@ from tessera.llm.common import stash, table
 ORDERS, BITS = 3, 17
 BUCKETS = 1 << BITS
 #: Rows, all languages together, that the classifier is fitted on at most.
-SAMPLE = 2000
+SAMPLE = 4000
+#: Languages learned at most: the most frequent ones.
+LANGUAGES = 64
 EPOCHS = 3
 #: Follow-the-regularised-leader: learning rate and its damping, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -126,10 +128,9 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def sample(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Up to `most` rows (lang, pick, text), as many of each language; which ones hangs on the texts alone."""
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    each = sizes.agg(F.count("*")).first()[0]
-    each = max(1, most // max(1, each))
+    """Up to `most` rows (lang, pick, text), as many of each of the LANGUAGES most frequent languages; which ones hangs on the texts alone."""
+    sizes = stash(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "languages")
+    each = most // max(1, sizes.count())
     pick = F.xxhash64("text", F.lit(7))
     share = F.lit(1.5 * each + 50) / F.col("n")  # far more than `each` rows pass only with small chance; the window cuts them
     near = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", pick.alias("pick"), "text")
@@ -186,26 +187,39 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(rows: DataFrame) -> Model:
-    """A model from rows (text, lang); rows with a null text or language are left out. No rows: a model that knows no language."""
+    """A model from rows (text, lang); rows with a null text or language are left out. No rows: a model that knows no language.
+
+    The sample's features, bounded by SAMPLE rows of BUCKETS entries, meet in one task, which fits and calibrates; the driver gets the model.
+    """
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    got = _sparse(sample(rows)).toPandas().sort_values(["pick", "lang"], ignore_index=True)
-    if not len(got):
+    idf = np.log((1 + rows.count()) / (1 + document_frequencies(rows))) + 1
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, at.astype(np.int64), tf) for b in batches for lang, at, tf in zip(b.column("lang").to_pylist(), *([x.values.to_numpy() for x in b.column(c)] for c in ("at", "tf")), strict=True)]
+        if not got:
+            return
+        languages = sorted({lang for lang, *_ in got})
+        examples = [(at, tf * idf[at] * SCALE, languages.index(lang)) for lang, at, tf in got]
+        judged = len(examples) >= 50
+        weights, bias = follow_the_leader([e for i, e in enumerate(examples) if i % 5 or not judged], len(languages))
+        judge = examples[::5] if judged else []
+        logits = np.array([x @ weights[at] + bias for at, x, _ in judge]).reshape(len(judge), len(languages))
+        temperature = calibrate(logits, np.array([y for *_, y in judge], int))
+        columns = [pa.array([languages]), pa.array([(weights * idf[:, None]).astype(np.float32).tobytes()]), pa.array([bias.tobytes()]), pa.array([temperature])]
+        yield pa.RecordBatch.from_arrays(columns, ["languages", "weights", "bias", "temperature"])
+
+    one = _sparse(sample(rows)).repartition(1).sortWithinPartitions("pick", "lang")
+    model = map_arrow(one, fitted, "languages array<string>, weights binary, bias binary, temperature double").first()
+    if model is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    total = rows.count()
-    idf = np.log((1 + total) / (1 + document_frequencies(rows))) + 1
-    languages = sorted(got["lang"].unique())
-    examples = [(at, tf * idf[at] * SCALE, languages.index(lang)) for lang, at, tf in zip(got["lang"], map(np.asarray, got["at"]), map(np.asarray, got["tf"]), strict=True)]
-    fit, judge = [e for i, e in enumerate(examples) if i % 5 or len(examples) < 50], [e for i, e in enumerate(examples) if i % 5 == 0 and len(examples) >= 50]
-    weights, bias = follow_the_leader(fit, len(languages))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in judge]).reshape(len(judge), len(languages))
-    temperature = calibrate(logits, np.array([y for *_, y in judge], int))
-    return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, temperature)
+    return Model(model["languages"], np.frombuffer(model["weights"], np.float32).reshape(BUCKETS, -1), np.frombuffer(model["bias"]), model["temperature"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs, from the text alone.
 
-    Null texts and texts without a letter are `und` with score 0. Equal texts get equal answers. Other columns are not read.
+    Null texts and texts without a letter are `und` with score 0. Equal texts get equal answers, so rows that repeat an id are judged
+    text by text. Very long texts are read whole. An empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

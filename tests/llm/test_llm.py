@@ -474,6 +474,24 @@ def test_pipeline_equals_its_parts(spark, data):
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == len(rows)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids with different texts, texts without a letter, null texts, columns of other names; and no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    words = ["stone", "river", "window", "garden", "paper", "winter", "yellow", "market", "silver", "travel", "number", "letter"]
+    text = lambda: " ".join(r.choice(words) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, d), (3, e), (3, e), (4, e + " more words here"), (5, None), (6, "123 !?"), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "d") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).filter("piece = 0").collect()
+    # d stays with its largest id, then one of 3 and 4 with the smallest; no text is lost but copies and what has no letter.
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == [(False, 1), (False, 2), (False, 3), (True, 0), (True, 0)]
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages_judge_ids_text_by_text(spark):
     r = random.Random(5)
     text = lambda: " ".join(r.choice("abcdefgh") + str(r.randrange(10_000)) for _ in range(60))
