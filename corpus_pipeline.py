@@ -47,6 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of what all stages keep of the documents table.
+
+    Null and empty texts and those without a letter go in the first stage. Ids may be null or repeated: stages judge a row by
+    its id and text, and rows that repeat both become one. Long texts are read whole. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
