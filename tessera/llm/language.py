@@ -30,6 +30,8 @@ SAMPLE = 4000
 #: Languages learned at most: the most frequent ones.
 LANGUAGES = 64
 EPOCHS = 3
+#: Characters worked on at once.
+STRETCH = 1 << 19
 #: Follow-the-regularised-leader: learning rate and its damping, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 #: Relative frequencies are small; this brings features near 1.
@@ -49,22 +51,33 @@ def _letters() -> np.ndarray:
     return out
 
 
-def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets (one row an order) of the n-grams that begin at each place of the padded texts; where each text begins; whether it has a letter.
-
-    Each text is padded by itself, so its n-grams don't depend on its neighbours.
-    """
-    codes = _letters()[np.frombuffer("".join([f" {t}  " for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    starts = np.concatenate(([0], np.cumsum([len(t) + 3 for t in texts])))[:-1]
-    some = np.add.reduceat((codes != 32).astype(np.int64), starts) > 0
-    out, h = np.empty((ORDERS, len(codes)), np.int64), np.full(len(codes), 2166136261, np.uint32)
+def _buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets (one row an order) of the n-grams that begin at each of the codes."""
+    out, h = np.empty((ORDERS, len(codes)), np.int32), np.full(len(codes), 2166136261, np.uint32)
     after = codes
     for n in range(ORDERS):
         h = (h ^ after) * np.uint32(16777619)
         h ^= h >> np.uint32(15)
         out[n] = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         after = np.append(after[1:], np.uint32(32))
-    return out, starts, some
+    return out
+
+
+def gram_buckets(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From, to, and for the texts between: buckets (one row an order) of the n-grams that begin at each place; where each text begins;
+    whether it has a letter. A text longer than STRETCH comes by itself in several parts, so memory is bounded.
+
+    Each text is padded by itself, so its n-grams don't depend on its neighbours.
+    """
+    letters = _letters()
+    for a, b in runs(texts, STRETCH):
+        padded = "".join([f" {t}  " for t in texts[a:b]])
+        starts = np.concatenate(([0], np.cumsum([len(t) + 3 for t in texts[a:b]])))[:-1] if b - a > 1 else np.zeros(1, np.int64)
+        step = len(padded) if b - a > 1 else STRETCH
+        for at in range(0, len(padded), step):
+            codes = letters[np.frombuffer(padded[at : at + step + ORDERS - 1].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            buckets = _buckets(codes)[:, :step]
+            yield a, b, buckets, starts, np.add.reduceat((codes[:step] != 32).astype(np.int64), starts) > 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,15 +97,15 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        names, scores = [], []
-        for a, b in runs(texts):
-            buckets, starts, some = gram_buckets(texts[a:b])
-            logits = sum(np.add.reduceat(self.weights[row], starts, axis=0, dtype=np.float64) for row in buckets)
-            sizes = np.diff(np.append(starts, buckets.shape[1]))[:, None] * ORDERS
-            best, score = self.decide(logits * SCALE / sizes + self.bias)
-            names += [self.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), some.tolist(), strict=True)]
-            scores += np.where(some, score, 0.0).tolist()
-        return names, scores
+        n = len(texts)
+        logits, sizes, some = np.zeros((n, len(self.languages))), np.zeros((n, 1)), np.zeros(n, bool)
+        for a, b, buckets, starts, letter in gram_buckets(texts):
+            for row in buckets:
+                logits[a:b] += np.add.reduceat(self.weights[row], starts, axis=0, dtype=np.float64)
+            sizes[a:b, 0] += np.diff(np.append(starts, buckets.shape[1])) * ORDERS
+            some[a:b] |= letter
+        best, score = self.decide(logits * SCALE / np.maximum(sizes, 1) + self.bias)
+        return [self.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0).tolist()
 
     def decide(self, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = softmax(logits / self.temperature)
@@ -110,14 +123,19 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
         for batch in batches:
-            texts = texts_of(batch)
-            for a, b in runs(texts):
-                buckets, starts, _ = gram_buckets(texts[a:b])
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), buckets.shape[1]], strict=True):
-                    own = buckets[:, s:e]
-                    seen[own] = True
+            last = -1
+            for a, _, buckets, starts, _ in gram_buckets(texts_of(batch)):
+                if a != last:
                     df += seen
-                    seen[own] = False
+                    seen[:] = False
+                for i, (s, e) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), buckets.shape[1]], strict=True)):
+                    if i:
+                        df += seen
+                        seen[:] = False
+                    seen[buckets[:, s:e]] = True
+                last = a
+            df += seen
+            seen[:] = False
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["bucket", "df"])
 
@@ -145,9 +163,10 @@ def _sparse(rows: DataFrame) -> DataFrame:
         for batch in batches:
             at, n = [], []
             for t in texts_of(batch):
-                u, c = np.unique(gram_buckets([t])[0], return_counts=True)
+                c = sum(np.bincount(part.ravel(), minlength=BUCKETS) for _, _, part, _, _ in gram_buckets([t]))
+                u = np.flatnonzero(c)
                 at.append(u.astype(np.int32))
-                n.append((c / c.sum()).astype(np.float32))
+                n.append((c[u] / c.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["lang", "pick", "at", "tf"])
 
     return map_arrow(rows.select("lang", "pick", "text"), features, "lang string, pick long, at array<int>, tf array<float>")

@@ -436,7 +436,7 @@ def test_shards_equal_brute_force_and_go_on_from_the_stored_map(spark):
     spark.sql("DROP TABLE slot_maps_test")
 
 
-def test_language_on_held_out_rows(spark):
+def test_language_on_held_out_rows(spark, monkeypatch):
     r = random.Random(6)
     syllables = {"en": ["the", "ing", "tion", "and", "er"], "de": ["sch", "ung", "heit", "ein", "ü"], "fr": ["eau", "ment", "é", "ou", "le"]}
     rows = [(i, " ".join("".join(r.choice(syllables[g]) for _ in range(r.randint(1, 3))) for _ in range(30)), g) for i, g in enumerate(r.choice(["en", "de", "fr"]) for _ in range(400))] + [(900, "123 !!", "en"), (901, None, None)]
@@ -446,6 +446,13 @@ def test_language_on_held_out_rows(spark):
     held = [x["lang_pred"] == x["lang"] for x in got if x["held_out"] and x["doc_id"] < 900]
     assert len(held) > 60 and sum(held) / len(held) > 0.97
     assert {x["lang_pred"] for x in got if x["doc_id"] >= 900} == {"und"}
+    long = [" ".join(r.choice(syllables[g]) for _ in range(900)) for g in syllables for _ in range(2)]
+    trained = language.train(docs)
+    whole, counts = trained.predict(long), language.document_frequencies(docs)
+    monkeypatch.setattr(language, "STRETCH", 700)
+    assert trained.predict(long)[0] == whole[0] and trained.predict(long)[1] == pytest.approx(whole[1])
+    own = [set(np.concatenate([p.ravel() for _, _, p, _, _ in language.gram_buckets([t or ""])]).tolist()) for _, t, _ in rows]
+    assert all(counts[k] == sum(k in o for o in own) for k in list(own[0])[:40]) and counts.max() == len(rows)
     model = language.Model(["a", "b"], np.ones((language.BUCKETS, 2), np.float32), np.zeros(2), 1.0)
     assert model.predict(["abc"]) == (model.predict(["x", "abc"])[0][1:], model.predict(["x", "abc"])[1][1:])
 
