@@ -89,6 +89,47 @@ def norm_doi(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(c(x))), "(10[.][0-9]{4,9}/[^ #]+)", 1), F.lit(""))
 
 
+def doi_author_key(doi: Column | str, place: Column | str) -> Column:
+    """DOI and author position: one authorship, the same in every index."""
+    return F.when(c(place) >= 0, F.concat(norm_doi(doi), F.lit("#author-"), c(place).cast("string")))
+
+
+def parse_doi_author_key(x: Column | str) -> Column:
+    """struct(doi, place) of an author key, or null."""
+    doi, place = norm_doi(F.regexp_extract(c(x), "^(.+)#author-[0-9]+$", 1)), F.regexp_extract(c(x), "#author-([0-9]+)$", 1)
+    return F.when(doi.isNotNull() & (place != ""), F.struct(doi.alias("doi"), F.nullif(place, F.lit("")).cast("int").alias("place")))
+
+
+def profile_url_ok(url: Column | str) -> Column:
+    """The canonical URL of a member page of the professional network, or null for any other URL."""
+    handle = F.regexp_extract(c(url), "^https://(?:[wW]{3}[.])?(?i:linkedin[.]com)[.]?(?::443)?/in/([A-Za-z0-9_-]{2,150})/?(?:[?#].*)?$", 1)
+    return F.when(handle != "", F.concat(F.lit("https://www.linkedin.com/in/"), handle))
+
+
+def fact_ordinal(n: Column | str) -> Column:
+    """1st, 2nd, 3rd, 11th: a whole number of 1 at least, with its ending."""
+    n = F.greatest(F.lit(1).cast("long"), F.floor(c(n)).cast("long"))
+    ending = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), ending)
+
+
+def roster_facts(name: Column | str, event: Column | str, affiliation: Column | str, rank: Column | str, recognition: Column | str) -> Column:
+    """Two facts of an official roster entry, as an array; empty if neither rank, recognition nor affiliation is known."""
+    name, event, ranked, award = c(name), c(event), F.coalesce(c(rank) > 0, F.lit(False)), F.lower(c(recognition))
+    come = F.when(c(affiliation).isNotNull(), F.concat(name, F.lit(" represented "), c(affiliation), F.lit(" at "), event, F.lit("."))).otherwise(F.concat(name, F.lit(" competed at "), event, F.lit(".")))
+    placed = F.concat(name, F.lit(" placed "), fact_ordinal(F.coalesce(c(rank), F.lit(1))), F.lit(" overall"))
+    earned = F.concat(F.lit(" earned "), award, F.lit(" recognition."))
+    done = F.when(ranked & award.isNotNull(), F.concat(placed, F.lit(" and"), earned)).when(ranked, F.concat(placed, F.lit(" in the official results."))).when(award.isNotNull(), F.concat(name, earned)).otherwise(F.concat(name, F.lit(" appears in the official "), event, F.lit(" results.")))
+    return F.when(ranked | award.isNotNull() | c(affiliation).isNotNull(), F.array(come, done)).otherwise(F.array().cast("array<string>"))
+
+
+def licensed_fact(name: Column | str, description: Column | str, source: str) -> Column:
+    """What a licensed profile lists first under work, education or skills, as one fact; null if nothing."""
+    lines = F.transform(F.split(c(description), "\n+"), lambda x: F.trim(F.substring_index(F.regexp_extract(F.trim(x), "^(?i:work history|education|listed skills):\\s*(.+)$", 1), ";", 1)))
+    detail = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
+    return F.concat(F.lit(f"{source} lists "), detail, F.lit(" for "), c(name), F.lit("."))
+
+
 def placement(x: Column | str) -> Column:
     """The rank in texts such as 27, Rank 27th, T27 or 27 (tied)."""
     return F.nullif(F.regexp_extract(F.trim(c(x)), "^(?i:rank +|t)?([0-9]+)(?i:st|nd|rd|th)?( *[(](?i:tied)[)])?$", 1), F.lit("")).cast("int")
@@ -113,6 +154,17 @@ def dice(a: Column | str, b: Column | str) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2.0 * shared / (F.length(a) + F.length(b) - 2))
 
 
+def numbered_bigrams(x: Column | str) -> Column:
+    """Bigrams with their count so far: a set that stands for the multiset."""
+    return F.element_at(F.transform(F.array(bigrams(c(x))), lambda g: F.transform(g, lambda e, i: F.concat(e, F.size(F.filter(F.slice(g, 1, i), lambda o: o == e)).cast("string")))), 1)
+
+
+def dice_of(a: Column | str, a_grams: Column | str, b: Column | str, b_grams: Column | str) -> Column:
+    """dice of two texts whose numbered bigrams are at hand."""
+    a, b = c(a), c(b)
+    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2.0 * F.size(F.array_intersect(c(a_grams), c(b_grams))) / (F.length(a) + F.length(b) - 2))
+
+
 def private_address(url: Column | str) -> Column:
     """Whether a URL's host is local or in a blocked range."""
     host = F.lower(F.regexp_extract(c(url), "^[a-zA-Z]+://([^/?#:]+)", 1))

@@ -38,12 +38,19 @@ def dashboard_metrics(candidates: DataFrame, evidence: DataFrame, now: str) -> D
 
 
 def graph_support(edges: DataFrame, key: str) -> DataFrame:
+    """What supports each key: sources, links, weights by relation. Edges are added up by source first, and links counted on their own,
+    so nothing is expanded for a distinct count and a hot key is spread over its sources."""
     weight = lambda *r: F.coalesce(F.sum(F.when(F.col("relation").isin(*r), F.greatest(F.lit(0.0), "weight"))), F.lit(0.0))
-    return edges.groupBy(key).agg(
-        F.count_distinct("source_id").alias("sources"), F.max("weight").alias("strongest"), F.sum(F.least(F.lit(1.0), "weight")).alias("support"),
-        weight("coauthors_with").alias("coauthor"), weight("collaborates_with", "contributes_to").alias("collaboration"), weight("engages_with").alias("engagement"),
-        F.sort_array(F.collect_set("relation")).alias("relations"), F.count_distinct("source_url").alias("links"), F.max("observed_at").alias("latest"),
+    by_source = edges.groupBy(key, "source_id").agg(
+        F.max("weight").alias("strongest"), F.sum(F.least(F.lit(1.0), "weight")).alias("support"), weight("coauthors_with").alias("coauthor"),
+        weight("collaborates_with", "contributes_to").alias("collaboration"), weight("engages_with").alias("engagement"), F.collect_set("relation").alias("relations"), F.max("observed_at").alias("latest"),
     )
+    sums = [F.sum(c).alias(c) for c in ("support", "coauthor", "collaboration", "engagement")]
+    # A key has as many sets of relations as sources, but few different ones.
+    relations = F.sort_array(F.array_distinct(F.flatten(F.collect_set("relations"))))
+    out = by_source.groupBy(key).agg(F.count("source_id").alias("sources"), F.max("strongest").alias("strongest"), *sums, relations.alias("relations"), F.max("latest").alias("latest"))
+    links = edges.select(key, "source_url").distinct().groupBy(key).agg(F.count("source_url").alias("links"))
+    return out.join(links, key)
 
 
 def coauthor_edges(works: DataFrame, block: int = 500) -> DataFrame:

@@ -5,39 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import dice, fold_name, fold_org, norm_url
+from tessera.functions.expr import dice_of, fold_name, fold_org, norm_url, numbered_bigrams
 from tessera.operators.joins import block
 from tessera.operators.windows import cap_per_group, first_of
 
 
-def candidate_pairs(observations: DataFrame, identities: DataFrame, per_name: int = 10) -> DataFrame:
-    """Pairs that share a provider subject, a website or a folded name (its first identities only)."""
+def candidate_pairs(observations: DataFrame, identities: DataFrame, per_name: int = 10, per_site: int = 10) -> DataFrame:
+    """Pairs that share a provider subject, a website or a folded name. Only a subject pairs without bound, as it is one account's;
+    a name or site that many share says little, so its first identities stand for it."""
     keys = lambda df: df.withColumn("site_", norm_url("website")).withColumn("name_", fold_name("name"))
-    return block(keys(observations), keys(identities), {"subject": None, "site_": None, "name_": per_name})
+    return block(keys(observations), keys(identities), {"subject": None, "site_": per_site, "name_": per_name})
+
+
+def _folded(rows: DataFrame, key: str, mark: str) -> DataFrame:
+    """What pairs compare, worked out once a row: folded name and its bigrams, site, place and organisations."""
+    orgs = F.filter(F.transform("affiliations", lambda v: fold_org(v)), lambda v: v != "")
+    x = rows.select(key, "verified", F.lower("subject").alias("subject"), fold_name("name").alias("name"), norm_url("website").alias("site"), fold_name("location").alias("place"), orgs.alias("orgs"))
+    return x.withColumn("grams", numbered_bigrams(F.col("name"))).select([F.col(c).alias(c if c == key else f"{mark}_{c}") for c in [*x.columns, "grams"]])
 
 
 def score_pairs(pairs: DataFrame, observations: DataFrame, identities: DataFrame) -> DataFrame:
     """Pairs with score, durable and reasons. Exact subjects and e-mail hashes decide; else name, website, affiliation and location add up."""
-    o = observations.select([F.col(c).alias(c if c == "observation_id" else f"o_{c}") for c in observations.columns])
-    i = identities.select([F.col(c).alias(c if c == "identity_id" else f"i_{c}") for c in identities.columns])
-    x = pairs.join(o, "observation_id").join(i, "identity_id")
-    same_subject = F.lower("o_subject") == F.lower("i_subject")
+    x = pairs.join(_folded(observations, "observation_id", "o"), "observation_id").join(_folded(identities, "identity_id", "i"), "identity_id")
+    exact = F.coalesce(F.col("o_subject") == F.col("i_subject"), F.lit(False))
     verified = F.col("o_verified") & F.col("i_verified")
-    x = x.withColumn("likeness", dice(fold_name("o_name"), fold_name("i_name")))
-    site = F.coalesce(norm_url("o_website") == norm_url("i_website"), F.lit(False))
-    orgs = lambda c: F.filter(F.transform(c, lambda v: fold_org(v)), lambda v: v != "")
-    org = F.arrays_overlap(orgs(F.col("o_affiliations")), orgs(F.col("i_affiliations")))
-    place = F.coalesce(fold_name("o_location") == fold_name("i_location"), F.lit(False))
-    blend = F.least(F.lit(1.0), F.col("likeness") * 0.38 + F.when(site, 0.48).otherwise(0.0) + F.when(org, 0.24).otherwise(0.0) + F.when(place, 0.08).otherwise(0.0))
-    name = F.when(F.col("likeness") == 1, "exact name").when(F.col("likeness") > 0.82, "similar name")
-    reasons = F.concat_ws(", ", name, F.when(site, "website"), F.when(org, "affiliation"), F.when(place, "location"))
-    exact = F.coalesce(same_subject, F.lit(False))
-    return x.select(
-        "observation_id", "identity_id",
-        F.when(exact, F.when(verified, 1.0).otherwise(0.92)).otherwise(blend).alias("score"),
-        F.when(exact, verified).otherwise(site & (F.col("likeness") > 0.82)).alias("durable"),
-        F.when(exact, F.when(verified, "exact subject").otherwise("unverified subject")).otherwise(reasons).alias("reasons"),
-    )
+    site = F.coalesce(F.col("o_site") == F.col("i_site"), F.lit(False))
+    org = F.coalesce(F.arrays_overlap("o_orgs", "i_orgs"), F.lit(False))
+    place = F.coalesce(F.col("o_place") == F.col("i_place"), F.lit(False))
+    signs = F.struct(dice_of("o_name", "o_grams", "i_name", "i_grams").alias("likeness"), site.alias("site"), org.alias("org"), place.alias("place"), exact.alias("exact"), verified.alias("verified"))
+
+    def judged(s: Column) -> Column:
+        blend = F.least(F.lit(1.0), s["likeness"] * 0.38 + F.when(s["site"], 0.48).otherwise(0.0) + F.when(s["org"], 0.24).otherwise(0.0) + F.when(s["place"], 0.08).otherwise(0.0))
+        name = F.when(s["likeness"] == 1, "exact name").when(s["likeness"] > 0.82, "similar name")
+        reasons = F.concat_ws(", ", name, F.when(s["site"], "website"), F.when(s["org"], "affiliation"), F.when(s["place"], "location"))
+        return F.struct(
+            F.when(s["exact"], F.when(s["verified"], 1.0).otherwise(0.92)).otherwise(blend).alias("score"),
+            F.when(s["exact"], s["verified"]).otherwise(s["site"] & (s["likeness"] > 0.82)).alias("durable"),
+            F.when(s["exact"], F.when(s["verified"], "exact subject").otherwise("unverified subject")).otherwise(reasons).alias("reasons"),
+        )
+
+    # As a lambda's argument the signs are worked out once, however often they are used.
+    return x.select("observation_id", "identity_id", F.explode(F.transform(F.array(signs), judged)).alias("j")).select("observation_id", "identity_id", "j.*")
 
 
 def decide(observations: DataFrame, scored: DataFrame) -> DataFrame:
@@ -89,9 +97,15 @@ def review_decision(hypotheses: DataFrame) -> DataFrame:
 
 
 def match_author(authors: DataFrame, persons: DataFrame) -> DataFrame:
-    """(author_id, person_id) where name and institution agree for exactly one person."""
-    hits = authors.withColumn("n_", fold_name("name")).join(persons.withColumn("n_", fold_name("name")).select("n_", "person_id", F.col("institution").alias("own")), "n_").filter(F.contains(F.lower("institution"), F.lower("own")))
-    return hits.groupBy("author_id").agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id")).filter("n = 1").select("author_id", "person_id")
+    """(author_id, person_id) where name and institution agree for exactly one person. Both sides are cut to one row for each name
+    and institution first, so a name that many share joins institutions and not persons."""
+    own = persons.groupBy(fold_name("name").alias("n_"), F.lower("institution").alias("own")).agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
+    asked = authors.select("author_id", fold_name("name").alias("n_"), F.lower("institution").alias("at"))
+    hits = asked.select("n_", "at").distinct().join(own, "n_").filter(F.contains("at", "own")).groupBy("n_", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    one = hits.filter("low = high").select("n_", "at", F.col("low").alias("person_id"))
+    several = hits.filter("low < high").select("n_", "at")
+    found = asked.join(one, ["n_", "at"]).groupBy("author_id").agg(F.min("person_id").alias("low"), F.max("person_id").alias("high")).filter("low = high")
+    return found.join(asked.join(several, ["n_", "at"]).select("author_id"), "author_id", "left_anti").select("author_id", F.col("low").alias("person_id"))
 
 
 def hypotheses(observations: DataFrame, resolved: DataFrame) -> DataFrame:

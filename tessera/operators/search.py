@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.store import stored
 
-#: Queries searched at once; the query side of a batch is broadcast, so more are searched in blocks.
-MAX_QUERIES = 10_000
+#: Queries searched at once; every task holds them as a matrix, so more are searched in blocks. Similarities worked out at once.
+MAX_QUERIES, CELLS = 10_000, 4_000_000
+#: Inverted lists at most, and the share of them, in percent, that a query is looked up in.
+MAX_LISTS, PROBED = 1024, 60
 #: Okapi BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -34,11 +39,16 @@ def query_terms(asked: str) -> list[str]:
 
 
 def lexical_rank(docs: DataFrame, asked: str) -> DataFrame:
-    """doc_id, text_rank in [0, 1): BM25 over the asked terms, x / (x + 1). Two scans, no shuffle of texts: the corpus gives one row of counts."""
+    """doc_id, text_rank in [0, 1): BM25 over the asked terms, x / (x + 1). One scan of texts, which are parted once and not shuffled; their
+    counts are stored, and the corpus gives one row of statistics."""
     terms = query_terms(asked)
-    tokens = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda t: t != "").alias("t"))
-    times = lambda w: F.size(F.filter("t", lambda x: x == w))
-    counted = tokens.select("doc_id", F.size("t").alias("n"), *[times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    if not terms:
+        return docs.select("doc_id", F.lit(0.0).alias("text_rank")).limit(0)
+    tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    cut = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(terms)).alias("hits")))
+    parted = docs.select("doc_id", F.explode(cut).alias("c"))
+    times = lambda w: F.size(F.filter("c.hits", lambda x: x == w))
+    counted = stored(parted.select("doc_id", "c.n", *[times(w).alias(f"tf{i}") for i, w in enumerate(terms)]), "term-counts")
     stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = counted.crossJoin(F.broadcast(stats))  # one row
 
@@ -61,35 +71,57 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, scores: DataFrame, asked:
     return x.withColumn("fused", fused).orderBy(F.desc(F.round("fused", 6)), F.desc("score"), "doc_id").limit(max(1, min(100, k)))
 
 
-def batch_search(queries: DataFrame, vectors: DataFrame, k: int = 10, parts: int = 64) -> DataFrame:
-    """query_id, vec_id, similarity, place: the k nearest of every query, by blocks of the corpus.
+def batch_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, similarity, place: the k nearest of every query (query_id, asked), all of them against all vectors, in blocks.
 
-    Queries are broadcast; over MAX_QUERIES are dealt by id into blocks of about half as many, which are searched in turn and stored. Each
-    block's best k a query are cut before the last ranking, so that sees parts * k rows a query however large the corpus.
+    A block of queries is one matrix of bounded size that every task holds; vectors come by in Arrow batches, and a task keeps the best k
+    of each query so far, so the last ranking sees k rows a query and task. Over MAX_QUERIES are searched block by block, and stored.
     """
     n = queries.count()
     if n <= MAX_QUERIES:
-        return _search_block(queries, vectors, k, parts)
+        return _search_block(queries, vectors, k)
     blocks = -(-2 * n // MAX_QUERIES)
     asked = lambda i: queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-    return reduce(DataFrame.unionByName, [stored(_search_block(asked(i), vectors, k, parts), "found") for i in range(blocks)])
-
-
-def _search_block(queries: DataFrame, vectors: DataFrame, k: int, parts: int) -> DataFrame:
-    pairs = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    x = pairs.select("query_id", "vec_id", "part", cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
-    best = [F.desc(F.round("similarity", 6)), F.asc("vec_id")]
-    cut = x.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).filter(F.col("place") <= k)
-    return cut.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("place") <= k).drop("part")
-
-
-def ann_search(queries: DataFrame, vectors: DataFrame, lists: int = 32, probes: int = 12, k: int = 10, sample: int = 100_000) -> DataFrame:
+    return reduce(DataFrame.unionByName, [stored(_search_block(asked(i), vectors, k), "found") for i in range(blocks)])
+
+
+def _search_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("query_id", "asked").collect()  # MAX_QUERIES at most
+    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        best, who = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), np.int64)
+        step = max(1, CELLS // max(1, len(ids)))
+        for batch in batches:
+            some = batch.filter(batch.column("embedding").is_valid())
+            own, flat = some.column("vec_id").to_numpy(), some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for at in range(0, len(own) if len(ids) else 0, step):
+                v = flat.reshape(len(own), -1)[at : at + step]
+                near = matrix @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                near[ids[:, None] == own[None, at : at + step]] = -np.inf
+                best, who = np.hstack([best, near]), np.hstack([who, np.broadcast_to(own[at : at + step], near.shape)])
+                first = np.lexsort((who, -np.round(best, 6)), axis=1)[:, :k]
+                best, who = np.take_along_axis(best, first, 1), np.take_along_axis(who, first, 1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(who[real]), pa.array(best[real])], ["query_id", "vec_id", "similarity"])
+
+    found = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(nearest, "query_id long, vec_id long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), F.asc("vec_id"))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def ann_search(queries: DataFrame, vectors: DataFrame, lists: int | None = None, probes: int | None = None, k: int = 10, sample: int = 100_000) -> DataFrame:
     """query_id, vec_id, similarity, place by inverted lists: k-means centroids from a bounded sample of `sample` rows, every row filed under its
-    nearest centroid, and queries looked up in the lists of their `probes` nearest ones."""
+    nearest centroid, and queries looked up in the lists of their `probes` nearest ones. Lists grow with the root of the corpus, MAX_LISTS at
+    most; PROBED of them are looked up."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = vectors.count()
+    lists = lists or max(1, min(MAX_LISTS, round(n**0.5)))
+    probes = probes or max(1, -(-lists * PROBED // 100))
     rows = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))))
     fit = rows if n <= sample else rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 1_000_000 * sample / n)
     model = KMeans(k=lists, seed=7, featuresCol="features", predictionCol="list").fit(fit)

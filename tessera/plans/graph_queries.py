@@ -29,10 +29,11 @@ def g03(conversations: DataFrame) -> DataFrame:
     return G.reply_edges(conversations.select(F.col("conv_id").alias("thread"), F.col("turn").alias("post"), (F.col("turn") - 1).alias("parent"), F.col("role").alias("author"), "text"))
 
 
-@query("g05_identity_components", "supplier", oracle="""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 4 <> 0), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
+@query("g05_identity_components", "supplier", oracle="""WITH RECURSIVE e AS (SELECT s.s_suppkey AS a, t.s_suppkey AS b FROM supplier s JOIN supplier t ON t.s_suppkey = s.s_suppkey + 7 AND t.s_nationkey % 2 = s.s_nationkey % 2), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reached) SELECT id, min(reached) AS label FROM r GROUP BY id""")
 def g05(supplier: DataFrame) -> DataFrame:
-    return G.components(supplier.filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b")))
+    side = supplier.select((F.col("s_suppkey") - 7).alias("a"), F.col("s_suppkey").alias("b"), (F.col("s_nationkey") % 2).alias("half"))
+    return G.components(side.join(supplier.select(F.col("s_suppkey").alias("a"), (F.col("s_nationkey") % 2).alias("half")), ["a", "half"]).select("a", "b"))
 
 
 @query("g06_support_dedup", "edge", oracle="SELECT source_id, target_id, relation, source_url, round(max(weight), 6) AS weight FROM {edge} GROUP BY ALL")
@@ -40,12 +41,12 @@ def g06(edge: DataFrame) -> DataFrame:
     return G.support_dedup(edge).select("source_id", "target_id", "relation", "source_url", F.round("weight", 6).alias("weight"))
 
 
-@query("g07_graph_candidates", "edge", oracle="""WITH d AS (SELECT source_id, target_id, relation, source_url, max(weight) AS weight FROM {edge} WHERE source_id % 50 = 0 GROUP BY ALL),
+@query("g07_graph_candidates", "edge", oracle="""WITH d AS (SELECT source_id, target_id, relation, source_url, max(weight) AS weight FROM {edge} GROUP BY ALL),
 s AS (SELECT target_id, count(DISTINCT source_id) AS n, max(weight) AS m, sum(least(1, weight)) AS support, count(DISTINCT relation) AS r, coalesce(sum(weight) FILTER (WHERE relation = 'coauthors_with'), 0) AS co, coalesce(sum(weight) FILTER (WHERE relation = 'collaborates_with'), 0) AS col, coalesce(sum(weight) FILTER (WHERE relation = 'engages_with'), 0) AS eng FROM d GROUP BY 1)
 SELECT target_id, n AS sources, round(support, 6) AS support, least(0.82::DOUBLE, round(0.58::DOUBLE + CASE WHEN n >= 2 THEN 0.07::DOUBLE + least(0.05::DOUBLE, (n - 2) * 0.02::DOUBLE) ELSE 0 END + CASE WHEN m >= 0.78 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN co >= 0.34 THEN 0.07::DOUBLE ELSE 0 END + CASE WHEN col >= 0.9 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN eng >= 0.72 THEN 0.04::DOUBLE ELSE 0 END + least(0.04::DOUBLE, (r - 1) * 0.02::DOUBLE), 3)) AS confidence
 FROM s WHERE n >= 2 OR m >= 0.78 OR co >= 0.34 OR col >= 0.9 OR eng >= 0.72 ORDER BY 3 DESC, 4 DESC, 1 LIMIT 50""")
 def g07(edge: DataFrame) -> DataFrame:
-    x = G.graph_candidates(edge.filter("source_id % 50 = 0"), "target_id")  # a fixed share of the sources, so that support differs
+    x = G.graph_candidates(edge, "target_id")
     return x.select("target_id", "sources", F.round("support", 6).alias("support"), "confidence")
 
 
@@ -91,13 +92,13 @@ def g12(edge: DataFrame) -> DataFrame:
 
 # Identities
 
-OBS = "SELECT s_suppkey AS observation_id, s_name AS name, concat('https://www.', CAST(s_suppkey % 40 AS VARCHAR(20)), '.example/') AS website, concat('p', CAST(s_suppkey % 90 AS VARCHAR(20))) AS subject, s_suppkey % 2 = 0 AS verified, CAST(s_nationkey AS VARCHAR(20)) AS location, concat('University of N', CAST(s_nationkey % 7 AS VARCHAR(20))) AS org, s_suppkey % 13 AS candidate_id FROM supplier"
-IDS = "SELECT c_custkey AS identity_id, replace(c_name, 'Customer', 'Supplier') AS name, concat('http://', CAST(c_custkey % 400 AS VARCHAR(20)), '.example') AS website, concat('p', CAST(c_custkey % 600 AS VARCHAR(20))) AS subject, c_custkey % 3 <> 0 AS verified, CAST(c_nationkey AS VARCHAR(20)) AS location, concat('N', CAST(c_nationkey % 5 AS VARCHAR(20)), ' Labs') AS org, c_custkey % 11 AS candidate_id FROM customer"
+OBS = "SELECT s_suppkey AS observation_id, s_name AS name, concat('https://www.', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) AS VARCHAR(20)), '.example/') AS website, concat('p', CAST(CAST(floor(s_suppkey / 2) AS BIGINT) * 3 AS VARCHAR(20))) AS subject, s_suppkey % 2 = 0 AS verified, CAST(s_nationkey AS VARCHAR(20)) AS location, concat('University of N', CAST(s_nationkey % 7 AS VARCHAR(20))) AS org, s_suppkey % 13 AS candidate_id FROM supplier"
+IDS = "SELECT c_custkey AS identity_id, replace(c_name, 'Customer', 'Supplier') AS name, concat('http://', CAST(CAST(floor(c_custkey / 15) AS BIGINT) AS VARCHAR(20)), '.example') AS website, concat('p', CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS VARCHAR(20))) AS subject, c_custkey % 3 <> 0 AS verified, CAST(c_nationkey AS VARCHAR(20)) AS location, concat('N', CAST(c_nationkey % 5 AS VARCHAR(20)), ' Labs') AS org, c_custkey % 11 AS candidate_id FROM customer"
 FOLD = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 PAIRS_SQL = f"""o AS ({OBS}), i AS ({IDS}),
 ok AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(website, '^https?://([^/?#:]+)', 1)), '^www[.]', ''), '/+$', '') AS site, {FOLD.format('name')} AS fold FROM o),
 ik AS (SELECT *, lower(regexp_extract(website, '^https?://([^/?#:]+)', 1)) AS site, {FOLD.format('name')} AS fold FROM i),
-pairs AS (SELECT observation_id, identity_id FROM ok JOIN ik USING (subject) UNION SELECT observation_id, identity_id FROM ok JOIN ik USING (site) UNION SELECT observation_id, identity_id FROM ok JOIN (SELECT * FROM ik QUALIFY row_number() OVER (PARTITION BY fold ORDER BY identity_id) <= 10) ik USING (fold))"""
+pairs AS (SELECT observation_id, identity_id FROM ok JOIN ik USING (subject) UNION SELECT observation_id, identity_id FROM ok JOIN (SELECT * FROM ik QUALIFY row_number() OVER (PARTITION BY site ORDER BY identity_id) <= 10) ik USING (site) UNION SELECT observation_id, identity_id FROM ok JOIN (SELECT * FROM ik QUALIFY row_number() OVER (PARTITION BY fold ORDER BY identity_id) <= 10) ik USING (fold))"""
 BIG = "list_transform(range(1, length({0})), lambda k: substr({0}, CAST(k AS INT), 2))"
 SCORED_SQL = f"""{PAIRS_SQL},
 w AS (SELECT p.*, ok.subject = ik.subject AS exact, ok.verified AND ik.verified AS ver, ok.site = ik.site AS site, ok.location = ik.location AS place,
@@ -237,4 +238,4 @@ def _queries(embeddings: DataFrame) -> DataFrame:
 
 @query("h07_ann_index", "embeddings")
 def h07(embeddings: DataFrame) -> DataFrame:
-    return H.ann_search(_queries(embeddings), embeddings, lists=16, probes=10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "place")
+    return H.ann_search(_queries(embeddings), embeddings).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "place")

@@ -362,9 +362,14 @@ def f10(supplier: DataFrame) -> DataFrame:
     return V.brief_issues(supplier.select(k.alias("brief_id"), text.alias("text")), supplier.limit(1).select(F.lit("https://e.example/known").alias("url")))
 
 
-@query("f11_plain_language", "documents", oracle="SELECT doc_id, concat_ws(',', CASE WHEN len(string_split_regex(trim(t), '\\s+')) > 24 THEN 'long' END) AS flags FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)")
+@query("f11_plain_language", "documents", oracle="""WITH f AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS t FROM documents),
+g AS (SELECT doc_id, len(t) AS facts, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(leverage|synergy|cutting-edge|paradigm)\\b'))) AS jargon, len(list_filter(t, lambda x: regexp_matches(lower(x), '\\b(very|really|basically|actually)\\b'))) AS filler, len(list_filter(t, lambda x: len(string_split_regex(trim(x), '\\s+')) > 24)) AS long FROM f) SELECT * FROM g""")
 def f11(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", V.plain_language_flags(F.substring_index("text", "\n", 1)).alias("flags"))
+    """How many of a document's lines, each taken as a fact, carry each flag."""
+    facts = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    flags = documents.select("doc_id", F.transform(facts, V.plain_language_flags).alias("f"))
+    flagged = lambda n: F.size(F.filter("f", lambda x: F.contains(x, F.lit(n)))).alias(n)
+    return flags.select("doc_id", F.size("f").alias("facts"), *map(flagged, ("jargon", "filler", "long")))
 
 
 @query("d03_operator_brief", "evidence")

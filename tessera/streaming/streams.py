@@ -55,22 +55,40 @@ def stream_best_evidence(landing: DataFrame) -> DataFrame:
     return landing.groupBy("key").transformWithStateInPandas(statefulProcessor=_Best(), outputStructType="key string, confidence double", outputMode="Update", timeMode="None")
 
 
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete snapshots under path, in order."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    root = Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and files.exists(Path(f"{path}/{n}/_SUCCESS")))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def upserts_to(path: str, keys: list[str], replace: list[str], first: str | None = None, last: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that merges each batch into a table of snapshots: path/v=N, the largest N is current.
 
-    A batch that runs again writes the same snapshot again, so a restart changes nothing.
+    A batch that runs again writes the same snapshot again, so a restart changes nothing. The current snapshot and the one before
+    stay, older ones go. If none is left to go on from, the stream fails and doesn't start from an empty table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        except Exception as e:  # no snapshot yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        new = batch if old is None else upsert(old, batch, keys, replace, first, last)
+        done = [v for v in snapshots(spark, path) if v < number]
+        if number and not done:
+            raise FileNotFoundError(f"{path} has no snapshot before batch {number}; a stream that starts anew needs a new folder")
+        old = spark.read.parquet(f"{path}/v={done[-1]}") if done else None
+        # One row a key, also within the first batch.
+        new = upsert(batch.limit(0) if old is None else old, batch, keys, replace, first, last)
         new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for v in done[:-1]:
+            _delete(spark, f"{path}/v={v}")
 
     return write
 
