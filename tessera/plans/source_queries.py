@@ -121,7 +121,7 @@ def s13(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return L.structured_results(rows, nation.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("page")), 20).select("page", "name", "rank", "medal")
 
 
-@query("s14_page_evidence", "pages")
+@query("s14_page_evidence", "pages", oracle="SELECT page_id, 'Article' AS kind, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS name, url, NULL::VARCHAR AS published FROM pages")
 def s14(pages: DataFrame) -> DataFrame:
     """JSON-LD is put around the pages' own titles; pages carry none themselves."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
@@ -372,7 +372,10 @@ def f11(documents: DataFrame) -> DataFrame:
     return flags.select("doc_id", F.size("f").alias("facts"), *map(flagged, ("jargon", "filler", "long")))
 
 
-@query("d03_operator_brief", "evidence")
+# Titles hold two words that count, of which all share one, so here facts are near-duplicates exactly if their words are the same.
+@query("d03_operator_brief", "evidence", oracle="""WITH f AS (SELECT candidate_id, title AS fact, max(10 * confidence + ln(1 + momentum) + ln(1 + citations) + CASE WHEN rank > 0 THEN 4 / sqrt(rank) ELSE 0 END) AS strength FROM {evidence} GROUP BY 1, 2),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY candidate_id, regexp_replace(fact, '[0-9]+', '') ORDER BY strength DESC, fact) = 1)
+SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY strength DESC, fact) AS INT) AS place, fact FROM b QUALIFY place <= 3""")
 def d03(evidence: DataFrame) -> DataFrame:
     return V.operator_brief(evidence.select("candidate_id", F.col("title").alias("fact"), S.event_priority().alias("strength")))
 

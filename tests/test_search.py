@@ -12,3 +12,20 @@ def test_search_of_any_number_of_queries(spark, data, monkeypatch):
     want = found()
     monkeypatch.setattr(search, "MAX_QUERIES", 11)
     assert queries.count() > 11 and found() == want
+
+
+def test_inverted_lists_find_nine_in_ten(spark, data):
+    """H-07 against the exact search of the same queries."""
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet").cache()
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    exact = search.batch_search(queries, vectors).select("query_id", "vec_id").cache()
+    found = search.ann_search(queries, vectors).select("query_id", "vec_id")
+    assert found.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_unicode_folds(spark):
+    from tessera.functions.session import fold_unicode
+
+    names = ["  Łukasz ﬁne-Öl ", "Ｆｕｌｌ　Ｗｉｄｔｈ", "山田 太郎", "Анна-Мария", "x_y", "", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", fold_unicode("n").alias("f")).orderBy("i").collect()
+    assert [r["f"] for r in rows] == ["łukasz fine ol", "full width", "山田 太郎", "анна мария", "x y", "", None]

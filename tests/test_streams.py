@@ -1,6 +1,7 @@
 """Streams against the batch result."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.streaming import streams as T
@@ -49,6 +50,45 @@ def test_rate_window(spark, tmp_path):
     assert sorted((r["key"], r["at"], r["allowed"], r["retry_after"]) for r in got.collect()) == [("a", 0, True, 0), ("a", 1, True, 0), ("a", 2, False, 58), ("a", 61, True, 0), ("b", 2, True, 0)]
 
 
+def test_a_restart_goes_on_where_it_stopped(spark, tmp_path):
+    """T-08: the checkpoint is the cursor; rows that came before the restart are not read again."""
+    path, out, c = (str(tmp_path / x) for x in ("in", "out", "c"))
+    for n in range(3):
+        spark.range(10 * n, 10 * n + 10).write.mode("append").parquet(path)
+        T.read_stream(spark, path, "id long").writeStream.format("parquet").option("path", out).option("checkpointLocation", c).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(10 * n + 10))
+
+
+def test_scores_of_touched_people_only(spark, tmp_path):
+    """T-07: a batch rescores whom it touches, over the whole history."""
+    past = spark.createDataFrame([(1, 5.0), (1, 7.0), (2, 1.0), (3, 2.0)], "person_id long, value double")
+    spark.createDataFrame([(1, 9.0), (3, 1.0), (3, 1.0)], "person_id long, value double").write.parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), "person_id long, value double")
+    T.stream_score_refresh(stream, lambda: past, lambda h: h.groupBy("person_id").agg(F.sum("value").alias("total")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("person_id", "total").collect())) == [(1, 12.0), (3, 2.0)]
+
+
+def test_stale_runs(spark, tmp_path):
+    """T-04: a run without an end fails when its gap closes; one that ended or is still young doesn't."""
+    rows = [("a", "2024-01-01 00:00:00", False), ("b", "2024-01-01 00:00:00", False), ("b", "2024-01-01 00:05:00", True), ("c", "2024-01-01 02:00:00", False)]
+    path = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, "run_id string, started_at string, ended boolean").withColumn("started_at", F.col("started_at").cast("timestamp"))
+    df.coalesce(1).write.parquet(path)
+    spark.createDataFrame([("d", "2024-01-01 02:01:00", True)], "run_id string, started_at string, ended boolean").withColumn("started_at", F.col("started_at").cast("timestamp")).write.mode("append").parquet(path)
+    got = drain(T.stream_stale_runs(T.read_stream(spark, path, "run_id string, started_at timestamp, ended boolean")), "stale", "append", str(tmp_path / "c"))
+    assert [tuple(r) for r in got.collect()] == [("a", "failed", "WORKER_TIMEOUT")]
+
+
+def test_a_lost_snapshot_is_an_error(spark, tmp_path):
+    row = spark.createDataFrame([(1, "x")], "k int, v string")
+    write = T.upserts_to(str(tmp_path / "t"), ["k"], ["v"])
+    for n in range(4):
+        write(row, n)
+    assert T.snapshots(spark, str(tmp_path / "t")) == [2, 3]
+    with pytest.raises(FileNotFoundError):
+        T.upserts_to(str(tmp_path / "none"), ["k"], ["v"])(row, 5)
+
+
 def test_research_queue_and_upserts(spark, data, tmp_path):
     stream, batch = landed(spark, data, tmp_path)
     changes = stream.select(F.col("user_id").alias("candidate_id"), F.col("ts").alias("discovered_at"))
