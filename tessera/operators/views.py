@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.expr import first_sentence, fold_name
-from tessera.functions.store import ship
+from tessera.functions.expr import first_sentence, fold_name, words
+from tessera.functions.store import ship, stored
 
 
 def confidence_band(x: Column) -> Column:
@@ -100,24 +100,45 @@ def plain_language_flags(fact: Column) -> Column:
     return F.concat_ws(",", *flags)
 
 
-def operator_brief(facts: DataFrame, most: int = 3) -> DataFrame:
-    """candidate_id, place, fact: the strongest facts, near-duplicates of a stronger one dropped. A group holds one candidate's facts."""
+#: Facts of a candidate that one task picks from; more are picked from in rounds.
+GROUP = 5000
+
+
+def operator_brief(facts: DataFrame, most: int = 3, group: int = GROUP) -> DataFrame:
+    """candidate_id, place, fact: the strongest facts, near-duplicates of a stronger one dropped.
+
+    Facts of the same words are near-duplicates of the same others, so the strongest of them stands for all. What a candidate has left
+    is picked from by one task if it is no more than `group`; of a larger one the strongest is taken, what is near it goes, and so on.
+    """
     import pandas as pd
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        kept, sets = [], []
+        kept = []
         for r in pdf.sort_values(["strength", "fact"], ascending=[False, True]).itertuples():
-            w = {x for x in re.split(r"[^a-z0-9]+", r.fact.lower()) if len(x) > 3}
-            if any(w and s and len(w & s) / min(len(w), len(s)) >= 0.72 for s in sets):
+            w = set(r.words)
+            if any(w and s and len(w & s) / min(len(w), len(s)) >= 0.72 for _, s in kept):
                 continue
-            kept.append(r.fact)
-            sets.append(w)
+            kept.append((r.fact, w))
             if len(kept) == most:
                 break
-        return pd.DataFrame({"candidate_id": [pdf["candidate_id"].iloc[0]] * len(kept), "place": range(1, len(kept) + 1), "fact": kept})
+        return pd.DataFrame({"candidate_id": [pdf["candidate_id"].iloc[0]] * len(kept), "place": range(1, len(kept) + 1), "fact": [f for f, _ in kept]})
 
     ship(facts.sparkSession)
     best = facts.groupBy("candidate_id", first_sentence("fact", 190).alias("fact")).agg(F.max("strength").alias("strength"))
-    return best.groupBy("candidate_id").applyInPandas(pick, "candidate_id long, place int, fact string")
+    own = best.withColumn("words", F.sort_array(words(F.col("fact"))))
+    # A fact without such words is near no other.
+    one = own.groupBy("candidate_id", "words", F.when(F.size("words") == 0, F.col("fact")).alias("apart")).agg(F.min_by(F.struct("fact", "strength"), F.struct(-F.col("strength"), F.col("fact"))).alias("f"))
+    left = stored(one.select("candidate_id", "words", "f.*"), "facts")
+    large = left.groupBy("candidate_id").count().filter(F.col("count") > group).select("candidate_id")
+    schema = "candidate_id long, place int, fact string"
+    out = left.join(large, "candidate_id", "left_anti").groupBy("candidate_id").applyInPandas(pick, schema)
+    rest = left.join(large, "candidate_id", "left_semi")
+    if not large.take(1):
+        return out
+    for place in range(1, most + 1):
+        top = stored(rest.groupBy("candidate_id").agg(F.min_by(F.struct(F.col("fact").alias("top"), F.col("words").alias("top_words")), F.struct(-F.col("strength"), F.col("fact"))).alias("t")).select("candidate_id", "t.*"), "tops")
+        out = out.unionByName(top.select("candidate_id", F.lit(place).alias("place"), F.col("top").alias("fact")))
+        least = F.least(F.size("words"), F.size("top_words"))
+        near = (least > 0) & (F.size(F.array_intersect("words", "top_words")) / least >= 0.72)
+        rest = stored(rest.join(top, "candidate_id").filter((F.col("fact") != F.col("top")) & ~F.coalesce(near, F.lit(False))).select("candidate_id", "words", "fact", "strength"), "rest")
+    return out
