@@ -12,8 +12,8 @@ from tessera.operators.windows import cap_per_group, first_of
 
 def candidate_pairs(observations: DataFrame, identities: DataFrame, per_name: int = 10, per_site: int = 10) -> DataFrame:
     """Pairs that share a provider subject, a website or a folded name. Only a subject pairs without bound, as it is one account's;
-    a name or site that many share says little, so its first identities stand for it."""
-    keys = lambda df: df.withColumn("site_", norm_url("website")).withColumn("name_", fold_name("name"))
+    a name or site that many share says little, so its first identities stand for it, and a name without Latin letters or digits is none."""
+    keys = lambda df: df.withColumn("site_", norm_url("website")).withColumn("name_", F.nullif(fold_name("name"), F.lit("")))
     return block(keys(observations), keys(identities), {"subject": None, "site_": per_site, "name_": per_name})
 
 

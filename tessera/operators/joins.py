@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.expr import doi_author_key
+
 
 def latest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """key and the columns of its newest row by one aggregation, without a window."""
@@ -40,6 +42,12 @@ def share_any(left: DataFrame, right: DataFrame, key: str, other: str, values: s
     return a.join(b, "v").select(key, other).distinct()
 
 
+def link_authorships(left: DataFrame, right: DataFrame, doi: str = "doi", place: str = "place") -> DataFrame:
+    """Rows of two indexes that name the same author of the same work, by work and place; names take no part."""
+    key = lambda df: df.withColumn("authorship", doi_author_key(doi, place)).drop(doi, place).filter("authorship IS NOT NULL")
+    return key(left).join(key(right), "authorship")
+
+
 def in_period(events: DataFrame, periods: DataFrame, at: str) -> DataFrame:
     """Events with the period (start, end] they fall in. Both sides carry the day, so the range is checked within a day only."""
     days = F.explode(F.sequence(F.to_date("period_start"), F.to_date("period_end"), F.expr("INTERVAL 1 DAY")))

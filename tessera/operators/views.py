@@ -47,10 +47,26 @@ def event_rollup(evidence: DataFrame, metrics: list[str]) -> DataFrame:
     return evidence.select("event_id", text.alias("metrics"))
 
 
-def hydrate(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Candidates with their events, newest first, as an array of structs."""
-    newest = F.transform(F.sort_array(F.collect_list(F.struct("discovered_at", "event_id", "type", "source_url")), asc=False), lambda x: x)
-    return candidates.join(evidence.groupBy("candidate_id").agg(newest.alias("events")), "candidate_id", "left")
+#: Events in an array; those of a candidate with more are dealt into pages.
+PAGE = 10_000
+
+
+def hydrate(candidates: DataFrame, evidence: DataFrame, page: int = PAGE) -> DataFrame:
+    """Candidates with their events, newest first, as an array of structs.
+
+    A candidate has one row, with page 0, unless it has over `page` events. Then it has a row a page: pages go back in time and are cut
+    between hours, so one holds less than `page` events and an hour's more. Only such candidates' hours are counted up.
+    """
+    hour = F.date_trunc("hour", "discovered_at").alias("hour")
+    hours = evidence.groupBy("candidate_id", hour).agg(F.count("*").alias("n"))
+    large = hours.groupBy("candidate_id").agg(F.sum("n").alias("all")).filter(F.col("all") > page).select("candidate_id")
+    upto = F.sum("n").over(Window.partitionBy("candidate_id").orderBy(F.desc("hour")))
+    pages = hours.join(large, "candidate_id").select("candidate_id", F.col("hour").alias("hour_"), F.floor((upto - F.col("n")) / page).cast("int").alias("page"))
+    e = evidence.select("candidate_id", "discovered_at", "event_id", "type", "source_url", hour)
+    dealt = e.join(pages.withColumnRenamed("candidate_id", "large_"), (F.col("candidate_id") == F.col("large_")) & F.col("hour").eqNullSafe(F.col("hour_")), "left")
+    newest = F.sort_array(F.collect_list(F.struct("discovered_at", "event_id", "type", "source_url")), asc=False)
+    events = dealt.groupBy("candidate_id", F.coalesce("page", F.lit(0)).alias("page")).agg(newest.alias("events"))
+    return candidates.join(events, "candidate_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
 
 
 def slugify(name: Column, key: Column) -> Column:

@@ -75,11 +75,11 @@ def j09(evidence: DataFrame) -> DataFrame:
     return evidence.filter(F.lower("title").startswith(F.concat(F.lit("result "), (F.col("candidate_id") % 40).cast("string"), F.lit(" of")))).select("event_id", "candidate_id")
 
 
-@query("j10_unique_match", "events", "orders", oracle="SELECT event_id, run AS run_id FROM events JOIN (SELECT date_trunc('day', ts) AS started, min(event_id) AS run FROM events WHERE event_id % 97 = 0 GROUP BY 1 HAVING count(*) = 1) r ON date_trunc('day', ts) = r.started")
+@query("j10_unique_match", "events", "orders", oracle="SELECT event_id, run AS run_id FROM events JOIN (SELECT date_trunc('minute', ts) AS started, min(event_id) AS run FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) = 1) r ON date_trunc('minute', ts) = r.started")
 def j10(events: DataFrame, orders: DataFrame) -> DataFrame:
-    day = events.select("event_id", F.date_trunc("day", "ts").alias("at"))
-    runs = day.filter("event_id % 97 = 0").select(F.col("at").alias("started"), F.col("event_id").alias("run_id"))
-    return J.unique_match(day, runs, "event_id", "at", "started", "run_id")
+    minute = events.select("event_id", "event_type", F.date_trunc("minute", "ts").alias("at"))
+    runs = minute.filter("event_type = 'signup'").select(F.col("at").alias("started"), F.col("event_id").alias("run_id"))
+    return J.unique_match(minute, runs, "event_id", "at", "started", "run_id")
 
 
 @query("j11_anchored_mismatches", "evidence", oracle="SELECT event_id, candidate_id FROM {evidence} e WHERE source = 'openalex' AND tag <> 'plain' AND candidate_id IN (SELECT candidate_id FROM {evidence} WHERE source = 'openalex' AND tag = 'plain')")
@@ -105,12 +105,12 @@ def j13(supplier: DataFrame, part: DataFrame) -> DataFrame:
     return J.share_any(a, b, "s_suppkey", "p_partkey", "values")
 
 
-@query("j14_link_authorships", "evidence", oracle="SELECT a.event_id AS left_id, b.event_id AS right_id FROM {evidence} a JOIN {evidence} b ON a.type = 'paper_published' AND b.type = 'paper_published' AND a.source = 'openalex' AND b.source = 'rss' AND a.event_id % 200 = b.event_id % 200 AND a.event_id % 3 = b.event_id % 3")
+@query("j14_link_authorships", "evidence", oracle="SELECT a.event_id AS left_id, b.event_id AS right_id FROM {evidence} a JOIN {evidence} b ON a.type = 'paper_published' AND b.type = 'paper_published' AND a.source = 'openalex' AND b.source = 'rss' AND a.event_id // 6 = b.event_id // 6")
 def j14(evidence: DataFrame) -> DataFrame:
-    papers = evidence.filter("type = 'paper_published'").select("event_id", "source", F.concat_ws("#author-", F.concat(F.lit("10.1/w"), F.col("event_id") % 200), F.col("event_id") % 3).alias("work"))
-    left = papers.filter("source = 'openalex'").select(F.col("event_id").alias("left_id"), "work")
-    right = papers.filter("source = 'rss'").select(F.col("event_id").alias("right_id"), "work")
-    return left.join(right, "work").select("left_id", "right_id")
+    work = F.floor(F.col("event_id") / 6)
+    papers = evidence.filter("type = 'paper_published'").select("event_id", "source", F.concat(F.lit("10.1234/w"), work).alias("doi"), (1 + work % 3).alias("place"))
+    own = lambda source, name: papers.filter(F.col("source") == source).select(F.col("event_id").alias(name), "doi", "place")
+    return J.link_authorships(own("openalex", "left_id"), own("rss", "right_id")).select("left_id", "right_id")
 
 
 CALENDAR_SQL = """ends AS (SELECT profile_id, d + INTERVAL 1 HOUR * h + INTERVAL 1 MINUTE * m AS period_end FROM (
@@ -215,9 +215,9 @@ def d06(digest_item: DataFrame) -> DataFrame:
     return D.claimable(digest_item, "1998-03-02 06:00:00").groupBy("scheduled_for", "status").agg(F.count("*").alias("n"))
 
 
-@query("d07_recipients", "customer", oracle="SELECT email, name, (row_number() OVER (ORDER BY substr(md5(email), 1, 2), email) - 1) // 100 AS batch FROM (SELECT concat('c', CAST(c_custkey % 700 AS VARCHAR), '@mail.example') AS email, max(c_name) AS name FROM customer WHERE c_custkey % 11 <> 0 GROUP BY 1)")
+@query("d07_recipients", "customer", oracle="SELECT email, name, (row_number() OVER (ORDER BY substr(md5(email), 1, 2), email) - 1) // 100 AS batch FROM (SELECT concat('c', CAST(c_custkey // 2 AS VARCHAR), '@mail.example') AS email, max(c_name) AS name FROM customer WHERE c_custkey % 11 <> 0 GROUP BY 1)")
 def d07(customer: DataFrame) -> DataFrame:
-    s = customer.select(F.when(F.col("c_custkey") % 11 == 0, "nobody").otherwise(F.concat(F.lit(" C"), (F.col("c_custkey") % 700).cast("string"), F.lit("@mail.example"))).alias("email"), F.col("c_name").alias("name"))
+    s = customer.select(F.when(F.col("c_custkey") % 11 == 0, "nobody").otherwise(F.concat(F.lit(" C"), F.floor(F.col("c_custkey") / 2).cast("string"), F.lit("@mail.example"))).alias("email"), F.col("c_name").alias("name"))
     return D.recipients(s)
 
 

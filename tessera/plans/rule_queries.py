@@ -40,9 +40,9 @@ def o05(candidate: DataFrame, evidence: DataFrame) -> DataFrame:
     return R.release_brief(f, evidence, NOW).withColumn("retry_at", F.when(F.year("retry_at") < 9999, F.col("retry_at")))
 
 
-@query("o06_due_sources", "orders", oracle="SELECT o_orderkey AS source_id, o_orderdate AS due_at FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P' AND o_orderdate <= TIMESTAMP '1999-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 10")
+@query("o06_due_sources", "orders", oracle="SELECT o_orderkey AS source_id, o_orderdate AS due_at FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P' AND o_orderdate <= TIMESTAMP '1999-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 10")
 def o06(orders: DataFrame) -> DataFrame:
-    s = orders.select(F.col("o_orderkey").alias("source_id"), F.col("o_orderdate").alias("due_at"), (F.col("o_orderkey") % 2 == 0).alias("enabled"), F.when(F.col("o_orderstatus") == "P", "paused").otherwise("active").alias("state"))
+    s = orders.select(F.col("o_orderkey").alias("source_id"), F.col("o_orderdate").alias("due_at"), (F.col("o_orderpriority") != "5-LOW").alias("enabled"), F.when(F.col("o_orderstatus") == "P", "paused").otherwise("active").alias("state"))
     return R.due_sources(s, "1999-01-01 00:00:00").select("source_id", "due_at")
 
 

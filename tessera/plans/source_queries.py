@@ -55,9 +55,9 @@ def s05(lineitem: DataFrame) -> DataFrame:
     return L.normalize_papers(_works(lineitem), NOW).select("external_id", "author")
 
 
-@query("s06_restrict_to_subject", "lineitem", "supplier", oracle=f"SELECT author, count(*) AS n FROM (SELECT CAST(unnest(a) AS VARCHAR) AS author FROM ({WORKS})) WHERE CAST(author AS INT) % 10 = 0 GROUP BY 1")
+@query("s06_restrict_to_subject", "lineitem", "supplier", oracle=f"SELECT author, count(*) AS n FROM (SELECT CAST(unnest(a) AS VARCHAR) AS author FROM ({WORKS})) WHERE CAST(author AS INT) IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 5000) GROUP BY 1")
 def s06(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    subjects = supplier.filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").cast("string").alias("author"))
+    subjects = supplier.filter("s_acctbal >= 5000").select(F.col("s_suppkey").cast("string").alias("author"))
     return L.restrict_to_subject(L.normalize_papers(_works(lineitem), NOW), subjects).groupBy("author").agg(F.count("*").alias("n"))
 
 
@@ -188,11 +188,11 @@ def s23(pages: DataFrame, supplier: DataFrame) -> DataFrame:
     return L.verified_page_matches(p, s)
 
 
-@query("s24_account_hypotheses", "lineitem", oracle="SELECT person_id, provider, handle, CASE WHEN same THEN 0.8::DOUBLE WHEN q >= 2 THEN 0.74::DOUBLE ELSE 0.6::DOUBLE END AS score FROM (SELECT l_partkey AS person_id, l_returnflag AS provider, min(CAST(l_suppkey AS VARCHAR)) AS handle, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_orderkey) AS q, bool_or(l_suppkey % 5 = 0) AS same FROM lineitem GROUP BY ALL) WHERE n = 1 AND NOT (provider = 'A' AND person_id % 2 = 0)")
+@query("s24_account_hypotheses", "lineitem", oracle="SELECT person_id, provider, handle, CASE WHEN same THEN 0.8::DOUBLE WHEN q >= 2 THEN 0.74::DOUBLE ELSE 0.6::DOUBLE END AS score FROM (SELECT l_partkey AS person_id, l_returnflag AS provider, min(CAST(l_suppkey AS VARCHAR)) AS handle, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_orderkey) AS q, bool_or(l_suppkey % 5 = 0) AS same FROM lineitem GROUP BY ALL) WHERE n = 1 AND NOT (provider = 'A' AND person_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O'))")
 def s24(lineitem: DataFrame) -> DataFrame:
     handle = F.col("l_suppkey").cast("string")
     hits = lineitem.select(F.col("l_partkey").alias("person_id"), F.col("l_returnflag").alias("provider"), handle.alias("handle"), F.col("l_orderkey").alias("asked"), F.when(F.col("l_suppkey") % 5 == 0, handle).otherwise("-").alias("known_handle"))
-    known = lineitem.filter("l_returnflag = 'A' AND l_partkey % 2 = 0").select(F.col("l_partkey").alias("person_id"), F.col("l_returnflag").alias("provider")).distinct()
+    known = lineitem.filter("l_returnflag = 'A' AND l_linestatus = 'O'").select(F.col("l_partkey").alias("person_id"), F.col("l_returnflag").alias("provider")).distinct()
     return L.account_hypotheses(hits, known)
 
 

@@ -25,3 +25,16 @@ def test_briefs_of_small_and_large_groups(spark):
                 kept.append((f, w))
         want += [(c, n + 1, f) for n, (f, _) in enumerate(kept)]
     assert got[0] == got[1] == want
+
+
+def test_pages_of_large_candidates(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, f"2024-01-{d:02d} {h:02d}:30:00", 100 * d + h, "t", "u") for d in (1, 2, 3) for h in range(10)] + [(2, "2024-01-01 00:00:00", 1, "t", "u"), (1, None, 5, "t", "u")]
+    evidence = spark.createDataFrame(rows, "candidate_id long, discovered_at string, event_id long, type string, source_url string").withColumn("discovered_at", F.col("discovered_at").cast("timestamp"))
+    candidates = spark.createDataFrame([(1,), (2,), (3,)], "candidate_id long")
+    whole = {r["candidate_id"]: r for r in views.hydrate(candidates, evidence).collect()}
+    assert {k: (r["page"], len(r["events"] or [])) for k, r in whole.items()} == {1: (0, 31), 2: (0, 1), 3: (0, 0)}
+    paged = sorted(((r["page"], r["events"]) for r in views.hydrate(candidates, evidence, page=8).filter("candidate_id = 1").collect()), key=lambda x: x[0])
+    assert [len(e) for _, e in paged] == [8, 8, 8, 7]
+    assert [e for _, p in paged for e in p] == whole[1]["events"]
