@@ -25,14 +25,14 @@ def _folded(rows: DataFrame, key: str, mark: str) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, observations: DataFrame, identities: DataFrame) -> DataFrame:
-    """Pairs with score, durable and reasons. Exact subjects and e-mail hashes decide; else name, website, affiliation and location add up."""
+    """Pairs with score, durable and reasons. Exact subjects and e-mail hashes decide; else name, website, affiliation and location add up. A null is like nothing."""
     x = pairs.join(_folded(observations, "observation_id", "o"), "observation_id").join(_folded(identities, "identity_id", "i"), "identity_id")
     exact = F.coalesce(F.col("o_subject") == F.col("i_subject"), F.lit(False))
     verified = F.col("o_verified") & F.col("i_verified")
     site = F.coalesce(F.col("o_site") == F.col("i_site"), F.lit(False))
     org = F.coalesce(F.arrays_overlap("o_orgs", "i_orgs"), F.lit(False))
     place = F.coalesce(F.col("o_place") == F.col("i_place"), F.lit(False))
-    signs = F.struct(dice_of("o_name", "o_grams", "i_name", "i_grams").alias("likeness"), site.alias("site"), org.alias("org"), place.alias("place"), exact.alias("exact"), verified.alias("verified"))
+    signs = F.struct(F.coalesce(dice_of("o_name", "o_grams", "i_name", "i_grams"), F.lit(0.0)).alias("likeness"), site.alias("site"), org.alias("org"), place.alias("place"), exact.alias("exact"), verified.alias("verified"))
 
     def judged(s: Column) -> Column:
         blend = F.least(F.lit(1.0), s["likeness"] * 0.38 + F.when(s["site"], 0.48).otherwise(0.0) + F.when(s["org"], 0.24).otherwise(0.0) + F.when(s["place"], 0.08).otherwise(0.0))
@@ -99,7 +99,7 @@ def review_decision(hypotheses: DataFrame) -> DataFrame:
 def match_author(authors: DataFrame, persons: DataFrame) -> DataFrame:
     """(author_id, person_id) where name and institution agree for exactly one person. Both sides are cut to one row for each name
     and institution first, so a name that many share joins institutions and not persons."""
-    own = persons.groupBy(fold_name("name").alias("n_"), F.lower("institution").alias("own")).agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
+    own = persons.filter(fold_name("name") != "").groupBy(fold_name("name").alias("n_"), F.lower("institution").alias("own")).agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"))
     asked = authors.select("author_id", fold_name("name").alias("n_"), F.lower("institution").alias("at"))
     hits = asked.select("n_", "at").distinct().join(own, "n_").filter(F.contains("at", "own")).groupBy("n_", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     one = hits.filter("low = high").select("n_", "at", F.col("low").alias("person_id"))

@@ -1,4 +1,4 @@
-"""Continuous forms over landing folders. State is bounded by watermarks; the batch jobs reconcile what comes later."""
+"""Continuous forms over landing folders. State is bounded by watermarks, that of keys by a time to live if one is given; the batch jobs reconcile what comes later."""
 
 from __future__ import annotations
 
@@ -32,11 +32,18 @@ def stream_activity_90d(landing: DataFrame, at: str = "ts", late: str = "1 day")
     return landing.withWatermark(at, late).groupBy(F.window(at, "90 days", "1 day").alias("w"), "person_id").agg(F.count("*").alias("n")).select("person_id", F.col("w.end").alias("until"), "n")
 
 
+#: Milliseconds of a day.
+DAY = 86_400_000
+
+
 class _Best(StatefulProcessor):
     """Keeps a key's best confidence and emits a row when a better one comes."""
 
+    def __init__(self, keep: int | None) -> None:
+        self.keep = keep
+
     def init(self, handle) -> None:
-        self.best = handle.getValueState("best", "confidence double", ttlDurationMs=None)
+        self.best = handle.getValueState("best", "confidence double", ttlDurationMs=self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         known = self.best.get()[0] if self.best.exists() else float("-inf")
@@ -50,9 +57,15 @@ class _Best(StatefulProcessor):
         pass
 
 
-def stream_best_evidence(landing: DataFrame) -> DataFrame:
-    """(key, confidence) upgrades of each key. Needs the RocksDB state store."""
-    return landing.groupBy("key").transformWithStateInPandas(statefulProcessor=_Best(), outputStructType="key string, confidence double", outputMode="Update", timeMode="None")
+def _mode(days: int | None) -> str:
+    """Time to live needs processing time, which keeps a query running batch after batch: not for an availableNow trigger."""
+    return "ProcessingTime" if days else "None"
+
+
+def stream_best_evidence(landing: DataFrame, days: int | None = None) -> DataFrame:
+    """(key, confidence) upgrades of each key. With `days`, a key whose best is that old is forgotten and starts anew; without, state grows
+    with the keys. Needs the RocksDB state store."""
+    return landing.groupBy("key").transformWithStateInPandas(statefulProcessor=_Best(days and days * DAY), outputStructType="key string, confidence double", outputMode="Update", timeMode=_mode(days))
 
 
 def snapshots(spark: SparkSession, path: str) -> list[int]:
@@ -121,11 +134,11 @@ def stream_score_refresh(changes: DataFrame, history: Callable[[], DataFrame], s
 class _Window(StatefulProcessor):
     """Counts requests of a key in fixed windows."""
 
-    def __init__(self, limit: int, seconds: int) -> None:
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int, seconds: int, keep: int | None) -> None:
+        self.limit, self.seconds, self.keep = limit, seconds, keep
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("window", "start long, n long")
+        self.state = handle.getValueState("window", "start long, n long", ttlDurationMs=self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (-1, 0)
@@ -141,9 +154,10 @@ class _Window(StatefulProcessor):
         pass
 
 
-def stream_rate_window(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """key, at, allowed, remaining, retry_after for requests (key, at: epoch seconds). Needs the RocksDB state store."""
-    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=_Window(limit, seconds), outputStructType="key string, at long, allowed boolean, remaining long, retry_after long", outputMode="Append", timeMode="None")
+def stream_rate_window(requests: DataFrame, limit: int, seconds: int, days: int | None = None) -> DataFrame:
+    """key, at, allowed, remaining, retry_after for requests (key, at: epoch seconds). With `days`, a key without requests
+    for so long is forgotten; they must outlast a window. Needs the RocksDB state store."""
+    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=_Window(limit, seconds, days and days * DAY), outputStructType="key string, at long, allowed boolean, remaining long, retry_after long", outputMode="Append", timeMode=_mode(days))
 
 
 def stream_stale_runs(starts: DataFrame, minutes: int = 15) -> DataFrame:

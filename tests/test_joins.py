@@ -15,3 +15,12 @@ def test_names_in_other_scripts_pair_nobody(spark):
     seen = spark.createDataFrame([(1, "s1", None, "日本 太郎"), (2, "s2", None, "Ünal Örs"), (3, None, None, "")], schema.format("observation_id"))
     known = spark.createDataFrame([(7, "t1", None, "山田 花子"), (8, "t2", None, "unal ors"), (9, None, None, None), (10, "s1", None, "山田")], schema.format("identity_id"))
     assert sorted(map(tuple, identity.candidate_pairs(seen, known).select("observation_id", "identity_id").collect())) == [(1, 10), (2, 8)]
+
+
+def test_null_names_add_nothing_to_a_score(spark):
+    schema = "{} long, verified boolean, subject string, name string, website string, location string, affiliations array<string>"
+    seen = spark.createDataFrame([(1, False, None, None, "https://a.example/x", None, None), (2, False, None, "ada king", "https://a.example/x", None, [])], schema.format("observation_id"))
+    known = spark.createDataFrame([(7, False, None, "ada king", "https://a.example/x", "here", ["org"])], schema.format("identity_id"))
+    pairs = identity.candidate_pairs(seen, known)
+    got = {r["observation_id"]: (round(r["score"], 6), r["durable"], r["reasons"]) for r in identity.score_pairs(pairs, seen, known).collect()}
+    assert got == {1: (0.48, False, "website"), 2: (0.86, True, "exact name, website")}

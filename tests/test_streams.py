@@ -99,3 +99,22 @@ def test_research_queue_and_upserts(spark, data, tmp_path):
     write(spark.createDataFrame([(1, "x", 5)], "k int, v string, a int"), 0)
     write(spark.createDataFrame([(1, "y", 7), (2, "z", 3)], "k int, v string, a int"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).select("k", "v", "a").collect())) == [(1, "y", 5), (2, "z", 3)]
+
+
+def test_state_with_a_time_to_live(spark, tmp_path):
+    """The query goes on until it is stopped, so it is waited for until the rows are there."""
+    import time
+
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("a", 0.2), ("a", 0.7), ("b", 0.1)], "key string, confidence double").coalesce(1).write.parquet(path)
+    df = T.stream_best_evidence(T.read_stream(spark, path, "key string, confidence double"), days=30)
+    q = df.writeStream.format("memory").queryName("living").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(40):
+            time.sleep(1)
+            got = sorted(map(tuple, spark.table("living").collect()))
+            if got:
+                break
+        assert got == [("a", 0.7), ("b", 0.1)]
+    finally:
+        q.stop()
