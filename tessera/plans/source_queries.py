@@ -181,10 +181,10 @@ def s22(customer: DataFrame) -> DataFrame:
     return L.import_manual(x, NOW).select("external_id", "title")
 
 
-@query("s23_page_matches", "pages", "supplier", oracle="SELECT page_id, s_suppkey AS person_id, CASE WHEN named AND s_suppkey % 2 = 0 THEN 0.86::DOUBLE WHEN named THEN 0.68::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM (SELECT page_id, s_suppkey, contains(lower(html), CASE s_suppkey % 3 WHEN 0 THEN 'tion' ELSE 'zzz' END) AS named FROM pages JOIN supplier ON regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '') LIKE '%.example.net' AND page_id % 100 = s_suppkey % 100)")
+@query("s23_page_matches", "pages", "supplier", oracle="SELECT page_id, s_suppkey AS person_id, CASE WHEN named AND s_suppkey % 2 = 0 THEN 0.86::DOUBLE WHEN named THEN 0.68::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM (SELECT page_id, s_suppkey, contains(lower(html), CASE s_suppkey % 3 WHEN 0 THEN 'tion' ELSE 'zzz' END) AS named FROM pages JOIN supplier ON regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '') LIKE '%.example.net' AND page_id // 5 = s_suppkey)")
 def s23(pages: DataFrame, supplier: DataFrame) -> DataFrame:
-    p = pages.withColumn("h", E.host_of("url")).filter(F.col("h").endswith(".example.net")).select("page_id", (F.col("page_id") % 100).cast("string").alias("host"), F.col("html").alias("text"))
-    s = supplier.select(F.col("s_suppkey").alias("person_id"), (F.col("s_suppkey") % 100).cast("string").alias("host"), F.when(F.col("s_suppkey") % 3 == 0, "tion").otherwise("zzz").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("known_site"))
+    p = pages.withColumn("h", E.host_of("url")).filter(F.col("h").endswith(".example.net")).select("page_id", F.floor(F.col("page_id") / 5).cast("string").alias("host"), F.col("html").alias("text"))
+    s = supplier.select(F.col("s_suppkey").alias("person_id"), F.col("s_suppkey").cast("string").alias("host"), F.when(F.col("s_suppkey") % 3 == 0, "tion").otherwise("zzz").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("known_site"))
     return L.verified_page_matches(p, s)
 
 
