@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules, winnow
+from tessera.llm import automaton, chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_bpe_automaton": automaton.op11_bpe_automaton,
 }
 
 ORACLES: dict[str, str] = {
