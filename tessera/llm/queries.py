@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import automaton, chat, exact_dedup, language, minhash, packing, pieces, pii, sharding, url_rules, winnow
+from tessera.llm import automaton, chat, exact_dedup, language, minhash, negatives, packing, pieces, pii, sharding, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_bpe_automaton": automaton.op11_bpe_automaton,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op5_minhash_dedup": minhash.OP5_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }

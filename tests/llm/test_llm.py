@@ -60,7 +60,7 @@ def test_awkward_and_empty_tables(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, data, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "labels"):
+    for t in ("documents", "conversations", "pages", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     want, got = c.sql(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, data).toPandas()
     cols = sorted(want.columns)
