@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import automaton, chat, exact_dedup, language, minhash, negatives, packing, pieces, pii, sharding, url_rules, winnow
+from tessera.llm import automaton, chat, exact_dedup, language, minhash, negatives, packing, pieces, pii, prefix_trie, sharding, url_rules, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
     "op11_bpe_automaton": automaton.op11_bpe_automaton,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_formatting": chat.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
