@@ -24,3 +24,66 @@ def test_null_names_add_nothing_to_a_score(spark):
     pairs = identity.candidate_pairs(seen, known)
     got = {r["observation_id"]: (round(r["score"], 6), r["durable"], r["reasons"]) for r in identity.score_pairs(pairs, seen, known).collect()}
     assert got == {1: (0.48, False, "website"), 2: (0.86, True, "exact name, website")}
+
+
+PEOPLE = "{} long, name string, website string, subject string, verified boolean, affiliations array<string>, location string"
+
+
+def judged(spark, seen, known):
+    """decisions, reviews and number of pairs of the operator, and the same from all pairs of a site or a name."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.expr import fold_name
+
+    o, i = spark.createDataFrame(seen, PEOPLE.format("observation_id")), spark.createDataFrame(known, PEOPLE.format("identity_id"))
+    all_pairs = o.select("observation_id", F.col("website").alias("w")).join(i.select("identity_id", F.col("website").alias("w")), "w").select("observation_id", "identity_id")
+    named = [df.withColumn("name_", F.nullif(fold_name("name"), F.lit(""))) for df in (o, i)]
+    all_pairs = all_pairs.unionByName(joins.block(*named, {"subject": None, "name_": 10})).distinct()
+    out = []
+    for pairs in (identity.candidate_pairs(o, i), all_pairs):
+        scored = identity.score_pairs(pairs, o, i).cache()
+        decided = sorted((r["observation_id"], r["action"], r["identity_id"], round(r["confidence"], 9)) for r in identity.decide(o, scored).collect())
+        review = sorted((r["observation_id"], r["identity_id"]) for r in identity.reviewable_pairs(scored).select("observation_id", "identity_id").collect())
+        out.append((decided, review, pairs.count()))
+    return out
+
+
+def test_the_last_of_a_site_can_be_the_best(spark):
+    """Twelve identities of one site: the name most alike is the twelfth's."""
+    site = "https://all.example/"
+    known = [(k, "persn " + "abcdefghijkm"[k] * 2, site, f"k{k}", False, [], None) for k in range(11)] + [(11, "persn ll", site, "k11", False, [], None)]
+    (decided, _, _), _ = judged(spark, [(1, "Persn L", site, "x", False, [], None)], known)
+    assert [(d[1], d[2]) for d in decided] == [("review", 11)]
+
+
+def test_large_sites_decide_as_all_pairs_do(spark, monkeypatch):
+    """A site that holds nearly all rows, with names alike in all degrees, repeated rows, organisations and places."""
+    import random
+
+    monkeypatch.setattr(identity, "BLOCK", 90)
+    r = random.Random(6)
+    syllables = ["mara", "tob", "in", "es", "quil", "va", "le", "orr", "zo", "x"]
+
+    def person(k):
+        name = " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(2)) if r.random() < 0.95 else r.choice(["", "a", "山田", None])
+        return k, name, "https://hot.example/" if r.random() < 0.9 else f"https://{r.randrange(9)}.example/", f"s{k}", r.random() < 0.5, r.choice([[], None, ["Arvenia Lab"], ["arvenia", "Brell"]]), r.choice([None, "Here", "There"])
+
+    seen, known = [person(k) for k in range(150)], [person(k + 1000) for k in range(420)]
+    known += [(5000 + k, *known[0][1:3], f"t{k}", *known[0][4:]) for k in range(50)]
+    (decided, review, n), (want, want_review, every) = judged(spark, seen, known)
+    assert decided == want and review == want_review
+    assert n < every / 10
+
+
+def test_similar_names_of_a_site_of_thousands(spark):
+    """Pairs grow with the names that are alike, not with the site's square."""
+    import itertools
+
+    schema = PEOPLE
+    base = ["".join(p) for p in itertools.product("bdfgk", "aeiou", "lmnpr", "aeiou", "stvz", "aeiou")]
+    row = lambda k, name: (k, name, "https://hot.example/", f"s{k}", False, [], None)
+    known = spark.createDataFrame([row(k, f"{base[7 * k % len(base)]} {base[11 * k % len(base)]}") for k in range(4000)], schema.format("identity_id"))
+    seen = spark.createDataFrame([row(k, f"{base[7 * k % len(base)]} {base[11 * k % len(base)]}x") for k in range(0, 4000, 4)], schema.format("observation_id"))
+    o, i = identity._folded(seen, "observation_id", "o"), identity._folded(known, "identity_id", "i")
+    pairs = {tuple(x) for x in identity.similar_pairs(o, i).collect()}
+    assert {(k, k) for k in range(0, 4000, 4)} <= pairs and len(pairs) < 4000
