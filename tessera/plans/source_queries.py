@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.functions.store import upsert
+from tessera.functions.store import BucketTable, shared_dir, upsert
 from tessera.operators import repair as R
 from tessera.operators import scoring as S
 from tessera.operators import views as V
@@ -202,6 +204,18 @@ def s25(orders: DataFrame) -> DataFrame:
     return upsert(side(0), side(1), ["o_custkey"], ["price"], first="first_seen", last="last_seen")
 
 
+@query("s25_upsert_in_buckets", "orders", oracle="SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS last_order, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen FROM orders GROUP BY 1")
+def s25_buckets(orders: DataFrame) -> DataFrame:
+    """Orders come in three batches by date into a table by customer; each rewrites the buckets of its customers."""
+    table = BucketTable(orders.sparkSession, f"{shared_dir(orders.sparkSession)}/tessera-plans/upserts-{uuid.uuid4().hex}", ["o_custkey"], buckets=16)
+    newest = F.max_by("price", "last_order").alias("price")
+    merge = lambda old, new: old.unionByName(new).groupBy("o_custkey").agg(newest, F.max("last_order").alias("last_order"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    for n, years in enumerate(("< 1997", "BETWEEN 1997 AND 1999", "> 1999")):
+        some = orders.filter(f"year(o_orderdate) {years}").select("o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("last_order"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"))
+        table.apply(some, n, merge)
+    return table.rows()
+
+
 @query("s26_run_ledger", "orders", oracle="SELECT o_custkey AS run_id, n, failed, CASE WHEN NOT ended AND started < TIMESTAMP '1999-01-01' - INTERVAL 15 MINUTE THEN 'failed' WHEN NOT ended THEN 'running' WHEN failed = 0 THEN 'succeeded' WHEN failed < n THEN 'partial' ELSE 'failed' END AS status FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, min(o_orderdate) AS started, bool_or(o_orderstatus = 'P' OR o_orderkey % 3 = 0) AS ended FROM orders GROUP BY 1)")
 def s26(orders: DataFrame) -> DataFrame:
     x = orders.select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"), F.col("o_orderdate").alias("started_at"), ((F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 3 == 0)).alias("ended"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from tessera.functions.store import upsert
+from tessera.functions.store import BucketTable, stored, upsert
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int | None = None) -> DataFrame:
@@ -68,57 +68,63 @@ def stream_best_evidence(landing: DataFrame, days: int | None = None) -> DataFra
     return landing.groupBy("key").transformWithStateInPandas(statefulProcessor=_Best(days and days * DAY), outputStructType="key string, confidence double", outputMode="Update", timeMode=_mode(days))
 
 
-def snapshots(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the complete snapshots under path, in order."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
-    root = Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(root)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and files.exists(Path(f"{path}/{n}/_SUCCESS")))
+def upserts_to(path: str, keys: list[str], replace: list[str], first: str | None = None, last: str | None = None, buckets: int = 512) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that merges each batch into a BucketTable, of which it reads and rewrites the touched buckets only.
 
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def upserts_to(path: str, keys: list[str], replace: list[str], first: str | None = None, last: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that merges each batch into a table of snapshots: path/v=N, the largest N is current.
-
-    A batch that runs again writes the same snapshot again, so a restart changes nothing. The current snapshot and the one before
-    stay, older ones go. If none is left to go on from, the stream fails and doesn't start from an empty table.
+    A batch that runs again changes nothing. If the table is gone that a later batch should go on from, the stream fails and doesn't start
+    from an empty one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = [v for v in snapshots(spark, path) if v < number]
-        if number and not done:
-            raise FileNotFoundError(f"{path} has no snapshot before batch {number}; a stream that starts anew needs a new folder")
-        old = spark.read.parquet(f"{path}/v={done[-1]}") if done else None
+        table = BucketTable(batch.sparkSession, path, keys, buckets)
+        if number and not table.versions():
+            raise FileNotFoundError(f"{path} has no version before batch {number}; a stream that starts anew needs a new folder")
         # One row a key, also within the first batch.
-        new = upsert(batch.limit(0) if old is None else old, batch, keys, replace, first, last)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
-        for v in done[:-1]:
-            _delete(spark, f"{path}/v={v}")
+        table.apply(batch, number, lambda old, new: upsert(old, new.select(old.columns), keys, replace, first, last))
 
     return write
 
 
-def stream_research_queue(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """One pending row a changed candidate: the number of changes and the first of them."""
+def research_queue(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    """The queue's table: candidate_id, n (changes), next_at (the first of them), claimed_until."""
+    return BucketTable(spark, path, ["candidate_id"], buckets)
+
+
+def stream_research_queue(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """One pending row a changed candidate: the number of changes and the first of them. Each batch adds to the rows of its candidates."""
 
     def write(batch: DataFrame, number: int) -> None:
-        one = batch.groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("discovered_at").alias("next_at"))
-        one.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        one = batch.groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("discovered_at").alias("next_at"), F.lit(None).cast("timestamp").alias("claimed_until"))
+        add = [F.sum("n").alias("n"), F.min("next_at").alias("next_at"), F.max("claimed_until").alias("claimed_until")]
+        research_queue(batch.sparkSession, path, buckets).apply(one, number, lambda old, new: old.unionByName(new).groupBy("candidate_id").agg(*add), "changes")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def pending(spark: SparkSession, path: str) -> DataFrame:
-    """The research queue over all batches."""
-    return spark.read.parquet(path).groupBy("candidate_id").agg(F.sum("n").alias("n"), F.min("next_at").alias("next_at"))
+def pending(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """The research queue as it is."""
+    return research_queue(spark, path, buckets).rows()
+
+
+def claim(spark: SparkSession, path: str, number: int, most: int, now: str, until: str, buckets: int = 64) -> DataFrame:
+    """The first `most` rows of the queue that nobody holds, by next_at; they are held until `until`. A claim that runs again under its number gives
+    the same rows."""
+    table, at = research_queue(spark, path, buckets), F.lit(until).cast("timestamp")
+    free = table.rows().filter(F.col("claimed_until").isNull() | (F.col("claimed_until") <= F.lit(now).cast("timestamp")))
+    taken = stored(free.orderBy("next_at", "candidate_id").limit(most).withColumn("claimed_until", at), "claimed")
+    version = table.apply(taken, number, lambda old, new: old.join(new.select("candidate_id"), "candidate_id", "left_anti").unionByName(new), "claims")
+    return table.rows(version).join(taken.select("candidate_id"), "candidate_id", "left_semi")
+
+
+def complete(spark: SparkSession, path: str, number: int, done: DataFrame, buckets: int = 64) -> None:
+    """Takes finished candidates (candidate_id, n: the changes that were looked at) off the queue. One that changed meanwhile stays, for the rest."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        left = old.join(new.select("candidate_id", F.col("n").alias("seen")), "candidate_id", "left")
+        rest = left.withColumn("n", F.col("n") - F.coalesce("seen", F.lit(0))).filter("n > 0")
+        return rest.withColumn("claimed_until", F.when(F.col("seen").isNull(), F.col("claimed_until"))).select(old.columns)
+
+    research_queue(spark, path, buckets).apply(done, number, merge, "completions")
 
 
 def stream_score_refresh(changes: DataFrame, history: Callable[[], DataFrame], score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "person_id") -> StreamingQuery:

@@ -79,26 +79,66 @@ def test_stale_runs(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("a", "failed", "WORKER_TIMEOUT")]
 
 
-def test_a_lost_snapshot_is_an_error(spark, tmp_path):
-    row = spark.createDataFrame([(1, "x")], "k int, v string")
-    write = T.upserts_to(str(tmp_path / "t"), ["k"], ["v"])
-    for n in range(4):
-        write(row, n)
-    assert T.snapshots(spark, str(tmp_path / "t")) == [2, 3]
+def test_a_lost_table_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        T.upserts_to(str(tmp_path / "none"), ["k"], ["v"])(row, 5)
+        T.upserts_to(str(tmp_path / "none"), ["k"], ["v"])(spark.createDataFrame([(1, "x")], "k int, v string"), 5)
 
 
-def test_research_queue_and_upserts(spark, data, tmp_path):
+def test_research_queue(spark, data, tmp_path):
+    """Changes are counted over batches; claims are held, given again when repeated, and finished rows go."""
     stream, batch = landed(spark, data, tmp_path)
-    changes = stream.select(F.col("user_id").alias("candidate_id"), F.col("ts").alias("discovered_at"))
-    T.stream_research_queue(changes, str(tmp_path / "queue"), str(tmp_path / "c")).awaitTermination(120)
-    got = {r["candidate_id"]: r["n"] for r in T.pending(spark, str(tmp_path / "queue")).collect()}
-    assert got == {r["user_id"]: r["n"] for r in batch.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
-    write = T.upserts_to(str(tmp_path / "t"), ["k"], ["v"], first="a")
-    write(spark.createDataFrame([(1, "x", 5)], "k int, v string, a int"), 0)
-    write(spark.createDataFrame([(1, "y", 7), (2, "z", 3)], "k int, v string, a int"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).select("k", "v", "a").collect())) == [(1, "y", 5), (2, "z", 3)]
+    path, changes = str(tmp_path / "queue"), stream.select(F.col("user_id").alias("candidate_id"), F.col("ts").alias("discovered_at"))
+    T.stream_research_queue(changes, path, str(tmp_path / "c"), 4).awaitTermination(120)
+    want = {r["user_id"]: (r["n"], r["t"]) for r in batch.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("t")).collect()}
+    assert {r["candidate_id"]: (r["n"], r["next_at"]) for r in T.pending(spark, path, 4).collect()} == want
+    first = sorted(want, key=lambda k: (want[k][1], k))
+    ids = lambda df: sorted(r["candidate_id"] for r in df.collect())
+    now, until = "2025-01-01 00:00:00", "2025-01-01 00:06:00"
+    taken = T.claim(spark, path, 0, 3, now, until, 4)
+    assert ids(taken) == sorted(first[:3])
+    assert ids(T.claim(spark, path, 1, 2, now, until, 4)) == sorted(first[3:5])
+    assert ids(T.claim(spark, path, 2, 1, "2025-01-01 00:07:00", until, 4)) == first[:1]
+    done = taken.withColumn("n", F.when(F.col("candidate_id") == first[0], F.lit(1)).otherwise(F.col("n")))
+    T.complete(spark, path, 0, done, 4)
+    T.complete(spark, path, 0, done, 4)
+    left = {r["candidate_id"]: r["n"] for r in T.pending(spark, path, 4).collect()}
+    assert left == {k: n - (k == first[0]) for k, (n, _) in want.items() if k not in first[1:3] and n - (k == first[0])}
+
+
+def test_upserts_touch_their_buckets_only(spark, tmp_path):
+    """Ten keys into a table of a million rewrite under a twentieth of it; a batch that runs again and a writer that died change nothing."""
+    from tessera.functions.store import BucketTable
+
+    path = str(tmp_path / "t")
+    write = T.upserts_to(path, ["k"], ["v"], first="a")
+    write(spark.range(1_000_000).select(F.col("id").alias("k"), F.lit("x").alias("v"), F.lit(5).alias("a")), 0)
+    some = spark.createDataFrame([(k, "y", 7) for k in [*range(0, 900, 100), 2_000_000]], "k long, v string, a int")
+    table = BucketTable(spark, path, ["k"])
+    for _ in range(2):
+        write(some, 1)
+        assert table.versions() == [0, 1]
+    assert spark.read.parquet(f"{path}/data/v=1").count() < 50_000
+    rows = table.rows()
+    assert rows.count() == 1_000_001 and sorted(map(tuple, rows.filter("v = 'y'").select("k", "a").collect())) == [*[(k, 5) for k in range(0, 900, 100)], (2_000_000, 7)]
+    assert table.rows(0).count() == 1_000_000
+    (tmp_path / "t/data/v=2/bucket=0").mkdir(parents=True)
+    (tmp_path / "t/manifest/v=2").mkdir(parents=True)
+    assert table.versions() == [0, 1]
+    write(some.withColumn("v", F.lit("z")), 2)
+    assert table.versions() == [0, 1, 2] and table.rows().filter("v = 'z'").count() == 10
+
+
+def test_bucket_tables_keep_their_last_versions(spark, tmp_path):
+    from tessera.functions.store import BucketTable, upsert
+
+    table = BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=4, keep=3)
+    for n in range(6):
+        table.apply(spark.createDataFrame([(n, f"v{n}", n), (0, f"v{n}", n)], "k int, bucket string, n int"), n, lambda old, new: upsert(old, new, ["k"], ["bucket", "n"]))
+    assert table.versions() == [3, 4, 5]
+    assert sorted(map(tuple, table.rows().select("k", "bucket").collect())) == [(0, "v5"), *[(k, f"v{k}") for k in range(1, 6)]]
+    assert table.rows(3).count() == 4
+    with pytest.raises(ValueError):
+        BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=8).rows()
 
 
 def test_state_with_a_time_to_live(spark, tmp_path):
