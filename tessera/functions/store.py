@@ -25,9 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-plans/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back: later jobs don't work it out again, and lost executors don't matter."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-plans/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,6 +53,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: list[str],
     return both.groupBy(*keys).agg(*out)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes what this application's queries stored; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class BucketTable:
     """A table kept by path in hash buckets of its key, of which a batch rewrites only those that it touches.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.store import new_folder
 from tessera.operators import graph as G
 from tessera.operators import identity as I
 from tessera.operators import search as H
@@ -209,6 +210,10 @@ def h01(embeddings: DataFrame) -> DataFrame:
     return H.vector_topk(embeddings, _first(embeddings), 0.1, 20).select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
+def _text_index(documents: DataFrame) -> H.TextIndex:
+    return H.TextIndex.build(documents, new_folder(documents.sparkSession, "text-index"))
+
+
 LEX = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS t FROM documents),
 n AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS tf0, len(list_filter(t, lambda x: x = 'von')) AS tf1 FROM t),
 s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM n),
@@ -218,13 +223,13 @@ l AS (SELECT doc_id, x / (x + 1) AS text_rank FROM b WHERE x > 0)"""
 
 @query("h03_lexical_rank", "documents", oracle=f"WITH {LEX} SELECT doc_id, round(text_rank, 6) AS text_rank FROM l")
 def h03(documents: DataFrame) -> DataFrame:
-    return H.lexical_rank(documents, "The von").withColumn("text_rank", F.round("text_rank", 6))
+    return H.lexical_rank(_text_index(documents), "The von").withColumn("text_rank", F.round("text_rank", 6))
 
 
 @query("h02_hybrid_search", "documents", "embeddings", oracle=f"WITH {LEX}, v AS (SELECT vec_id AS doc_id, {COS} AS cosine FROM embeddings e, {FIRST}), f AS (SELECT doc_id, coalesce(cosine, 0) AS cosine, coalesce(text_rank, 0) AS text_rank, doc_id % 100 AS score FROM v FULL JOIN l USING (doc_id)) SELECT doc_id, round(0.65::DOUBLE * cosine + 0.35::DOUBLE * least(1, 4 * text_rank) + least(0.08::DOUBLE, 0.08::DOUBLE * score / 100), 5) AS fused FROM f WHERE cosine > 0 OR text_rank > 0 ORDER BY round(0.65::DOUBLE * cosine + 0.35::DOUBLE * least(1, 4 * text_rank) + least(0.08::DOUBLE, 0.08::DOUBLE * score / 100), 6) DESC, score DESC, doc_id LIMIT 20")
 def h02(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     scores = documents.select("doc_id", (F.col("doc_id") % 100).cast("double").alias("score"))
-    return H.hybrid_search(documents, embeddings, scores, "The von", _first(embeddings)).select("doc_id", F.round("fused", 5).alias("fused"))
+    return H.hybrid_search(_text_index(documents), embeddings, scores, "The von", _first(embeddings)).select("doc_id", F.round("fused", 5).alias("fused"))
 
 
 @query("h06_batch_search", "embeddings", oracle="SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(" + COS + ", 6) DESC, e.vec_id) AS place FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id QUALIFY place <= 10")
@@ -238,4 +243,5 @@ def _queries(embeddings: DataFrame) -> DataFrame:
 
 @query("h07_ann_index", "embeddings")
 def h07(embeddings: DataFrame) -> DataFrame:
-    return H.ann_search(_queries(embeddings), embeddings).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "place")
+    index = H.VectorIndex.build(embeddings, new_folder(embeddings.sparkSession, "vectors"))
+    return index.search(_queries(embeddings)).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "place")

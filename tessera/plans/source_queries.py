@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
-from tessera.functions.store import BucketTable, shared_dir, upsert
+from tessera.functions.store import BucketTable, new_folder, upsert
 from tessera.operators import repair as R
 from tessera.operators import scoring as S
 from tessera.operators import views as V
@@ -207,7 +205,7 @@ def s25(orders: DataFrame) -> DataFrame:
 @query("s25_upsert_in_buckets", "orders", oracle="SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS last_order, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen FROM orders GROUP BY 1")
 def s25_buckets(orders: DataFrame) -> DataFrame:
     """Orders come in three batches by date into a table by customer; each rewrites the buckets of its customers."""
-    table = BucketTable(orders.sparkSession, f"{shared_dir(orders.sparkSession)}/tessera-plans/upserts-{uuid.uuid4().hex}", ["o_custkey"], buckets=16)
+    table = BucketTable(orders.sparkSession, new_folder(orders.sparkSession, "upserts"), ["o_custkey"], buckets=16)
     newest = F.max_by("price", "last_order").alias("price")
     merge = lambda old, new: old.unionByName(new).groupBy("o_custkey").agg(newest, F.max("last_order").alias("last_order"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     for n, years in enumerate(("< 1997", "BETWEEN 1997 AND 1999", "> 1999")):
