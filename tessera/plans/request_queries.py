@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
 from tessera.functions import session
+from tessera.functions.store import new_folder
 from tessera.operators import graph as G
 from tessera.operators import requests as Q
+from tessera.operators.search import TextIndex
+from tessera.plans import graph_queries  # noqa: F401  (its SQL is used again)
 from tessera.plans.registry import ORACLES, QUERIES, query
+from tessera.plans.relational_queries import EARLY
 from tessera.sources.landing import read_landing
 
 ASKED = "SELECT conv_id * 1000 + turn AS query_id, concat(CASE turn % 5 WHEN 1 THEN 'early ' WHEN 2 THEN 'fast rising ' WHEN 3 THEN 'Low Profile c++ ' ELSE '' END, text) AS text, CASE WHEN turn % 4 > 0 THEN turn * 40 - 60 END AS asked_limit FROM {conversations} WHERE role = 'user'"
@@ -123,6 +127,28 @@ def k06(embeddings: DataFrame, candidate: DataFrame) -> DataFrame:
     return spark.sql(f"SELECT s.vec_id, c.status, round(s.similarity, 5) AS similarity FROM ({asked}) q, LATERAL search_vectors(q.embedding, 0.05D) s JOIN candidates c ON c.candidate_id = s.vec_id")
 
 
+def k06_hybrid(spark, sf_dir: str) -> DataFrame:
+    """Hybrid search as SQL users call it."""
+    documents, embeddings = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
+    scores = documents.select("doc_id", (F.col("doc_id") % 100).cast("double").alias("score"))
+    session.register(spark, {"embeddings": embeddings, "scores": scores}, TextIndex.build(documents, new_folder(spark, "text-index")))
+    return spark.sql("SELECT doc_id, round(fused, 5) AS fused FROM hybrid_search('The von', (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), 20)")
+
+
+QUERIES["k06_hybrid_search_sql"] = k06_hybrid
+ORACLES["k06_hybrid_search_sql"] = ORACLES["h02_hybrid_search"]
+
+
+@query("k06_digest_rank_sql", "candidate", "evidence", "digest_item")
+def k06_digest(candidate: DataFrame, evidence: DataFrame, digest_item: DataFrame) -> DataFrame:
+    """The digest's ranking as SQL users call it."""
+    session.register(candidate.sparkSession, {"candidates": candidate, "evidence": evidence, "digest_items": digest_item})
+    return candidate.sparkSession.sql(f"SELECT candidate_id, status, round(digest_rank_score, 6) AS digest_rank_score, discovered_at FROM rank_for_digest(TIMESTAMP '{EARLY}', 60D, 20, 21)")
+
+
+ORACLES["k06_digest_rank_sql"] = ORACLES["d01_digest_rank"]
+
+
 def s02(spark, sf_dir: str) -> DataFrame:
     landed = read_landing(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp, event_type string")
     return landed.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
