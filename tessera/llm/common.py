@@ -34,15 +34,20 @@ def _home(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the application's part of the shared folder that nothing uses yet."""
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the application's part of the shared folder and reads it back: cuts the lineage, survives lost executors.
     What a result still reads stays until drop_stashes."""
-    path = f"{_home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,12 +56,12 @@ def drop_stash(df: DataFrame) -> None:
     """Deletes the files behind a stash that nothing needs any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/tessera/" in folder:
-            _delete(df.sparkSession, folder)
+            delete(df.sparkSession, folder)
 
 
 def drop_stashes(spark: SparkSession) -> None:
     """Deletes all of this application's stashes; call it when its results are written."""
-    _delete(spark, _home(spark))
+    delete(spark, _home(spark))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -84,7 +89,7 @@ _BITMAP = 1 << 15
 
 
 def may_match(rows: DataFrame, key: str, marked: DataFrame) -> DataFrame:
-    """rows with a boolean column maybe_: false only where no row of marked (stored: `key` alone) has the row's key.
+    """rows (without columns of the names used here) with a boolean column maybe_: false only where no row of marked (stored: `key` alone) has the row's key.
 
     The keys of `marked` are hashed into a bitmap of bounded size, which is broadcast, so rows stay where they are. What is
     true goes on to an exact join; some 2 % of the other rows are true as well while the filter has BITS_EACH bits a key,
@@ -114,6 +119,8 @@ def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     a few more are brought together by key and judged exactly.
     """
     pairs = stash(verdicts.groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "keys")
-    rows = may_match(docs.withColumn("row_key_", key), "row_key_", pairs.filter("NOT kept OR n > 1").select(F.col("key").alias("row_key_")))
-    once = rows.filter("maybe_").dropDuplicates(["row_key_"]).join(pairs.filter("NOT kept").select(F.col("key").alias("row_key_")), "row_key_", "left_anti")
-    return rows.filter("NOT maybe_").select(docs.columns).unionByName(once.select(docs.columns))
+    # The user's columns travel in one struct, so none of them can clash with a name in here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    rows = may_match(own, "key", pairs.filter("NOT kept OR n > 1").select("key"))
+    once = rows.filter("maybe_").dropDuplicates(["key"]).join(pairs.filter("NOT kept").select("key"), "key", "left_anti")
+    return rows.filter("NOT maybe_").select("row.*").unionByName(once.select("row.*"))

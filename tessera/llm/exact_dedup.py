@@ -7,12 +7,12 @@ a bucket-aligned merge; the index is never shuffled again.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, join_hot, keep_rows, row_key, stash, table
+from tessera.llm.common import ascii_lower, delete, join_hot, keep_rows, new_folder, row_key, stash, table
 
 
 def text_digest(text: Column) -> Column:
@@ -21,15 +21,23 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, one row each, with the id that stands for them.
+    """Digests seen so far, one row each, with the id that stands for them, kept by path: any later session opens it again.
 
-    `buckets` should grow with the index (a few hundred MB a bucket).
+    The rows are a bucketed and sorted table, which each session registers over its own location. `buckets` is fixed for the life of an
+    index (take so many that a bucket has a few hundred MB at most). A cluster needs a path that driver and executors share. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        if not spark.catalog.tableExists(name):
-            spark.sql(f"CREATE TABLE {name} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = "digests_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
+        meta = f"{self.path}/buckets"
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{meta}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            spark.range(buckets, buckets + 1).coalesce(1).write.mode("overwrite").parquet(meta)
+        self.buckets = spark.read.schema("id long").parquet(meta).first()[0]
+        if not spark.catalog.tableExists(self.name):
+            location = f"{self.path}/rows".replace("'", "\\'")
+            spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -41,6 +49,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +62,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     Columns besides the two named are not read. Without an index the batch gets one of its own, which goes again.
     """
     spark = docs.sparkSession
-    own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    own = index or DigestIndex(spark, new_folder(spark, "digest-index"))
     d = stash(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "digests")
     groups = d.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     own.add(groups)

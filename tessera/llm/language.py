@@ -25,9 +25,9 @@ from tessera.llm.common import stash, table
 #: n-grams of 1 to ORDERS characters hash into 2 ** BITS buckets.
 ORDERS, BITS = 3, 17
 BUCKETS = 1 << BITS
-#: Rows, all languages together, that the classifier is fitted on at most.
+#: Rows, all languages together, that the classifier is fitted on at most; a row a language where there are more languages.
 SAMPLE = 4000
-#: Languages learned at most: the most frequent ones.
+#: Up to so many languages each bucket has weights of its own; with twice as many two buckets share theirs, and so on, so a model's size is bounded.
 LANGUAGES = 64
 EPOCHS = 3
 #: Characters worked on at once.
@@ -93,6 +93,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    shift: int = 0
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
@@ -101,7 +102,7 @@ class Model:
         logits, sizes, some = np.zeros((n, len(self.languages))), np.zeros((n, 1)), np.zeros(n, bool)
         for a, b, buckets, starts, letter in gram_buckets(texts):
             for row in buckets:
-                logits[a:b] += np.add.reduceat(self.weights[row], starts, axis=0, dtype=np.float64)
+                logits[a:b] += np.add.reduceat(self.weights[row >> self.shift], starts, axis=0, dtype=np.float64)
             sizes[a:b, 0] += np.diff(np.append(starts, buckets.shape[1])) * ORDERS
             some[a:b] |= letter
         best, score = self.decide(logits * SCALE / np.maximum(sizes, 1) + self.bias)
@@ -146,16 +147,21 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def sample(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Up to `most` rows (lang, pick, text), as many of each of the LANGUAGES most frequent languages; which ones hangs on the texts alone."""
-    sizes = stash(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "languages")
-    each = most // max(1, sizes.count())
+    """Up to `most` distinct rows (lang, pick, text), as many of each language and one at least; which ones hangs on the texts alone."""
     pick = F.xxhash64("text", F.lit(7))
-    share = F.lit(1.5 * each + 50) / F.col("n")  # far more than `each` rows pass only with small chance; the window cuts them
-    near = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", pick.alias("pick"), "text")
-    near = stash(near, "language-sample")
+    sizes = stash(rows.groupBy("lang").agg(F.approx_count_distinct(pick, 0.02).alias("n")), "languages")
+    each = max(1, most // max(1, sizes.count()))
+    share = F.lit(1.5 * each + 50) / F.col("n")  # far more than `each` texts pass only with small chance; the window cuts them
+    near = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", pick.alias("pick"), "text")
+    near = stash(near.groupBy("lang", "pick").agg(F.min("text").alias("text")), "language-sample")
     return near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).filter(F.col("place") <= each)
 
 
+def shift_of(languages: int) -> int:
+    """By how many bits buckets are shortened for so many languages."""
+    return min(BITS - 8, max(0, -(-languages // LANGUAGES) - 1).bit_length())
+
+
 def _sparse(rows: DataFrame) -> DataFrame:
     """lang, pick, buckets and counts: bounded by BUCKETS entries whatever the text's length."""
 
@@ -172,16 +178,16 @@ def _sparse(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("lang", "pick", "text"), features, "lang string, pick long, at array<int>, tf array<float>")
 
 
-def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = EPOCHS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases by per-coordinate FTRL-proximal; an example is buckets, values and class."""
-    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+    z, n = np.zeros((buckets + 1, classes)), np.zeros((buckets + 1, classes))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(epochs):
         for at, x, y in examples:
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)  # the last row is the bias
+            at, x = np.append(at, buckets), np.append(x, 1.0)  # the last row is the bias
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             p = softmax((x @ w)[None, :])[0]
@@ -211,27 +217,35 @@ def train(rows: DataFrame) -> Model:
     The sample's features, bounded by SAMPLE rows of BUCKETS entries, meet in one task, which fits and calibrates; the driver gets the model.
     """
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    idf = np.log((1 + rows.count()) / (1 + document_frequencies(rows))) + 1
+    df, total = document_frequencies(rows), rows.count()
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(lang, at.astype(np.int64), tf) for b in batches for lang, at, tf in zip(b.column("lang").to_pylist(), *([x.values.to_numpy() for x in b.column(c)] for c in ("at", "tf")), strict=True)]
         if not got:
             return
-        languages = sorted({lang for lang, *_ in got})
-        examples = [(at, tf * idf[at] * SCALE, languages.index(lang)) for lang, at, tf in got]
+        languages = {x: i for i, x in enumerate(sorted({lang for lang, *_ in got}))}
+        shift = shift_of(len(languages))
+        # Buckets that share weights count as frequent as the most frequent of them.
+        idf = np.log((1 + total) / (1 + df.reshape(-1, 1 << shift).max(axis=1))) + 1
+
+        def example(lang: str, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+            short, place = np.unique(at >> shift, return_inverse=True)
+            return short, np.bincount(place, tf, len(short)) * idf[short] * SCALE, languages[lang]
+
+        examples = [example(*g) for g in got]
         judged = len(examples) >= 50
-        weights, bias = follow_the_leader([e for i, e in enumerate(examples) if i % 5 or not judged], len(languages))
+        weights, bias = follow_the_leader([e for i, e in enumerate(examples) if i % 5 or not judged], len(languages), buckets=len(idf))
         judge = examples[::5] if judged else []
         logits = np.array([x @ weights[at] + bias for at, x, _ in judge]).reshape(len(judge), len(languages))
         temperature = calibrate(logits, np.array([y for *_, y in judge], int))
-        columns = [pa.array([languages]), pa.array([(weights * idf[:, None]).astype(np.float32).tobytes()]), pa.array([bias.tobytes()]), pa.array([temperature])]
-        yield pa.RecordBatch.from_arrays(columns, ["languages", "weights", "bias", "temperature"])
+        columns = [pa.array([list(languages)]), pa.array([(weights * idf[:, None]).astype(np.float32).tobytes()]), pa.array([bias.tobytes()]), pa.array([temperature]), pa.array([shift], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["languages", "weights", "bias", "temperature", "shift"])
 
     one = _sparse(sample(rows)).repartition(1).sortWithinPartitions("pick", "lang")
-    model = map_arrow(one, fitted, "languages array<string>, weights binary, bias binary, temperature double").first()
+    model = map_arrow(one, fitted, "languages array<string>, weights binary, bias binary, temperature double, shift int").first()
     if model is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
-    return Model(model["languages"], np.frombuffer(model["weights"], np.float32).reshape(BUCKETS, -1), np.frombuffer(model["bias"]), model["temperature"])
+    return Model(model["languages"], np.frombuffer(model["weights"], np.float32).reshape(BUCKETS >> model["shift"], -1), np.frombuffer(model["bias"]), model["temperature"], model["shift"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

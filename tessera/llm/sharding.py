@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stash, table
+from tessera.llm.common import new_folder, stash, table
 
 #: Virtual slots. Fixed for the life of a corpus; shards can be at most as many.
 SLOTS = 4096
@@ -38,30 +38,35 @@ def first_map(spark: SparkSession, shards: int) -> DataFrame:
 
 
 class MapStore:
-    """All versions of a corpus's slot map, in a table of SLOTS rows a version (virtual_slot, shard, version). A version that was not
-    written whole doesn't count."""
+    """All versions of a corpus's slot map, a folder of SLOTS rows each (version=N), kept by path: any later session opens it again. A version that was
+    not written whole has no success mark and doesn't count. A cluster needs a path that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name = spark, name
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._Path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        if not self.spark.catalog.tableExists(self.name):
-            return []
-        return [r[0] for r in self.spark.table(self.name).groupBy("version").count().filter(F.col("count") == SLOTS).orderBy("version").collect()]
+        root = self._Path(self.path)
+        names = [f.getPath().getName() for f in self._files.listStatus(root)] if self._files.exists(root) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and self._files.exists(self._Path(f"{self.path}/{n}/_SUCCESS")))
 
     def load(self, version: int | None = None) -> DataFrame | None:
         """The map of a version, of the latest if none is named; None if there is none yet."""
         known = self.versions()
         if version is not None and version not in known:
-            raise KeyError(f"{self.name} has no version {version}")
-        return self.spark.table(self.name).filter(F.col("version") == (known[-1] if version is None else version)) if known else None
+            raise KeyError(f"{self.path} has no version {version}")
+        if not known:
+            return None
+        at = known[-1] if version is None else version
+        return self.spark.read.schema("virtual_slot long, shard int").parquet(f"{self.path}/version={at}").withColumn("version", F.lit(at))
 
     def append(self, slot_map: DataFrame) -> DataFrame:
         """Adds a version, higher than those before; gives it back as stored."""
         version = slot_map.agg(F.max("version")).first()[0]
         if version in self.versions():
-            raise ValueError(f"{self.name} has version {version} already")
-        slot_map.select("virtual_slot", "shard", "version").coalesce(1).write.format("parquet").mode("append").saveAsTable(self.name)
+            raise ValueError(f"{self.path} has version {version} already")
+        slot_map.select("virtual_slot", "shard").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
         return self.load(version)
 
 
@@ -121,4 +126,4 @@ def shard_documents(docs: DataFrame, shards: int = 8, store: MapStore | None = N
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return shard_documents(table(spark, sf_dir, "documents"), store=MapStore(spark, new_folder(spark, "slot-maps")))

@@ -367,16 +367,112 @@ def test_awkward_urls_and_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_index_keeps_what_came_first(spark):
-    index = exact_dedup.DigestIndex(spark, "index_test", buckets=4)
+def test_index_keeps_what_came_first(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "it's"), buckets=4)
     first = exact_dedup.deduplicate(spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string"), index)
     assert {r["doc_id"]: r["keep_id"] for r in first.collect()} == {1: 2, 2: 2, 3: 3}
     second = exact_dedup.deduplicate(spark.createDataFrame([(9, "a"), (10, "c")], "doc_id long, text string"), index)
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second.collect()} == {9: (2, False), 10: (10, True)}
     assert index.rows().count() == 3
     index.drop()
-    exact_dedup.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+    assert not (tmp_path / "it's").exists()
+
+
+SESSION = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+sys.path.insert(0, {root!r})
+from tessera.llm import exact_dedup, sharding
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {own!r}).config("spark.checkpoint.dir", "file://" + {own!r}).getOrCreate()
+docs = spark.createDataFrame({rows!r}, "doc_id long, text string")
+index = exact_dedup.DigestIndex(spark, {shared!r} + "/index", buckets={buckets})
+print("kept", sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(docs, index).collect()))
+store = sharding.MapStore(spark, {shared!r} + "/maps")
+sharding.shard_documents(docs, 4, store).count()
+print("state", index.buckets, index.rows().count(), store.versions())
+"""
+
+
+def test_stores_open_again_in_another_session(tmp_path):
+    """Each run is a Spark application of its own; only the stores' folder is the same."""
+    import pathlib
+    import subprocess
+    import sys
+
+    said = []
+    for n, rows in enumerate(([(1, "a"), (2, "b")], [(5, "A"), (6, "c")])):
+        code = SESSION.format(root=str(pathlib.Path(__file__).resolve().parents[2]), own=str(tmp_path / f"own{n}"), shared=str(tmp_path / "shared"), rows=rows, buckets=4 + n)
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+        assert out.returncode == 0, out.stderr[-3000:]
+        said.append([x for x in out.stdout.splitlines() if x.startswith(("kept", "state"))])
+    assert said == [["kept [(1, 1, True), (2, 2, True)]", "state 4 2 [1]"], ["kept [(5, 1, False), (6, 6, True)]", "state 4 3 [1, 2]"]]
+
+
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_no_column_name_clashes(spark, stage):
+    """Columns named like everything inside come back as they were."""
+    names = ["row", "key", "row_key_", "maybe_", "h_", "map_", "bits_", "kept", "n", "digest", "keep_id", "component_id", "class_", "h", "uid", "a.b", "text_sha256"]
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = {1: "same text", 2: "SAME text", 3: "other words here", 4: long, 5: long + " end", 6: long.upper()}
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in texts.items()], ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in names]]))
+    out = (exact_dedup.keep_first_copies if stage == "exact" else minhash.drop_near_duplicates)(docs)
+    assert out.columns == docs.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert set(rows) == ({2, 3, 5, 6} if stage == "exact" else {1, 3, 4})
+    assert all(r[c] == f"{c}{i}" for i, r in rows.items() for c in names)
+
+
+def test_a_token_cut_from_baskets_is_no_sure_rule(spark):
+    """Ten blocked and thirty clean URLs share a token; the clean ones have twelve others that are blocked more often."""
+    sure = [f"z{i}" for i in range(12)]
+    rows = [(f"https://b{i}.example/xx/{i}?k{i}=1", True) for i in range(10)] + [(f"https://c.example/{'/'.join(sure)}/xx/?c{i}=1", False) for i in range(30)]
+    rows += [(f"https://d.example/{z}/?d{j}{z}=1", True) for z in sure for j in range(100)] + [(f"https://e{i}.example/f/?e{i}=1", False) for i in range(3000)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = url_rules.mine_rules(labelled).collect()
+    assert rules and not [r for r in rules if "p:xx" in r["antecedent"]]
+    assert url_rules.match_rules(spark.createDataFrame([("https://c.example/q/xx/",)], "url string"), spark.createDataFrame(rules)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More languages than have buckets of their own, each with an alphabet; a much repeated text is one row of the sample."""
+    r = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + r.randrange(30)) for _ in range(4))
+    rows = [(i, " ".join(word(k) for _ in range(12)), f"l{k:03d}") for i, k in enumerate(k for k in range(150) for _ in range(12))]
+    rows += [(100_000 + i, rows[0][1], "l000") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = language.sample(docs.select("text", "lang")).groupBy("lang").count().collect()
+    assert len(picked) == 150 and max(x["count"] for x in picked) <= language.SAMPLE // 150
+    model = language.train(docs)
+    assert len(model.languages) == 150 and model.shift == 2 and model.weights.shape == (language.BUCKETS >> 2, 150)
+    got = {x["doc_id"]: x["lang_pred"] for x in language.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
+def test_leader_and_temperature_equal_plain_ones():
+    """The weights of per-coordinate FTRL written out coordinate by coordinate, and the temperature by a grid."""
+    r = np.random.default_rng(4)
+    examples = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(40)]
+    weights, bias = language.follow_the_leader(examples, 3, epochs=2, buckets=12)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def w(i, c):
+        if abs(z[i, c]) <= language.L1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * language.L1) / ((language.BETA + n[i, c] ** 0.5) / language.ALPHA + language.L2)
+
+    for at, x, y in examples * 2:
+        full = [*zip(at.tolist(), x.tolist(), strict=True), (12, 1.0)]
+        e = np.exp([sum(w(i, c) * v for i, v in full) for c in range(3)])
+        p = e / e.sum()
+        steps = [(i, c, v * (p[c] - (c == y)), w(i, c)) for i, v in full for c in range(3)]
+        for i, c, g, old in steps:
+            z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / language.ALPHA * old
+            n[i, c] += g * g
+    assert np.allclose(weights, [[w(i, c) for c in range(3)] for i in range(12)]) and np.allclose(bias, [w(12, c) for c in range(3)])
+    logits, y = r.normal(size=(200, 3)) * 4, r.integers(3, size=200)
+    loss = lambda t: -np.log(language.softmax(logits / t)[np.arange(200), y]).mean()
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 2000))
+    assert loss(language.calibrate(logits, y)) <= min(map(loss, grid)) + 1e-6
 
 
 def test_shards(spark):
@@ -412,11 +508,11 @@ def brute_rebalance(shard_of, weight, shards):
     return out
 
 
-def test_shards_equal_brute_force_and_go_on_from_the_stored_map(spark):
+def test_shards_equal_brute_force_and_go_on_from_the_stored_map(spark, tmp_path):
     r = random.Random(12)
     rows = [(r.choice([i, i, None, 7]), r.choice(["", None, "é" * r.randrange(300), "x" * r.randrange(2000)])) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    store = sharding.MapStore(spark, "slot_maps_test")
+    store = sharding.MapStore(spark, str(tmp_path / "maps"))
     assert store.load() is None
     placed = sharding.records(docs).toPandas()
     weight = {**dict.fromkeys(range(sharding.SLOTS), 0), **placed.groupby("virtual_slot")["size"].sum().to_dict()}
@@ -432,7 +528,6 @@ def test_shards_equal_brute_force_and_go_on_from_the_stored_map(spark):
     assert store.versions() == [1, 2, 3] and store.load(2).count() == sharding.SLOTS
     with pytest.raises(KeyError):
         store.load(9)
-    spark.sql("DROP TABLE slot_maps_test")
 
 
 def test_language_on_held_out_rows(spark, monkeypatch):
