@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain forms, for names in Latin script.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+@lru_cache(maxsize=1)
+def _plain_forms() -> tuple[str, str, str, dict[str, str]]:
+    """What compatibility decomposition makes of all code points, as far as letters a-z and digits come of it: characters with one such form and those forms, in
+    order; combining marks, which go; and characters whose form has several characters."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        form = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", c)).lower()
+        if re.search("[a-z0-9]", form):
+            (one if len(form) == 1 else several)[c] = re.sub("[^a-z0-9]", " ", form)
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(one), "".join(one.values()), marks, several
 
 
 def c(x: Column | str) -> Column:
@@ -24,9 +38,15 @@ def log_share(x: Column | str, top: float) -> Column:
 
 
 def fold_name(x: Column | str) -> Column:
-    """Lower case, Latin letters without marks, anything else but letters and digits as single spaces."""
-    low = F.translate(F.lower(c(x)), _MARKED, _PLAIN)
-    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+    """Compatibility forms taken apart, combining marks off, lower case; anything else but a-z and digits as single spaces. Built-in functions only."""
+    from_, to, marks, several = _plain_forms()
+    x = c(x)
+    # Ligatures and the like are rare: only texts that have one go character by character.
+    table = F.str_to_map(F.lit("\n".join(f"{k}={v}" for k, v in several.items())), F.lit("\n"), F.lit("="))
+    apart = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+    whole = F.when(x.rlike("[" + "".join(several) + "]"), apart).otherwise(x)
+    plain = F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.translate(whole, from_ + marks, to))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
 
 
 def fold_org(x: Column | str) -> Column:
@@ -183,8 +203,10 @@ def near_duplicate_fact(a: Column | str, b: Column | str) -> Column:
 
 
 def names_roughly_match(a: Column | str, b: Column | str) -> Column:
-    x, y = F.split(fold_name(a), " "), F.split(fold_name(b), " ")
-    return F.size(F.array_intersect(x, y)) >= F.least(F.lit(2), F.size(x))
+    """Whether two words of the first name are in the second, or its only one. Single letters don't count, and a name without words matches none."""
+    x, y = (F.filter(F.split(fold_name(n), " "), lambda w: F.length(w) >= 2) for n in (a, b))
+    shared = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
+    return (F.size(x) > 0) & (F.size(y) > 0) & (shared >= F.least(F.lit(2), F.size(x)))
 
 
 def entropy_breadth(shares: Column | str) -> Column:
@@ -197,8 +219,6 @@ def entropy_breadth(shares: Column | str) -> Column:
 
 def term_match(text: Column | str, terms: list[str]) -> Column:
     """Whether any term occurs as whole words, whatever the case."""
-    import re
-
     return c(text).rlike("(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(map(re.escape, terms)) + ")(?![\\p{L}\\p{N}])")
 
 

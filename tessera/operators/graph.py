@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.store import stored
 from tessera.operators.aggregates import graph_support
-from tessera.operators.joins import undirected
+from tessera.operators.joins import many_to_one, undirected
 from tessera.operators.windows import cap_per_group, first_of
 
 #: What makes graph evidence strong enough for a candidate.
@@ -52,20 +52,32 @@ def graph_candidates(edges: DataFrame, key: str, most: int = 50) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of the nodes of edges (a, b): the least id reachable.
 
-    Each round every node takes the least label among itself and its neighbours, then its label's label, so paths halve;
-    labels are stored every round, and it ends when none changes.
+    Each round hooks every node to its least neighbour, follows the hooks to their roots (their length halves with each step), and contracts the edges to
+    edges between roots, until none is left: the nodes that still have edges at least halve, so rounds grow with the logarithm. A node with a large part
+    of all edges, or a root with a large part of all nodes, stays in place (many_to_one). All steps are stored.
     """
-    both = stored(undirected(edges.select("a", "b").filter("a <> b").distinct(), "a", "b"), "graph-edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left")
-        new = stored(jump.select("id", F.coalesce("further", "label").alias("label"), "old"), "labels")
-        moved = new.filter("label <> old").limit(1).count()
-        labels = new.select("id", "label")
-        if not moved:
-            return labels
+    left = stored(edges.select("a", "b").filter("a <> b").distinct(), "graph-edges")
+    levels = []
+    while left.limit(1).count():
+        hooks = undirected(left, "a", "b").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
+        roots = stored(hooks.select("id", F.least("id", "least").alias("label")), "hooks")
+        while True:
+            further = stored(many_to_one(roots, roots.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label"), F.col("label").alias("was")), "hooks")
+            roots = further.select("id", "label")
+            if not further.filter("label <> was").limit(1).count():
+                break
+        levels.append(roots)
+        for side in ("a", "b"):
+            left = stored(many_to_one(left, roots.select(F.col("id").alias(side), F.col("label").alias("root")), side).drop(side).withColumnRenamed("root", side), "graph-edges")
+        left = stored(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph-edges")
+    if not levels:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    labels = levels[0]
+    for roots in levels[1:]:
+        up = roots.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        moved = many_to_one(labels, up, "label").select("id", F.col("root").alias("label"))
+        labels = stored(labels.join(up.select("label"), "label", "left_anti").select("id", "label").unionByName(moved), "labels")
+    return labels
 
 
 def expand_frontier(seeds: DataFrame, edges: DataFrame, depth: int = 2, nodes: int = 1000, per_seed: int = 60) -> DataFrame:

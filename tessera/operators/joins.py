@@ -29,6 +29,23 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.unionByName(turned)
 
 
+#: No more than so many keys can each hold over 1/HOT of all rows; tables with fewer rows than FEW are joined as they are.
+HOT, FEW = 256, 100_000
+
+
+def many_to_one(many: DataFrame, one: DataFrame, key: str, few: int | None = None) -> DataFrame:
+    """Inner join of many rows (stored) with one row a key (stored). Keys that hold over 1/HOT of the rows are at most HOT: they are named and broadcast,
+    and their rows stay where they are; the others shuffle, and none of them is large."""
+    total = many.count()
+    if total < (FEW if few is None else few):
+        return many.join(one, key)
+    hot = [r[0] for r in many.groupBy(key).count().filter(F.col("count") * HOT > total).select(key).collect()]
+    if not hot:
+        return many.join(one, key)
+    named = F.col(key).isin(hot)
+    return many.filter(named).join(F.broadcast(one.filter(named)), key).unionByName(many.filter(~named).join(one.filter(~named), key))
+
+
 def unique_match(events: DataFrame, runs: DataFrame, event_key: str, at: str, started: str, run_key: str) -> DataFrame:
     """(event_key, run_key) of events whose time is the start of exactly one run."""
     single = runs.groupBy(started).agg(F.count("*").alias("n"), F.min(run_key).alias(run_key)).filter("n = 1")

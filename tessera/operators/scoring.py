@@ -47,37 +47,30 @@ def publisher_counts(evidence: DataFrame, key: str) -> DataFrame:
 
 
 def features(evidence: DataFrame, key: str, now: str) -> DataFrame:
-    """The eight features per key from one aggregation of its evidence and one of its recent distinct pages.
+    """The eight features per key from aggregations of its evidence, of its recent distinct pages and of its tags.
 
     Metrics are columns: rank, citations, momentum, activity90d, followers, complexity, complexity_confidence,
-    graph_weight. The largest rank counts, as the scoring rule has it.
+    graph_weight. The largest rank counts, as the scoring rule has it. Distinct pages and hosts are counted by grouping in levels,
+    by key and page, key and host, then key, each with sums that add up: no row is written more than once, and a key with much evidence is
+    spread over its pages first.
     """
     at = F.lit(now).cast("timestamp")
-    metric = lambda m: F.greatest(F.lit(0.0), F.max(m))
     is_ = lambda types: F.col("type").isin(*types)
     counted = ~F.col("type").isin("social_graph_signal", "identity_observed") & (F.col("confidence") >= 0.65) & accepted_licensed()
-    main = evidence.groupBy(key).agg(
-        F.count("*").alias("n"),
-        F.count_if(is_(ACHIEVEMENTS)).alias("n_achievements"),
-        F.count_if(~is_(PASSIVE)).alias("n_observed"),
-        metric("rank").alias("rank"),
-        metric("citations").alias("citations"),
-        metric("momentum").alias("momentum"),
-        metric("activity90d").alias("activity"),
-        metric("complexity").alias("complexity"),
-        metric("complexity_confidence").alias("complexity_confidence"),
-        metric("graph_weight").alias("graph_weight"),
-        F.greatest(F.lit(0.0), F.max(F.when(F.col("source") == "x", F.col("followers")))).alias("x_followers"),
-        F.greatest(F.lit(0.0), F.max(F.when(F.col("source") == "github", F.col("followers")))).alias("code_followers"),
-        F.count_distinct(F.when(is_(BUILDS), F.col("source_url"))).alias("n_projects"),
-        F.count_distinct(F.when(is_(BUILDS), F.col("tag"))).alias("n_project_tags"),
-        F.count_distinct(F.when(counted, publisher_host("source_url"))).alias("publishers"),
-        F.avg(clamp("confidence")).alias("mean_confidence"),
-        F.max("occurred_at").alias("latest"),
-    )
+    largest = {m: F.col(m) for m in ("rank", "citations", "momentum", "complexity", "complexity_confidence", "graph_weight")}
+    largest |= {"activity": F.col("activity90d"), "x_followers": F.when(F.col("source") == "x", F.col("followers")), "code_followers": F.when(F.col("source") == "github", F.col("followers")), "latest": F.col("occurred_at")}
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    sums = {"n": F.lit(1), "n_achievements": one(is_(ACHIEVEMENTS)), "n_observed": one(~is_(PASSIVE)), "confidence_sum": clamp("confidence")}
+    pages = evidence.groupBy(key, "source_url").agg(*[F.sum(e).alias(c) for c, e in sums.items()], *[F.max(e).alias(c) for c, e in largest.items()], F.max(one(is_(BUILDS) & F.col("source_url").isNotNull())).alias("n_projects"), F.max(one(counted)).alias("public"))
+    up = [*[F.sum(c).alias(c) for c in [*sums, "n_projects"]], *[F.max(c).alias(c) for c in largest]]
+    hosts = pages.withColumn("host_", publisher_host("source_url")).groupBy(key, "host_").agg(*up, F.max("public").alias("public"))
+    main = hosts.groupBy(key).agg(*up, F.count_if(F.col("host_").isNotNull() & (F.col("public") == 1)).alias("publishers"))
+    main = main.withColumns({m: F.greatest(F.lit(0.0), m) for m in largest if m != "latest"}).withColumn("mean_confidence", F.col("confidence_sum") / F.col("n")).drop("confidence_sum")
+    tags = evidence.filter(is_(BUILDS) & F.col("tag").isNotNull()).groupBy(key, "tag").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("n_project_tags"))
+    main = main.join(tags, key, "left").fillna(0, ["n_project_tags"])
     recent = evidence.filter(~is_((*PASSIVE, "other")) & (F.col("occurred_at") >= at - F.expr("INTERVAL 90 DAYS")))
-    pages = recent.groupBy(key, "type", "source_url").agg(F.max_by(F.date_format("occurred_at", "yyyy-MM"), "event_id").alias("month"))
-    months = pages.groupBy(key).agg(F.count("*").alias("n_recent"), F.count_distinct("month").alias("n_months"))
+    seen = recent.groupBy(key, "type", "source_url").agg(F.max_by(F.date_format("occurred_at", "yyyy-MM"), "event_id").alias("month"))
+    months = seen.groupBy(key).agg(F.count("*").alias("n_recent"), F.count_distinct("month").alias("n_months"))
     x = main.join(months, key, "left").fillna(0, ["n_recent", "n_months"])
     x = x.withColumns(
         {

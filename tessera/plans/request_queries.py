@@ -84,7 +84,7 @@ def c20(part: DataFrame) -> DataFrame:
 @query("c23_rough_names", "customer", "nation", oracle="SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE lower(n_name) NOT LIKE '% %' END AS agree FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def c23(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """A name against itself turned round, with a middle name, with another family name, and a single name against a longer one."""
-    x = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    x = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     k, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
     left = F.when(k == 3, F.col("n_name")).otherwise(F.concat(F.lit("Mara K"), key))
     right = F.when(k == 0, F.concat(F.lit("K"), key, F.lit(", mara"))).when(k == 1, F.concat(F.lit("Mara Jo K"), key)).when(k == 2, F.lit("Mara Other")).otherwise(F.concat(F.substring_index("n_name", " ", 1), F.lit(" Q")))

@@ -235,6 +235,11 @@ def c01(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", E.fold_name("c_name").alias("folded"))
 
 
+@query("c01_fold_texts", "conversations", oracle="SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM conversations")
+def c01_texts(conversations: DataFrame) -> DataFrame:
+    return conversations.select("conv_id", "turn", E.fold_name("text").alias("folded"))
+
+
 @query("c03_publisher_hosts", "evidence", oracle=f"SELECT coalesce({PUBLIC}, 'none') AS host, count(*) AS n FROM {{evidence}} GROUP BY 1")
 def c03(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(F.coalesce(E.publisher_host("source_url"), F.lit("none")).alias("host")).agg(F.count("*").alias("n"))

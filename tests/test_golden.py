@@ -65,6 +65,34 @@ def test_folds(spark):
     assert many(spark, ["The Orchard Labs Ltd", "College of Weaving", "Inc", "Harbor University Lab of Tides"], E.fold_org) == ["orchard", "weaving", "", "harbor tides"]
 
 
+def plain(name):
+    """The rule of folding: compatibility decomposition, marks U+0300 to U+036F off, lower case, the rest to single spaces."""
+    import re
+    import unicodedata
+
+    return re.sub("[^a-z0-9]+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", name)).lower()).strip()
+
+
+def test_folding_of_every_character(spark):
+    """All code points of the first two planes, also between letters, and names of several alphabets."""
+    names = ["Čapek Žižka", "Şahin Ōta", "İstanbul", "ﬁne Ⅷ ½", "Αθήνα Ω1", "Жук x2", "Ｆｕｌｌ", "e\u0301a\u0328", "ﬃ"]
+    stretches = [[c for c in range(a, a + 0x400) if not 0xD800 <= c < 0xE000] for a in range(0, 0x20000, 0x400)]
+    texts = ["x".join(map(chr, s)) for s in stretches if s] + names
+    assert many(spark, texts, E.fold_name) == [plain(t) for t in texts]
+
+
+def test_rough_names_by_their_rule(spark):
+    """Words of one letter don't count; names without words match nothing."""
+    r = random.Random(14)
+    words = ["a", "b", "smith", "jones", "Émile", "emile", "山田", "li", "J", "x-y", ""]
+    pairs = [(" ".join(r.choice(words) for _ in range(r.randint(0, 4))), " ".join(r.choice(words) for _ in range(r.randint(0, 4)))) for _ in range(400)]
+    pairs += [("A B Smith", "A B Jones"), ("", ""), ("山田 太郎", "李"), ("J", "J Doe"), ("Smith", "J Smith")]
+    tokens = lambda n: [w for w in plain(n).split(" ") if len(w) >= 2]
+    want = [bool(x and y) and sum(w in y for w in x) >= min(2, len(x)) for x, y in ((tokens(a), tokens(b)) for a, b in pairs)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", E.names_roughly_match("a", "b").alias("y")).orderBy("i").collect()
+    assert [x["y"] for x in rows] == want and any(want) and want[-5:] == [False, False, False, False, True]
+
+
 def multiset_dice(a, b):
     if a == b:
         return 1.0
