@@ -68,15 +68,71 @@ def test_scores_of_touched_people_only(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("person_id", "total").collect())) == [(1, 12.0), (3, 2.0)]
 
 
+def lands(spark, path, schema, *batches):
+    """Each batch a file of its own, in order; times as text."""
+    import time
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
+        df = df.select([F.col(c).cast("timestamp").alias(c) if f"{c} timestamp" in schema else F.col(c) for c in names])
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files are read in order of their times
+    return T.read_stream(spark, path, schema, files=1)
+
+
+RUN = "run_id string, started_at timestamp, ended boolean"
+
+
 def test_stale_runs(spark, tmp_path):
-    """T-04: a run without an end fails when its gap closes; one that ended or is still young doesn't."""
-    rows = [("a", "2024-01-01 00:00:00", False), ("b", "2024-01-01 00:00:00", False), ("b", "2024-01-01 00:05:00", True), ("c", "2024-01-01 02:00:00", False)]
-    path = str(tmp_path / "in")
-    df = spark.createDataFrame(rows, "run_id string, started_at string, ended boolean").withColumn("started_at", F.col("started_at").cast("timestamp"))
-    df.coalesce(1).write.parquet(path)
-    spark.createDataFrame([("d", "2024-01-01 02:01:00", True)], "run_id string, started_at string, ended boolean").withColumn("started_at", F.col("started_at").cast("timestamp")).write.mode("append").parquet(path)
-    got = drain(T.stream_stale_runs(T.read_stream(spark, path, "run_id string, started_at timestamp, ended boolean")), "stale", "append", str(tmp_path / "c"))
-    assert [tuple(r) for r in got.collect()] == [("a", "failed", "WORKER_TIMEOUT")]
+    """T-04: a run without an end in time fails, also one that talks on every five minutes or ends too late; one that ended or is still young doesn't."""
+    clock = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    first = [("quiet", clock(0), False), ("done", clock(0), False), ("done", clock(5), True), ("tardy", clock(1), False), ("tardy", clock(17), True)]
+    talk = [[("talks", clock(m), False)] for m in range(0, 65, 5)]
+    df = lands(spark, str(tmp_path / "in"), RUN, first, *talk, [("young", clock(120), False)], [("young", clock(121), None)])
+    got = drain(T.stream_stale_runs(df, late="10 minutes"), "stale", "append", str(tmp_path / "c"))
+    assert sorted(map(tuple, got.collect())) == [(r, "failed", "WORKER_TIMEOUT") for r in ("quiet", "talks", "tardy")]
+
+
+def test_ninety_days_in_a_ring(spark, tmp_path):
+    """T-03: equal to the batch form up to the watermark, from a state of a row a person."""
+    import random
+
+    r = random.Random(5)
+    day = lambda d: (pd.Timestamp("2024-01-01") + pd.Timedelta(days=d, hours=r.randrange(24))).strftime("%Y-%m-%d %H:%M:%S")
+    rows = [(p, day(d)) for p in range(6) for d in sorted(r.sample(range(200), 12))]
+    rows.sort(key=lambda x: x[1])
+    schema = "person_id long, ts timestamp"
+    df = lands(spark, str(tmp_path / "in"), schema, rows[:30], rows[30:60], rows[60:], [(9, "2024-09-01 00:00:00")])
+    q = T.stream_activity_90d(df).writeStream.format("memory").queryName("ring").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted((x["person_id"], x["until"].strftime("%Y-%m-%d"), x["n"]) for x in spark.table("ring").collect())
+    batch = spark.read.parquet(str(tmp_path / "in")).groupBy("person_id", F.window("ts", "90 days", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    want = sorted((x["person_id"], x["w"]["end"].strftime("%Y-%m-%d"), x["n"]) for x in batch.filter("w.end <= '2024-08-31'").collect())
+    assert got == want and len(got) > 500
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3 * 7
+
+
+def test_state_goes_in_event_time(spark, tmp_path):
+    """T-02 and T-05: queries that end by themselves forget keys that the watermark has left behind."""
+    day = lambda d: f"2024-{1 + d // 28:02d}-{1 + d % 28:02d} 00:00:00"
+    batches = [[(f"k{d}", 0.5, day(d)), ("steady", 0.1 + d / 1000, day(d))] for d in range(0, 200, 10)]
+    schema = "key string, confidence double, discovered_at timestamp"
+    df = lands(spark, str(tmp_path / "in"), schema, *batches, [("k0", 0.2, day(201))])
+    q = T.stream_best_evidence(df, days=30).writeStream.format("memory").queryName("best_kept").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = [tuple(x) for x in spark.table("best_kept").collect()]
+    assert ("k0", 0.5) in got and ("k0", 0.2) in got and len([x for x in got if x[0] == "steady"]) == 20
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes) <= 3 * 8
+
+    path = str(tmp_path / "requests")
+    for n in range(6):
+        spark.createDataFrame([(f"u{n}", 1_000_000 + n * 200_000), ("a", 1_000_000 + n * 200_000)], "key string, at long").coalesce(1).write.mode("append").parquet(path)
+    q = T.stream_rate_window(T.read_stream(spark, path, "key string, at long", files=1), 2, 60, days=1).writeStream.format("memory").queryName("rate_kept").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert spark.table("rate_kept").count() == 12
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1] <= 3 * 2
 
 
 def test_a_lost_table_is_an_error(spark, tmp_path):
@@ -139,22 +195,3 @@ def test_bucket_tables_keep_their_last_versions(spark, tmp_path):
     assert table.rows(3).count() == 4
     with pytest.raises(ValueError):
         BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=8).rows()
-
-
-def test_state_with_a_time_to_live(spark, tmp_path):
-    """The query goes on until it is stopped, so it is waited for until the rows are there."""
-    import time
-
-    path = str(tmp_path / "in")
-    spark.createDataFrame([("a", 0.2), ("a", 0.7), ("b", 0.1)], "key string, confidence double").coalesce(1).write.parquet(path)
-    df = T.stream_best_evidence(T.read_stream(spark, path, "key string, confidence double"), days=30)
-    q = df.writeStream.format("memory").queryName("living").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
-    try:
-        for _ in range(40):
-            time.sleep(1)
-            got = sorted(map(tuple, spark.table("living").collect()))
-            if got:
-                break
-        assert got == [("a", 0.7), ("b", 0.1)]
-    finally:
-        q.stop()
