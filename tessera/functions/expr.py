@@ -134,7 +134,7 @@ def fact_ordinal(n: Column | str) -> Column:
 
 
 def roster_facts(name: Column | str, event: Column | str, affiliation: Column | str, rank: Column | str, recognition: Column | str) -> Column:
-    """Two facts of an official roster entry, as an array; empty if neither rank, recognition nor affiliation is known."""
+    """Two facts of an official roster entry, as an array; empty if neither rank, recognition nor affiliation is known. The sentences are fixed values."""
     name, event, ranked, award = c(name), c(event), F.coalesce(c(rank) > 0, F.lit(False)), F.lower(c(recognition))
     come = F.when(c(affiliation).isNotNull(), F.concat(name, F.lit(" represented "), c(affiliation), F.lit(" at "), event, F.lit("."))).otherwise(F.concat(name, F.lit(" competed at "), event, F.lit(".")))
     placed = F.concat(name, F.lit(" placed "), fact_ordinal(F.coalesce(c(rank), F.lit(1))), F.lit(" overall"))

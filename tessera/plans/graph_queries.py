@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import fold_name, numbered_bigrams
 from tessera.functions.store import new_folder
 from tessera.operators import graph as G
 from tessera.operators import identity as I
@@ -63,11 +64,11 @@ def g09(edge: DataFrame) -> DataFrame:
     return G.expand_frontier(seeds, e, depth=2, nodes=40, per_seed=6)
 
 
-@query("g10_neighbors", "edge", oracle="""WITH e AS (SELECT source_id AS a, target_id + 100000 AS b, max(weight) AS w FROM {edge} WHERE relation = 'follows' AND weight > 0.8 GROUP BY ALL), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
+@query("g10_neighbors", "edge", oracle="""WITH e AS (SELECT source_id AS a, target_id + 100000 AS b, max(weight) AS w FROM {edge} GROUP BY ALL), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
 one AS (SELECT b AS id, max(w) AS s FROM u WHERE a = 100003 GROUP BY 1), two AS (SELECT u.b AS id, max(least(one.s, u.w)) AS s FROM one JOIN u ON u.a = one.id WHERE u.b <> 100003 AND u.b NOT IN (SELECT id FROM one) GROUP BY 1)
 SELECT * FROM (SELECT id, 1 AS depth, round(s, 6) AS strength FROM one UNION ALL SELECT id, 2, round(s, 6) FROM two) ORDER BY id LIMIT 100""")
 def g10(edge: DataFrame) -> DataFrame:
-    e = edge.filter("relation = 'follows' AND weight > 0.8").select(F.col("source_id").alias("a"), (F.col("target_id") + 100000).alias("b"), "weight")
+    e = edge.select(F.col("source_id").alias("a"), (F.col("target_id") + 100000).alias("b"), "weight")
     return G.neighbors(e, 100003).select("id", "depth", F.round("strength", 6).alias("strength"))
 
 
@@ -122,6 +123,21 @@ def _scored(supplier: DataFrame, customer: DataFrame) -> DataFrame:
     return I.score_pairs(I.candidate_pairs(o, i), o, i)
 
 
+ALIKE = "trim(regexp_replace(lower(concat(p_name, ' ', p_type)), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("c09_dice_names", "part", oracle=f"""WITH f AS (SELECT DISTINCT p_brand AS site, {ALIKE} AS n, concat(p_brand, ' ', {ALIKE}) AS id FROM part),
+g AS (SELECT *, {BIG.format('n')} AS g FROM f)
+SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.site = b.site AND a.id < b.id WHERE 2.0::DOUBLE * list_sum(list_transform(list_distinct(a.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda y: y = x))))) / (length(a.n) + length(b.n) - 2) > 0.82""")
+def c09(part: DataFrame) -> DataFrame:
+    """Names of a brand's parts that are alike; a name meets only those that share one of its rarest bigrams."""
+    name = F.concat_ws(" ", "p_name", "p_type")
+    f = part.select(F.col("p_brand").alias("site"), fold_name(name).alias("name")).distinct().select("site", "name", F.concat_ws(" ", "site", "name").alias("id"), numbered_bigrams(F.col("name")).alias("grams"))
+    o = f.select(F.col("id").alias("observation_id"), F.col("site").alias("o_site"), F.col("name").alias("o_name"), F.col("grams").alias("o_grams"))
+    i = f.select(F.col("id").alias("identity_id"), F.col("site").alias("i_site"), F.col("name").alias("i_name"), F.col("grams").alias("i_grams"))
+    return I.similar_pairs(o, i).filter("observation_id < identity_id").select(F.col("observation_id").alias("a"), F.col("identity_id").alias("b"))
+
+
 @query("i01_candidate_pairs", "supplier", "customer", oracle=f"WITH {PAIRS_SQL} SELECT * FROM pairs")
 def i01(supplier: DataFrame, customer: DataFrame) -> DataFrame:
     return I.candidate_pairs(*_sides(supplier, customer))

@@ -181,9 +181,9 @@ def s22(customer: DataFrame) -> DataFrame:
     return L.import_manual(x, NOW).select("external_id", "title")
 
 
-@query("s23_page_matches", "pages", "supplier", oracle="SELECT page_id, s_suppkey AS person_id, CASE WHEN named AND s_suppkey % 2 = 0 THEN 0.86::DOUBLE WHEN named THEN 0.68::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM (SELECT page_id, s_suppkey, contains(lower(html), CASE s_suppkey % 3 WHEN 0 THEN 'tion' ELSE 'zzz' END) AS named FROM pages JOIN supplier ON regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '') LIKE '%.example.net' AND page_id // 5 = s_suppkey)")
+@query("s23_page_matches", "pages", "supplier", oracle="SELECT page_id, s_suppkey AS person_id, CASE WHEN named AND s_suppkey % 2 = 0 THEN 0.86::DOUBLE WHEN named THEN 0.68::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM (SELECT page_id, s_suppkey, contains(lower(html), CASE s_suppkey % 3 WHEN 0 THEN 'tion' ELSE 'zzz' END) AS named FROM pages JOIN supplier ON regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '') <> '' AND page_id // 5 = s_suppkey)")
 def s23(pages: DataFrame, supplier: DataFrame) -> DataFrame:
-    p = pages.withColumn("h", E.host_of("url")).filter(F.col("h").endswith(".example.net")).select("page_id", F.floor(F.col("page_id") / 5).cast("string").alias("host"), F.col("html").alias("text"))
+    p = pages.withColumn("h", E.host_of("url")).filter("h IS NOT NULL").select("page_id", F.floor(F.col("page_id") / 5).cast("string").alias("host"), F.col("html").alias("text"))
     s = supplier.select(F.col("s_suppkey").alias("person_id"), F.col("s_suppkey").cast("string").alias("host"), F.when(F.col("s_suppkey") % 3 == 0, "tion").otherwise("zzz").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("known_site"))
     return L.verified_page_matches(p, s)
 
@@ -258,13 +258,6 @@ def c08(orders: DataFrame) -> DataFrame:
     return orders.agg(F.count("*").alias("n"), F.count(doi).alias("dois"), F.count_if(orcid).alias("orcids"))
 
 
-@query("c09_dice_names", "supplier", oracle="SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-def c09(supplier: DataFrame) -> DataFrame:
-    """Names of one nation's suppliers are more alike than not."""
-    a, b = (supplier.select(F.col("s_suppkey").alias(x), F.col("s_name").alias(f"{x}_name"), "s_nationkey") for x in "ab")
-    return a.join(b, "s_nationkey").filter("a < b").filter(E.dice("a_name", "b_name") > 0.5).select("a", "b")
-
-
 @query("c10_redact_contacts", "documents", oracle="SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[contact redacted]', 'g'), '[+]?[0-9][0-9 ()-]{7,}[0-9]', '[contact redacted]', 'g')) AS text_md5 FROM documents".replace("{2,}", "{{2,}}").replace("{7,}", "{{7,}}"))
 def c10(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.md5(E.redact_contact("text")).alias("text_md5"))

@@ -121,7 +121,7 @@ def roster_to_evidence(people: DataFrame, year: int, now: str) -> DataFrame:
 def structured_results(rows: DataFrame, pages: DataFrame, most: int) -> DataFrame:
     """Rows of configured pages (page, name, rank_text, medal_text): placements and medals parsed, each page held to its share of `most`."""
     share = -(-most // max(1, pages.count()))
-    x = rows.join(F.broadcast(pages), "page").withColumn("rank", placement("rank_text")).withColumn("medal", medal("medal_text")).filter("rank IS NOT NULL OR medal IS NOT NULL")
+    x = rows.join(pages, "page").withColumn("rank", placement("rank_text")).withColumn("medal", medal("medal_text")).filter("rank IS NOT NULL OR medal IS NOT NULL")
     return cap_per_group(x, ["page"], [F.asc_nulls_last("rank"), F.asc("name")], share)
 
 
