@@ -112,12 +112,14 @@ def neighbors(edges: DataFrame, start: int, depth: int = 2, n: int = 100) -> Dat
 def merge_component_person(people: DataFrame, key: str = "component") -> DataFrame:
     """One person a component: the fields of its most complete observation, and the verified identities of all, e-mail left out.
 
-    people: key, name, headline, biography, website, location, affiliations, identities (array of provider, subject, verified), source_url.
+    people: key, name, headline, biography, website, location, affiliations, identities (array of provider, subject, verified), source_url, and
+    avatar_url and career_stage where there are such columns (else null).
     """
+    people = people.withColumns({c: F.lit(None).cast("string") for c in ("avatar_url", "career_stage") if c not in people.columns})
     some = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0)
     none = F.array().cast("array<string>")
     complete = F.size("identities") * 4 + some("headline") * 2 + some("biography") * 2 + some("website") * 2 + some("location") + F.size(F.coalesce("affiliations", none))
-    fields = F.struct("name", "headline", "biography", "website", "location", "affiliations", "source_url")
+    fields = F.struct("name", "headline", "biography", "website", "location", "affiliations", "avatar_url", "career_stage", "source_url")
     base = people.groupBy(key).agg(F.min_by(fields, F.struct(-complete, F.col("name"), F.col("source_url"))).alias("b"), F.count("*").alias("observations"))
     known = people.select(key, F.explode("identities").alias("i")).filter(F.col("i.verified") & (F.col("i.provider") != "email") & F.col("i.subject").isNotNull())
     one = known.select(key, F.lower("i.provider").alias("provider"), F.lower("i.subject").alias("subject")).distinct()

@@ -38,14 +38,15 @@ def h05(customer: DataFrame) -> DataFrame:
 
 
 PEOPLE = """SELECT CAST(floor(c_custkey / 5) AS BIGINT) AS component, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS headline, CASE WHEN c_custkey % 4 = 1 THEN 'Lives there.' ELSE '' END AS biography,
-CASE WHEN c_custkey % 7 < 3 THEN concat('https://', CAST(c_custkey AS VARCHAR(20)), '.example') END AS website, CASE WHEN c_nationkey > 4 THEN CAST(c_nationkey AS VARCHAR(20)) END AS location, c_custkey, concat('https://e.example/', CAST(c_custkey AS VARCHAR(20))) AS source_url FROM {customer}"""
+CASE WHEN c_custkey % 7 < 3 THEN concat('https://', CAST(c_custkey AS VARCHAR(20)), '.example') END AS website, CASE WHEN c_nationkey > 4 THEN CAST(c_nationkey AS VARCHAR(20)) END AS location, c_custkey, concat('https://e.example/', CAST(c_custkey AS VARCHAR(20))) AS source_url,
+CASE WHEN c_custkey % 2 = 0 THEN concat('https://pic.example/', CAST(c_custkey AS VARCHAR(20))) END AS avatar_url, CASE WHEN c_custkey % 8 = 3 THEN 'student' END AS career_stage FROM {customer}"""
 
 
 @query("g08_merge_component_person", "customer", oracle=f"""WITH p AS (SELECT *, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 3 END AS ids, c_custkey % 3 AS affs FROM ({PEOPLE})),
 b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY component ORDER BY ids * 4 + CASE WHEN headline IS NULL THEN 0 ELSE 2 END + CASE WHEN biography = '' THEN 0 ELSE 2 END + CASE WHEN website IS NULL THEN 0 ELSE 2 END + CASE WHEN location IS NULL THEN 0 ELSE 1 END + affs DESC, name, source_url) = 1),
 i AS (SELECT component, concat('github:g', CAST(c_custkey % 3 AS VARCHAR)) AS i FROM p UNION SELECT component, concat('x:x', CAST(c_custkey AS VARCHAR)) FROM p WHERE ids = 3 AND c_custkey % 2 = 0),
 n AS (SELECT component, string_agg(i, ' ' ORDER BY i) AS identities FROM i GROUP BY 1)
-SELECT component, name, headline, biography, website, location, affs, identities, observations FROM b JOIN n USING (component) JOIN (SELECT component, count(*) AS observations FROM p GROUP BY 1) USING (component)""")
+SELECT component, name, headline, biography, website, location, avatar_url, career_stage, affs, identities, observations FROM b JOIN n USING (component) JOIN (SELECT component, count(*) AS observations FROM p GROUP BY 1) USING (component)""")
 def g08(customer: DataFrame) -> DataFrame:
     p = customer.sparkSession.sql(PEOPLE, customer=customer)
     k = F.col("c_custkey").cast("string")
@@ -55,7 +56,7 @@ def g08(customer: DataFrame) -> DataFrame:
     affiliations = F.array_repeat(F.lit("A place"), (F.col("c_custkey") % 3).cast("int"))
     out = G.merge_component_person(p.withColumn("identities", F.when(F.col("c_custkey") % 6 == 0, F.array(first)).otherwise(three)).withColumn("affiliations", affiliations))
     shown = F.array_join(F.transform("identities", lambda i: F.concat_ws(":", i["provider"], i["subject"])), " ")
-    return out.select("component", "name", "headline", "biography", "website", "location", F.size("affiliations").cast("long").alias("affs"), shown.alias("identities"), "observations")
+    return out.select("component", "name", "headline", "biography", "website", "location", "avatar_url", "career_stage", F.size("affiliations").cast("long").alias("affs"), shown.alias("identities"), "observations")
 
 
 @query("c06_profile_urls", "customer", oracle="SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 1, 5) THEN concat('https://www.linkedin.com/in/u-', CAST(c_custkey AS VARCHAR)) END AS url FROM customer")
