@@ -63,7 +63,8 @@ def merge_turns(turns: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (start and end in code points of each assistant text, end exclusive)."""
+    """conv_id, formatted, loss_spans (start and end in code points of each assistant text, end exclusive). Rows as in merge_turns; a conversation is one
+    string, so its texts together must stay within what a string holds (2 GB)."""
 
     def render(b: Column) -> Column:
         return F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT), F.array_join(F.transform(b["texts"], escape), NEXT), F.lit(END))

@@ -295,8 +295,8 @@ def _numbered(found: DataFrame, level: int) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
-    A null or empty text is its end id alone. Rows that repeat an id are packed each for itself. An empty
-    table gives no rows. Other columns are not read.
+    A null or empty text is its end id alone. Rows that repeat an id are packed each for itself. A very long text
+    is encoded whole and cut into as many pieces as it needs. An empty table gives no rows. Other columns are not read.
     """
     return pack(cut(docs, tokenizer_path, capacity), capacity)
 

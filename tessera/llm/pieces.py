@@ -211,7 +211,8 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (null text: empty; no ids). Other columns are not read."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (null text: empty; no ids), rows that repeat an id each for itself.
+    Texts are encoded whole: a stretch of about two million characters at a time, a longer text by itself. An empty table gives no rows. Other columns are not read."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)

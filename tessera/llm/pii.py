@@ -249,7 +249,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, spans and added: all base spans of each row, and those that patterns add (kind, start, end; code points).
 
     Added spans are free of base spans and of each other: of several kinds at one place the surest pattern's.
-    Null texts are empty. Rows that repeat an id are texts of their own. An empty table gives no rows. Other columns are not read.
+    Null texts are empty. Rows that repeat an id are texts of their own. Very long texts are searched whole. An empty table gives no rows. Other columns are not read.
     """
     return extract(docs, "doc_id")
 

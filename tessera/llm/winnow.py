@@ -157,7 +157,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     Null texts are empty. Equal texts have equal fingerprints. Of rows that repeat an id the next one in order of text
-    follows; an only row follows itself. An empty table gives no rows. Other columns are not read.
+    follows; an only row follows itself. Long texts are fingerprinted whole; one of over 2 ** 28 characters is an error. An empty table gives no rows.
+    Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = with_next(docs.select("doc_id", text.alias("text")).withColumn("prints", fingerprint(F.col("text"))), "doc_id", ["text", "prints"])

@@ -572,7 +572,23 @@ def test_pipeline_equals_its_parts(spark, data):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     comp, _ = brute_components([texts[i] for i in firsts], 5)
     assert sorted(r["doc_id"] for r in rows) == [firsts[i] for i in range(len(firsts)) if comp[i] == i]
-    assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == len(rows)
+    packed = corpus_pipeline.run(spark, data).collect()
+    lib, by_doc, fills = packing.tokenizer(BPE).library, collections.defaultdict(list), collections.defaultdict(list)
+    for x in packed:
+        by_doc[x["doc_id"]].append(x)
+        fills[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert set(by_doc) == {r["doc_id"] for r in rows}
+    # The redacted text's ids, in pieces, none lost and none twice; every sequence gapless and within its capacity.
+    for r in rows:
+        spans = [{"kind": k, "start": a, "end": b} for k, a, b in pii.base_spans(r["text"])]
+        ids = lib.encode(pii.replace_spans(r["text"], spans), add_special_tokens=False).ids + [2]
+        at = 0
+        for x in sorted(by_doc[r["doc_id"]], key=lambda x: x["piece"]):
+            assert x["start"] == at and x["ids_crc32"] == zlib.crc32(np.array(ids[at : at + x["length"]], "<u4").tobytes())
+            at += x["length"]
+        assert at == len(ids)
+    for x in fills.values():
+        assert [o for o, _ in sorted(x)] == [0, *itertools.accumulate(n for _, n in sorted(x))][:-1] and sum(n for _, n in x) <= 1024
 
 
 def test_pipeline_on_odd_tables(spark, tmp_path):
