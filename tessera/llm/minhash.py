@@ -1,6 +1,6 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-1. Each document's word shingles become a set of 64-bit hashes; equal sets are one class, and only
+1. Each document's word shingles become a set of 64-bit hashes; equal sets (by 128 bits) are one class, and only
    classes go on. A class has minwise tokens, by which it branches, and a sketch, by which it is compared.
 2. Independent trees branch the classes by chosen minwise tokens: a node's classes share the tokens on
    its path, two of them to begin with. Nodes of one class end; small nodes compare their sketches exhaustively; large
@@ -144,33 +144,38 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & either).sum(axis=-1) / np.maximum(either.sum(axis=-1), 1)
 
 
-def _class_of(s: np.ndarray) -> int:
+#: Salts of a set's class and of the check that tells sets of one class apart.
+_CLASS, _CHECK = np.uint64(0x632BE59BD9B4E019), np.uint64(0xA0761D6478BD642F)
+
+
+def _bits_of(s: np.ndarray, salt: np.uint64) -> int:
     """64 bits that tell sets apart, as a signed long."""
-    m = mix(s + np.uint64(0x632BE59BD9B4E019))
+    m = mix(s + salt)
     return int(mix(np.array([m.sum(dtype=np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(m) + np.uint64(len(s))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, n_shingles, and class, tokens (4 bytes each) and bins (null for an empty set) of rows (doc_id, key, text)."""
+    """doc_id, key, n_shingles, and class, check, tokens (4 bytes each) and bins (null for an empty set) of rows (doc_id, key, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, cls, minwise, sketches = texts_of(batch), [], [], [], []
+            texts, n, cls, checks, minwise, sketches = texts_of(batch), [], [], [], [], []
             for a, b in runs(texts):
                 for s in shingle_sets(texts[a:b], k):
                     some = len(s) > 0
                     n.append(len(s))
-                    cls.append(_class_of(s) if some else None)
+                    cls.append(_bits_of(s, _CLASS) if some else None)
+                    checks.append(_bits_of(s, _CHECK) if some else None)
                     minwise.append(tokens(s).astype(">u4").tobytes() if some else None)
                     sketches.append(packed(bins(s)) if some else None)
-            columns = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(minwise, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "class", "tokens", "bins"])
+            columns = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(checks, pa.int64()), pa.array(minwise, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "class", "check", "tokens", "bins"])
 
-    return map_arrow(docs.select("doc_id", "key", "text"), rows, "doc_id long, key binary, n_shingles long, class long, tokens binary, bins binary")
+    return map_arrow(docs.select("doc_id", "key", "text"), rows, "doc_id long, key binary, n_shingles long, class long, check long, tokens binary, bins binary")
 
 
 def full_sets(wanted: DataFrame, k: int) -> DataFrame:
-    """node, label, asks, class, shingles (8 bytes each) from rows (text, class, nodes); a text of another class gives none."""
+    """node, label, asks, class, shingles (8 bytes each) from rows (text, class, check, nodes); a text of another check gives none."""
     nodes = "array<struct<node:long,label:long,asks:boolean>>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +183,11 @@ def full_sets(wanted: DataFrame, k: int) -> DataFrame:
             texts = texts_of(batch)
             for a, b in runs(texts):
                 part, sets = batch.slice(a, b - a), shingle_sets(texts[a:b], k)
-                keep = pa.array([len(s) > 0 and _class_of(s) == c for s, c in zip(sets, part.column("class").to_pylist(), strict=True)], pa.bool_())
+                keep = pa.array([len(s) > 0 and _bits_of(s, _CHECK) == c for s, c in zip(sets, part.column("check").to_pylist(), strict=True)], pa.bool_())
                 both = pa.RecordBatch.from_arrays([part.column("nodes"), part.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], ["nodes", "class", "shingles"])
                 yield both.filter(keep)
 
-    return map_arrow(wanted.select("text", "class", "nodes"), rows, f"nodes {nodes}, class long, shingles binary").select(F.explode("nodes").alias("n"), "class", "shingles").select("n.*", "class", "shingles")
+    return map_arrow(wanted.select("text", "class", "check", "nodes"), rows, f"nodes {nodes}, class long, shingles binary").select(F.explode("nodes").alias("n"), "class", "shingles").select("n.*", "class", "shingles")
 
 
 def _token(tree: int, level: int) -> Column:
@@ -342,9 +347,9 @@ def _compared(docs: DataFrame, k: int, classes: DataFrame, assigned: DataFrame)
     Of the texts (docs: key, text), those that a bounded filter on their keys passes are brought to the classes they stand for.
     """
     nodes = assigned.groupBy("class").agg(F.collect_set(F.struct("node", "label", "asks")).alias("nodes"))
-    wanted = stash(nodes.join(classes.select("class", "key"), "class"), "wanted")
+    wanted = stash(nodes.join(classes.select("class", "check", "key"), "class"), "wanted")
     texts = may_match(docs.select("key", "text"), "key", wanted.select("key")).filter("maybe_").select("key", "text").dropDuplicates(["key"])
-    sets = full_sets(texts.join(wanted, "key").select("text", "class", "nodes"), k)
+    sets = full_sets(texts.join(wanted, "key").select("text", "class", "check", "nodes"), k)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
@@ -395,14 +400,30 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     return _verdicts(docs.select("doc_id", "text", key.alias("key")), k).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _classes(some: DataFrame) -> DataFrame:
+    """One row a class; check < last_check if it has several sets."""
+    first = [F.first(c).alias(c) for c in ("n_shingles", "tokens", "bins")]
+    return some.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"), F.count("*").alias("n_docs"), F.min("check").alias("check"), F.max("check").alias("last_check"), *first)
+
+
+def told_apart(sketches: DataFrame, shared: DataFrame) -> DataFrame:
+    """sketches in which different sets of the classes in `shared` have classes of their own."""
+    several = sketches.join(shared.withColumn("several", F.lit(True)), "class", "left")
+    return several.withColumn("class", F.when(F.col("several"), F.xxhash64("class", "check")).otherwise(F.col("class"))).select(*sketches.columns)
+
+
 def _verdicts(docs: DataFrame, k: int) -> DataFrame:
     """near_duplicates of docs (doc_id, text, and a key that tells their rows' texts apart) with each row's key and group (root, null for a text without words)."""
     sketches = stash(sketch(docs, k), "sketches")
     some = sketches.filter("class IS NOT NULL")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "tokens", "bins")]
-    classes = stash(some.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.min("key").alias("key"), F.count("*").alias("n_docs"), *first), "classes")
+    classes = stash(_classes(some), "classes")
+    shared = classes.filter("check < last_check").select("class")
+    if shared.take(1):
+        sketches = stash(told_apart(sketches, shared), "sketches-apart")
+        some = sketches.filter("class IS NOT NULL")
+        classes = stash(_classes(some), "classes")
     groups = candidates(classes.select("class", "tokens", "bins"))
-    roots = _verified(docs, k, classes.select("class", "key", "n_shingles"), groups).withColumnRenamed("node", "class")
+    roots = _verified(docs, k, classes.select("class", "check", "key", "n_shingles"), groups).withColumnRenamed("node", "class")
     labels = stash(classes.select("class", "first_doc", "n_docs").join(roots, "class", "left").select("class", "first_doc", "n_docs", F.coalesce("root", "class").alias("root")), "labels")
     for done in (groups, classes):
         drop_stash(done)

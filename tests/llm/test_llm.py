@@ -191,6 +191,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_sets_that_share_a_class_are_told_apart(spark, monkeypatch):
+    """All texts fall into three classes; only the check tells their sets apart."""
+    real = minhash.sketch
+    monkeypatch.setattr(minhash, "sketch", lambda docs, k: real(docs, k).withColumn("class", F.pmod("class", F.lit(3))))
+    texts, docs = near_table(spark)
+    want, sizes = brute_components(texts, 2)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, 2).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+
+
 def test_template_corpus_loses_no_pair(spark, monkeypatch):
     """Texts that share three quarters of their shingles stay together in last nodes and in a candidate group, both over the limits;
     isolated pairs among them, hardly over the threshold, are linked."""
@@ -289,7 +300,11 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == want
 
 
-def test_patterns_find_what_base_patterns_miss(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_patterns_find_what_base_patterns_miss(spark, monkeypatch, few):
+    """Also where patterns are too many to go to the tasks."""
+    if not few:
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
     rows = [(i, f"please call office phone +1 604 555 {8400 + i} today ok") for i in range(40)] + [(100, "please call office phone 604-555-8469 today ok"), (101, "room 604-555-8469 is free"), (102, "the year 1234567 was")]
     got = {r["doc_id"]: r["spans"] for r in pii.digest_spans(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got[100] == "phone:25:37" and got[101] == "" and got[102] == ""
@@ -319,8 +334,11 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages, labelled.limit(0)).filter("page_id = 1").first()["verdict"] == "allow"
 
 
-def test_mined_rules_equal_brute_force(spark):
-    """Of the mined URLs those are blocked that hold any set of tokens, of any size, which is sure enough."""
+@pytest.mark.parametrize("few", [True, False])
+def test_mined_rules_equal_brute_force(spark, monkeypatch, few):
+    """Of the mined URLs those are blocked that hold any set of tokens, of any size, which is sure enough; also where rules are too many to broadcast."""
+    if not few:
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", 0)
     r = random.Random(11)
     urls = {}
     for _ in range(500):
