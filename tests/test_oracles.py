@@ -52,3 +52,14 @@ def test_row_order_does_not_matter(spark, data):
     a = scoring.score(e, "person_id", "2024-01-31 00:00:00").select("person_id", "total").toPandas()
     b = scoring.score(e.repartition(7, "event_id"), "person_id", "2024-01-31 00:00:00").select("person_id", "total").toPandas()
     assert normal(a) == normal(b)
+
+
+def test_titles_with_references_equal_their_sql(spark, tmp_path):
+    """Named and numeric references of all forms, cut ones, and those that look like two."""
+    titles = ["a &amp; b", "a &amp", "&ampx; &amp;lt; &lt &quot;q&quot;", "&notin; &notit; &not", "&#65;&#x42&#x43; &#0; &#128; &#x110000; &#xD800; &#11; &#99999999999; &#; &#x; &#xg", "\u00a0&nbsp; x\t\n&nbsp;", "&CounterClockwiseContourIntegral; &zzz; &", "&&amp&amp;&", "&lbrace;&NotEqualTilde;", ""]
+    rows = [(i, "u", f"<html><title>{t}</title><body>x</body></html>") for i, t in enumerate(titles)] + [(50, "u", None), (51, "u", "no title"), (51, "u", "no title"), (None, "u", "<title>&eacute;</title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["s17_owned_page_profile"](spark, str(tmp_path)).toPandas()
+    assert normal(got) == normal(c.sql(catalog.ORACLES["s17_owned_page_profile"]).df())
