@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expr import doi_author_key
+from tessera.functions.store import stored
 
 
 def latest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -53,10 +54,21 @@ def unique_match(events: DataFrame, runs: DataFrame, event_key: str, at: str, st
 
 
 def share_any(left: DataFrame, right: DataFrame, key: str, other: str, values: str) -> DataFrame:
-    """Distinct (key, other) that have a value in common; arrays are exploded to an equi-join."""
-    a = left.select(key, F.explode(values).alias("v")).distinct()
-    b = right.select(other, F.explode(values).alias("v")).distinct()
-    return a.join(b, "v").select(key, other).distinct()
+    """Distinct (key, other) that have a value in common.
+
+    Keys of the same set of values are one class. Classes meet by an equi-join on values, and a pair of them only under its least
+    common value, so it is made once; members follow by joins. No pair of keys is shuffled: the last join puts them out.
+    """
+
+    def classes(df: DataFrame, name: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+        own = df.select(name, F.explode(values).alias("v")).groupBy(name).agg(F.sort_array(F.collect_set("v")).alias("set"))
+        own = stored(own.filter("size(set) > 0"), "value-sets")
+        sets = stored(own.select("set").distinct().withColumn("class", F.monotonically_increasing_id()), "value-classes")
+        return own.join(sets, "set").select(name, F.col("class").alias(f"{prefix}_class")), sets.select(F.col("class").alias(f"{prefix}_class"), F.col("set").alias(f"{prefix}_set"), F.explode("set").alias("v"))
+
+    (a, a_sets), (b, b_sets) = classes(left, key, "a"), classes(right, other, "b")
+    met = a_sets.join(b_sets, "v").filter(F.array_min(F.array_intersect("a_set", "b_set")) == F.col("v")).select("a_class", "b_class")
+    return met.join(a, "a_class").join(b, "b_class").select(key, other)
 
 
 def link_authorships(left: DataFrame, right: DataFrame, doi: str = "doi", place: str = "place") -> DataFrame:

@@ -10,6 +10,19 @@ def test_authorships_meet_by_work_and_place(spark):
     assert sorted((r["left_id"], r["right_id"]) for r in joins.link_authorships(left, right).collect()) == [("a", "p"), ("a", "q")]
 
 
+def test_pairs_with_a_common_value_are_never_shuffled(spark):
+    """Each pair once, whatever its values have in common; repeated keys, nulls and empty arrays; what shuffles grows with the rows, not with the pairs."""
+    left = [(1, ["a", "b"]), (2, ["b", "a", "a"]), (3, ["c"]), (3, ["a"]), (4, []), (5, None), (6, [None]), (None, ["b", None])] + [(100 + i, ["x", "y"]) for i in range(300)]
+    right = [(7, ["b", "a"]), (8, ["c", "a"]), (9, ["z"]), (9, ["z"]), (None, ["c"]), (10, [None])] + [(1000 + i, ["y", "x", f"{i % 3}"]) for i in range(400)]
+    sets = lambda rows: {k: {x for i, v in rows if i == k for x in v or () if x is not None} for k, _ in rows}
+    want = sorted(((i, j) for i, x in sets(left).items() for j, y in sets(right).items() if x & y), key=str)
+    tables = spark.createDataFrame(left, "l long, v array<string>"), spark.createDataFrame(right, "r long, v array<string>")
+    found = joins.share_any(*tables, "l", "r", "v")
+    assert sorted(map(tuple, found.collect()), key=str) == want and len(want) > 120_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Deduplicate" not in plan
+
+
 def test_names_in_other_scripts_pair_nobody(spark):
     schema = "{} long, subject string, website string, name string"
     seen = spark.createDataFrame([(1, "s1", None, "日本 太郎"), (2, "s2", None, "Ünal Örs"), (3, None, None, "")], schema.format("observation_id"))
