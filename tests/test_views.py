@@ -38,3 +38,25 @@ def test_pages_of_large_candidates(spark):
     paged = sorted(((r["page"], r["events"]) for r in views.hydrate(candidates, evidence, page=8).filter("candidate_id = 1").collect()), key=lambda x: x[0])
     assert [len(e) for _, e in paged] == [8, 8, 8, 7]
     assert [e for _, p in paged for e in p] == whole[1]["events"]
+
+
+def test_large_candidates_equal_their_sql(spark, data, tmp_path):
+    """A candidate of over a page of events has a row a page, in the query and in its SQL, as the README says."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from tessera.plans import catalog
+
+    n = views.PAGE * 2 + 500
+    events = spark.range(n).select(F.col("id").alias("event_id"), (F.lit("2024-01-03 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{7}").alias("props"))
+    few = spark.range(n, n + 60).select(F.col("id").alias("event_id"), F.lit("2024-01-01 07:00:00").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{7}").alias("props"))
+    customer = spark.range(200).select(F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("m").alias("c_mktsegment"))
+    for name, df in (("events", events.unionByName(few)), ("customer", customer), ("nation", spark.read.parquet(f"{data}/nation.parquet"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for name in ("events", "customer", "nation"):
+        c.execute(f"create view {name} as select * {'replace (CAST(ts AS TIMESTAMP) AS ts)' if name == 'events' else ''} from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted((r["candidate_id"], r["n"], r["ids"]) for r in catalog.QUERIES["p08_hydrate"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(catalog.ORACLES["p08_hydrate"]).fetchall())
+    assert sorted(r[1] for r in got if r[1])[0] == 60 and sum(r[1] for r in got) == n + 60 and len(got) == 201
