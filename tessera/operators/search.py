@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +19,8 @@ from tessera.functions.store import ship, stored
 
 #: Queries searched at once; every task holds them as a matrix, so more are searched in blocks. Similarities worked out at once.
 MAX_QUERIES, CELLS = 10_000, 4_000_000
+#: Texts whose postings make a batch.
+TEXTS = 100
 #: Okapi BM25 parameters.
 K1, B = 1.2, 0.75
 
@@ -33,17 +37,37 @@ def vector_topk(vectors: DataFrame, asked: list[float], threshold: float = 0.55,
 
 
 def query_terms(asked: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(re.findall(r"[a-z]+", asked.lower())))[:20]
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """doc_id, term, tf, n of every row (doc_id, text in lower case): how often it has a term, and how many terms it has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile("[a-z]+")
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for at in range(0, len(ids), TEXTS):
+                own, terms, tf, n = [], [], [], []
+                for i, text in zip(ids[at : at + TEXTS], texts.slice(at, TEXTS), strict=True):
+                    c = Counter(word.findall(text.as_py()))
+                    own += [i] * len(c)
+                    n += [c.total()] * len(c)
+                    terms += c.keys()
+                    tf += c.values()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "term", "tf", "n"])
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(count, "doc_id long, term string, tf long, n long")
+
+
 class TextIndex:
     """Postings of a corpus by path: term, doc_id, tf and n (the document's terms) in hash buckets of the term, and one row of statistics.
 
     Built once; a request reads the buckets of its terms and nothing of the texts. Terms are runs of a-z after lower-casing. Texts of rows
     that share an id count as one document; null ids are left out; null texts have no terms. A term that many documents have is
     spread over several files of its bucket.
+    The terms of a text are counted where it is read, so postings shuffle once, to their buckets. Only rows that share an id are grouped.
     """
 
     BUCKETS = 256
@@ -53,15 +77,19 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str) -> TextIndex:
-        tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda t: t != "")
-        rows = docs.filter("doc_id IS NOT NULL").select("doc_id", tokens.alias("t"))
-        counted = rows.select("doc_id", F.explode_outer("t").alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf"))
-        sizes = counted.groupBy("doc_id").agg(F.sum("tf").alias("n"))
-        index = cls(docs.sparkSession, path)
-        counted = stored(counted, "terms")
-        counted.groupBy("doc_id").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/stats")
-        whole = counted.filter("term IS NOT NULL").join(sizes, "doc_id").select((F.crc32(F.col("term").cast("binary")) % cls.BUCKETS).cast("int").alias("bucket"), "term", "doc_id", "tf", "n")
+        index, rows = cls(docs.sparkSession, path), docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+        ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+        shared = stored(ids.filter("rows > 1").select("doc_id"), "shared-ids")
+        whole = _counted(rows)
+        if shared.take(1):
+            apart = _counted(rows.join(shared, "doc_id", "left_semi")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+            sizes = apart.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+            whole = _counted(rows.join(shared, "doc_id", "left_anti")).unionByName(apart.join(sizes, "doc_id"))
+        whole = whole.select((F.crc32(F.col("term").cast("binary")) % cls.BUCKETS).cast("int").alias("bucket"), "term", "doc_id", "tf", "n")
         whole.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{index.path}/postings")
+        found, documents = index.postings().agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")), rows.agg(F.count_distinct("doc_id").alias("docs"))
+        mean = F.coalesce(F.col("terms").cast("double") / F.nullif("docs", F.lit(0)), F.lit(0.0))
+        documents.crossJoin(F.broadcast(found)).select("docs", mean.alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/stats")  # one row
         return index
 
     def stats(self) -> DataFrame:

@@ -61,3 +61,22 @@ def test_unicode_folds(spark):
     names = ["  Łukasz ﬁne-Öl ", "Ｆｕｌｌ　Ｗｉｄｔｈ", "山田 太郎", "Анна-Мария", "x_y", "", None]
     rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", fold_unicode("n").alias("f")).orderBy("i").collect()
     assert [r["f"] for r in rows] == ["łukasz fine ol", "full width", "山田 太郎", "анна мария", "x y", "", None]
+
+
+def test_building_keeps_no_postings_beside_the_index(spark, tmp_path, monkeypatch):
+    """Between jobs only ids of several rows are kept, and the index is that of a count by hand."""
+    import collections
+    import random
+    import re
+
+    r = random.Random(3)
+    rows = [(i if r.random() < 0.9 else i // 2, " ".join(r.choice(["Fox", "the", "End", "ÉTÉ", "x1y", "-"]) for _ in range(r.randrange(40)))) for i in range(400)]
+    kept, write = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    index = search.TextIndex.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "t"))
+    want = collections.defaultdict(collections.Counter)
+    for i, text in rows:
+        want[i].update(re.findall("[a-z]+", text.lower()))
+    assert sum(df.count() for df in kept) == sum(n > 1 for n in collections.Counter(i for i, _ in rows).values()) > 9
+    assert sorted(map(tuple, index.postings().select("doc_id", "term", "tf", "n").collect())) == sorted((i, t, tf, c.total()) for i, c in want.items() for t, tf in c.items())
+    assert tuple(index.stats().first()) == (len(want), sum(c.total() for c in want.values()) / len(want))
