@@ -25,9 +25,10 @@ def exclude_recent(left: DataFrame, items: DataFrame, key: str, since: Column) -
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Each edge in both directions, so a walk is an equi-join and not a nested loop over an OR."""
-    turned = edges.select(*[F.col(b).alias(a) if x == a else F.col(a).alias(b) if x == b else F.col(x) for x in edges.columns])
-    return edges.unionByName(turned)
+    """Each edge in both directions, so a walk is an equi-join and not a nested loop over an OR. Edges are read once."""
+    way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both = edges.withColumn("way_", F.explode(F.array(way(a, b), way(b, a))))
+    return both.select(*[F.col("way_.a").alias(x) if x == a else F.col("way_.b").alias(x) if x == b else F.col(x) for x in edges.columns])
 
 
 #: No more than so many keys can each hold over 1/HOT of all rows; tables with fewer rows than FEW are joined as they are.

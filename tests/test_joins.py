@@ -100,3 +100,21 @@ def test_similar_names_of_a_site_of_thousands(spark):
     o, i = identity._folded(seen, "observation_id", "o"), identity._folded(known, "identity_id", "i")
     pairs = {tuple(x) for x in identity.similar_pairs(o, i).collect()}
     assert {(k, k) for k in range(0, 4000, 4)} <= pairs and len(pairs) < 4000
+
+
+def test_edges_are_joined_by_more_tasks_as_they_grow(spark, data, monkeypatch):
+    from tessera.functions import store
+    from tessera.plans import bindings
+
+    def edges():
+        return bindings.view(spark, data, "edge").select("source_id", "target_id", "relation", "source_url", "weight", "observed_at")
+
+    turned = lambda: joins.undirected(edges().select("source_id", "target_id"), "source_id", "target_id")
+    whole, both = sorted(map(str, edges().collect())), sorted(map(tuple, turned().collect()))
+    assert both == sorted(p for r in edges().collect() for p in ((r[0], r[1]), (r[1], r[0])))
+    for module in (store, bindings):
+        monkeypatch.setattr(module, "ROWS", 500)
+    n = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    plan = turned()._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 500)}), REPARTITION_BY_NUM" in plan and plan.count("lineitem.parquet") == 1
+    assert sorted(map(str, edges().collect())) == whole and sorted(map(tuple, turned().collect())) == both
