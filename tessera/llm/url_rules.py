@@ -6,9 +6,10 @@ each rule is filed under its rarest token, URL tokens look rules up, and only th
 
 Labels hang on URLs: a page is labelled as blocked if a word of its host is a seed or its own label says so. All other pages stand
 against a rule, so its confidence is a lower bound.
-Mining only proposes rules, and is bounded: tokens that occur in the very same URLs are one item (a rule names them all), and a basket has
-at most ITEMS items, those that most often go with the block label. What it proposes is counted again over the whole baskets, and
-support, confidence and lift are those of all URLs.
+FP-growth only proposes rules, and is bounded: tokens that occur in the very same URLs are one item (a rule names them all), and a basket has
+at most ITEMS items, those that most often go with the block label. Where no blocked basket is cut, it proposes all rules there are; else the
+whole blocked baskets are also gone through set by set. What is proposed is counted again over the whole baskets, and support, confidence
+and lift are those of all URLs.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def seed_label(url: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
 
 
 def _items(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """item, token of the tokens that can be in a rule; and url, items, blocked, with at most ITEMS of them for a URL.
+    """item, token of the tokens that can be in a rule; and url, blocked, items, with at most ITEMS of them for a URL, cut: whether it has more.
 
     Tokens that occur in the very same URLs are one item, named by a digest of where it occurs; a token in fewer than MIN_ROWS
     URLs is in no rule.
@@ -80,20 +81,49 @@ def _items(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = items.filter((F.col("n") >= MIN_ROWS) & (F.col("bad") > 0)).select("token", F.concat_ws(":", "n", "where", "there").alias("item"), (F.col("bad") / F.col("n")).alias("share"))
     items = stash(items, "items")
     best = F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "item"))), lambda x: x["item"])), 1, ITEMS)
-    return items, rows.join(items, "token").groupBy("url", "blocked").agg(best.alias("items"))
+    own = rows.join(items, "token").groupBy("url", "blocked").agg(best.alias("items"), F.count_distinct("item").alias("n"))
+    return items, own.select("url", "blocked", "items", (F.col("n") > ITEMS).alias("cut"))
 
 
-def recount(rules: DataFrame, items: DataFrame, baskets: DataFrame) -> DataFrame:
+def _whole(items: DataFrame, baskets: DataFrame) -> DataFrame:
+    """url, blocked, items: all that a URL has."""
+    whole = baskets.select("url", "blocked", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token").groupBy("url", "blocked").agg(F.collect_set("item").alias("items"))
+    return stash(whole, "whole-baskets")
+
+
+def recount(rules: DataFrame, items: DataFrame, whole: DataFrame) -> DataFrame:
     """antecedent, n, bad: URLs of the whole baskets that hold all items of a rule, and those of them that are blocked. Each rule looks up the URLs of
     its rarest item only."""
-    whole = baskets.select("url", "blocked", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token").groupBy("url", "blocked").agg(F.collect_set("item").alias("items"))
-    whole = stash(whole, "whole-baskets")
     sizes = items.select("item", F.split("item", ":")[0].cast("long").alias("size")).distinct()
     anchors = rules.select("antecedent", F.explode("antecedent").alias("item")).join(sizes, "item").groupBy("antecedent").agg(F.min_by("item", F.struct("size", "item")).alias("item"))
     met = whole.select("items", "blocked", F.explode("items").alias("item")).join(anchors, "item").filter(F.size(F.array_except("antecedent", "items")) == 0)
     return met.groupBy("antecedent").agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("bad"))
 
 
+def grown(items: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """antecedent: sets of items of whole blocked baskets, each by one item larger than the last, of which at least `least` URLs are blocked.
+
+    Without those that are no rule beside a part of theirs: a set that has as many URLs as one of its parts, or a part that is blocked in
+    all of its URLs. Both hold for all larger sets too, so nothing else is lost, and a few URLs of many tokens have few such sets.
+    """
+    held = whole.filter("blocked").select("url", F.explode("items").alias("item"))
+    count = F.split("item", ":")[0].cast("long")
+    sets = stash(items.select(F.array("item").alias("antecedent"), count.alias("n"), F.round(F.col("share") * count).cast("long").alias("bad")).distinct().filter(F.col("bad") >= least), "sets")
+    rows, out = held.select("url", F.array("item").alias("antecedent")), sets.select("antecedent")
+    while True:
+        sets = sets.filter("bad < n")
+        rows = rows.join(sets.select("antecedent"), "antecedent", "left_semi")
+        one = lambda c: rows.select("url", F.slice("antecedent", 1, F.size("antecedent") - 1).alias("head"), F.element_at("antecedent", -1).alias(c))  # noqa: B023, E731
+        rows = stash(one("a").join(one("b"), ["url", "head"]).filter("a < b").select("url", F.concat("head", F.array("a", "b")).alias("antecedent")), "larger-rows")
+        larger = recount(stash(rows.groupBy("antecedent").count().filter(F.col("count") >= least).select("antecedent"), "larger"), items, whole)
+        parts = larger.withColumn("part", F.explode(F.transform("antecedent", lambda x: F.array_except("antecedent", F.array(x)))))
+        free = parts.join(sets.select(F.col("antecedent").alias("part"), F.col("n").alias("part_n")), "part").filter("part_n > n").groupBy("antecedent", "n", "bad").count().filter(F.col("count") == F.size("antecedent"))
+        sets = stash(free.select("antecedent", "n", "bad"), "sets")
+        if not sets.take(1):
+            return out
+        out = out.unionByName(sets.select("antecedent"))
+
+
 def mine_rules(labelled: DataFrame) -> DataFrame:
     """rule_id, anchor, antecedent, confidence, support from (url, blocked); every labelled URL counts once, as blocked if any row says so.
 
@@ -107,14 +137,17 @@ def mine_rules(labelled: DataFrame) -> DataFrame:
     if not bad:
         return spark.createDataFrame([], schema)
     items, urls = _items(baskets)
-    with_label = stash(urls.select(F.when(F.col("blocked"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items")), "item-baskets")
+    with_label = stash(urls.select(F.when(F.col("blocked"), F.array_append("items", BLOCK)).otherwise(F.col("items")).alias("items"), (F.col("blocked") & F.col("cut")).alias("cut")), "item-baskets")
     total = with_label.count()
     if not total:
         return spark.createDataFrame([], schema)
     least = max(MIN_SUPPORT, MIN_ROWS * MIN_CONFIDENCE / total)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=MIN_CONFIDENCE / 2).fit(with_label)
     proposed = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.sort_array("antecedent").alias("antecedent"))
-    counted = recount(stash(proposed, "proposed-rules"), items, baskets)
+    whole = _whole(items, baskets)
+    if with_label.filter("cut").take(1):
+        proposed = proposed.unionByName(grown(items, whole, least * total)).distinct()
+    counted = recount(stash(proposed, "proposed-rules"), items, whole)
     confidence = F.col("bad") / F.col("n")
     sure = (F.col("n") >= MIN_ROWS) & (confidence >= MIN_CONFIDENCE) & (confidence >= MIN_LIFT * bad / n)
     found = stash(counted.filter(sure).select("antecedent", confidence.alias("confidence"), (F.col("bad") / n).alias("support")), "rules")

@@ -369,6 +369,19 @@ def test_mining_long_urls_is_bounded(spark):
     assert len(rules) == 1 and len(rules[0]["antecedent"]) == 25 and rules[0]["confidence"] == 1.0
 
 
+def test_rules_of_tokens_beyond_the_cut_are_found(spark):
+    """Blocked URLs hold twelve tokens that are blocked more often, and two more that are sure only together: the rules are those of all sets."""
+    r = random.Random(4)
+    more = [f"z{chr(97 + i)}" for i in range(12)]
+    urls = {f"https://a.example/{'/'.join([*(z for z in more if r.random() < 0.95), 'xx', 'yy'])}/?u{i}=1": True for i in range(12)}
+    urls |= {f"https://b.example/{w}/?v{w}{i}=1": False for w in ("xx", "yy") for i in range(40)} | {f"https://c.example/{z}/?w{z}{i}=1": i % 10 < 7 for z in more for i in range(20)} | {f"https://d.example/e/?d{i}=1": False for i in range(2000)}
+    labelled = spark.createDataFrame(list(urls.items()), "url string, blocked boolean")
+    rules = [(set(x["antecedent"]), x["confidence"]) for x in url_rules.mine_rules(labelled).collect()]
+    assert ({"p:xx", "p:yy"}, 1.0) in [(s - {"h:a", "h:example"}, c) for s, c in rules]
+    unseen = spark.createDataFrame([("https://q.example/xx/yy/",), ("https://q.example/xx/",)], "url string")
+    assert [tuple(x) for x in url_rules.match_rules(unseen, url_rules.mine_rules(labelled)).collect()] == [("https://q.example/xx/yy/", 1.0)]
+
+
 def test_awkward_urls_and_chats(spark):
     long = "http://x.example/" + "a/" * 50_000 + "?" + "k=1&" * 20_000
     pages = spark.createDataFrame([(1, None, "d"), (None, "", "d"), (2, long, "d"), (2, long, None), (3, "http://casino.example/", "d"), (4, "http://", "d"), (5, "http://É.example?x", "d")], "page_id long, url string, host string")
