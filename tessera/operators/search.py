@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from tessera.functions.store import ship, stored
 
 #: Queries searched at once; every task holds them as a matrix, so more are searched in blocks. Similarities worked out at once.
-MAX_QUERIES, CELLS = 10_000, 4_000_000
+MAX_QUERIES, CELLS = 10_000, 500_000
 #: Texts whose postings make a batch.
 TEXTS = 100
 #: Okapi BM25 parameters.
@@ -183,7 +183,12 @@ def _centres(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (rows @ centres.T * 2 - (centres**2).sum(axis=1)).argmax(axis=1)
+    """The centre of each row, by CELLS distances at a time."""
+    step, half = max(1, CELLS // max(1, len(centres))), (centres**2).sum(axis=1) / 2
+    own = np.empty(len(rows), np.int64)
+    for at in range(0, len(rows), step):
+        own[at : at + step] = (rows[at : at + step] @ centres.T - half).argmax(axis=1)
+    return own
 
 
 class VectorIndex:

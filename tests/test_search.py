@@ -80,3 +80,21 @@ def test_building_keeps_no_postings_beside_the_index(spark, tmp_path, monkeypatc
     assert sum(df.count() for df in kept) == sum(n > 1 for n in collections.Counter(i for i, _ in rows).values()) > 9
     assert sorted(map(tuple, index.postings().select("doc_id", "term", "tf", "n").collect())) == sorted((i, t, tf, c.total()) for i, c in want.items() for t, tf in c.items())
     assert tuple(index.stats().first()) == (len(want), sum(c.total() for c in want.values()) / len(want))
+
+
+def test_memory_of_a_search_is_bounded_by_its_blocks():
+    """The distances that are held at once don't grow with rows, lists or queries."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows, centres = r.normal(size=(20_000, 8)), r.normal(size=(1024, 8))
+    tracemalloc.start()
+    own = search._nearest(rows, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * 1024 * 8 / 4
+    some = r.choice(20_000, 50, replace=False)
+    assert [((centres - rows[i]) ** 2).sum(axis=1).argmin() for i in some] == own[some].tolist()
+    assert search._nearest(rows[:0], centres).tolist() == [] and search.CELLS <= 1_000_000
