@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expr import publisher_host
+from tessera.functions.store import ROWS, stored, tasks
 
 
 def evidence_fingerprint(evidence: DataFrame, key: str, policy: str) -> DataFrame:
@@ -57,16 +58,20 @@ def coauthor_edges(works: DataFrame, block: int = 500) -> DataFrame:
     """(a, b, weight) of authors of common works: 0.18 a work, 1 at most.
 
     A work's authors are dealt into blocks of about `block`, and each pair of blocks meets under a key of its own, so no task holds
-    all pairs of a large work; works of one block meet once.
+    all pairs of a large work; works of one block meet once. Tasks are as many as rows and pairs ask for.
     """
-    authors = works.distinct()
-    sizes = authors.groupBy("work").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = authors.join(sizes, "work").withColumn("own", F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int"))
+    authors = works.repartition(tasks(works.sparkSession, works.count()), "work").distinct()
+    sizes = authors.groupBy("work").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    dealt = stored(authors.join(sizes, "work").withColumn("own", F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int")), "authors")
+    rows, pairs, names = dealt.agg(F.sum("blocks"), F.sum((F.col("n") - 1) / 2), F.count_distinct("author")).first()
     x = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    left, right = (x.select("work", "i", "j", F.col("author").alias(c), F.col("own").alias(f"{c}_own")) for c in ("a", "b"))
+    left, right = (x.select("work", "i", "j", F.col("author").alias(c), F.col("own").alias(f"{c}_own")).repartition(tasks(works.sparkSession, rows), "work", "i", "j") for c in ("a", "b"))
     # Under a key of two blocks, pairs within one of them are left to that block's own key.
-    pairs = left.join(right, ["work", "i", "j"]).filter("a < b AND (i = j OR a_own <> b_own)")
-    return pairs.groupBy("a", "b").agg(F.round(F.least(F.lit(1.0), 0.18 * F.count("*")), 6).alias("weight"))
+    met = left.join(right, ["work", "i", "j"]).filter("a < b AND (i = j OR a_own <> b_own)").select("a", "b")
+    groups = min(pairs or 0, names**2 / 2)
+    if groups > ROWS * int(works.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        met = met.repartition(tasks(works.sparkSession, groups), "a", "b")
+    return met.groupBy("a", "b").agg(F.round(F.least(F.lit(1.0), 0.18 * F.count("*")), 6).alias("weight"))
 
 
 def edge_upsert(edges: DataFrame) -> DataFrame:
