@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 
 from tessera.functions.store import ship, stored
 
-#: Queries searched at once; every task holds them as a matrix, so more are searched in blocks. Similarities worked out at once.
-MAX_QUERIES, CELLS = 10_000, 500_000
+#: Queries searched at once, and components of theirs; every task holds them as a matrix, so more are searched in blocks. Similarities worked out
+#: at once, and components of the rows compared.
+MAX_QUERIES, MAX_VALUES, CELLS = 10_000, 2_000_000, 500_000
 #: Texts whose postings make a batch.
 TEXTS = 100
 #: Okapi BM25 parameters.
@@ -124,41 +125,56 @@ def hybrid_search(index: TextIndex, vectors: DataFrame, scores: DataFrame, asked
     return x.withColumn("fused", fused).orderBy(F.desc(F.round("fused", 6)), F.desc("score"), "doc_id").limit(max(1, min(100, k)))
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries (query_id, asked) whole, if they are within MAX_QUERIES rows and MAX_VALUES components, else dealt by hash into parts of about half of that."""
+    n, wide = queries.agg(F.count("*"), F.max(F.size("asked"))).first()
+    most = max(1, min(MAX_QUERIES, MAX_VALUES // max(1, wide or 1)))
+    if n <= most:
+        return [queries]
+    blocks = -(-2 * n // most)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def batch_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, vec_id, similarity, place: the k nearest of every query (query_id, asked), all of them against all vectors, in blocks.
 
     A block of queries is one matrix of bounded size that every task holds; vectors come by in Arrow batches, and a task keeps the best k
-    of each query so far, so the last ranking sees k rows a query and task. Over MAX_QUERIES are searched block by block, and stored.
+    of each query so far, so the last ranking sees k rows a query and task. Queries beyond one block are searched block by block, and stored.
     """
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        return _search_block(queries, vectors, k)
-    blocks = -(-2 * n // MAX_QUERIES)
-    asked = lambda i: queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-    return reduce(DataFrame.unionByName, [stored(_search_block(asked(i), vectors, k), "found") for i in range(blocks)])
+    blocks = _blocks(queries)
+    found = (_search_block(asked, vectors, k) for asked in blocks)
+    return next(found) if len(blocks) == 1 else reduce(DataFrame.unionByName, [stored(x, "found") for x in found])
 
 
 def _search_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "asked").collect()  # MAX_QUERIES at most
-    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix))
+    rows = queries.select("query_id", "asked").collect()  # a block at most
+    ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best, who = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), np.int64)
-        step = max(1, CELLS // max(1, len(ids)))
+        asked, who, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # by query, similarity and id: k a query at most
+        low = np.full((len(ids), 1), -np.inf)  # nothing at or under it is among the k, however it is rounded
+        step = max(1, CELLS // max(1, *matrix.shape))
         for batch in batches:
             some = batch.filter(batch.column("embedding").is_valid())
-            own, flat = some.column("vec_id").to_numpy(), some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            for at in range(0, len(own) if len(ids) else 0, step):
-                v = flat.reshape(len(own), -1)[at : at + step]
-                near = matrix @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                near[ids[:, None] == own[None, at : at + step]] = -np.inf
-                best, who = np.hstack([best, near]), np.hstack([who, np.broadcast_to(own[at : at + step], near.shape)])
-                first = np.lexsort((who, -np.round(best, 6)), axis=1)[:, :k]
-                best, who = np.take_along_axis(best, first, 1), np.take_along_axis(who, first, 1)
-        real = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(who[real]), pa.array(best[real])], ["query_id", "vec_id", "similarity"])
+            for at in range(0, some.num_rows if len(ids) else 0, step):
+                part = some.slice(at, step)
+                own, v = part.column("vec_id").to_numpy(), part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                near = matrix @ v.T
+                near[(ids[:, None] == own) | np.isnan(near)] = -np.inf
+                if len(own) > k:
+                    low = np.maximum(low, np.partition(near, -k, axis=1)[:, -k, None] - 2e-6)
+                q, i = np.nonzero(near > low)
+                asked, who, best = np.concatenate([asked, q]), np.concatenate([who, own[i]]), np.concatenate([best, near[q, i]])
+                order = np.lexsort((who, asked * 4_000_000 - np.rint(best * 1e6).astype(np.int64)))
+                asked = asked[order]
+                first = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+                asked, who, best = asked[first], who[order[first]], best[order[first]]
+                last = np.flatnonzero(np.bincount(asked, minlength=len(ids)) == k)
+                low[last, 0] = np.maximum(low[last, 0], best[np.searchsorted(asked, last, "right") - 1] - 2e-6)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array(who), pa.array(best)], ["query_id", "vec_id", "similarity"])
 
     found = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(nearest, "query_id long, vec_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), F.asc("vec_id"))
@@ -270,16 +286,14 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int = 10, probed: int = 80, shortlist: int = 100) -> DataFrame:
         """query_id, vec_id, similarity, place: the k nearest of each query (query_id, asked), itself left out. `probed` percent of the lists are looked
-        up, `shortlist` vectors a query are compared exactly. Queries go in blocks of MAX_QUERIES at most."""
-        n = queries.count()
-        blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
-        asked = lambda i: queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        found = [self._search(asked(i) if blocks > 1 else queries, k, probed, shortlist) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, found if blocks == 1 else [stored(x, "found") for x in found])
+        up, `shortlist` vectors a query are compared exactly. Queries go in blocks."""
+        blocks = _blocks(queries)
+        found = (self._search(asked, k, probed, shortlist) for asked in blocks)
+        return next(found) if len(blocks) == 1 else reduce(DataFrame.unionByName, [stored(x, "found") for x in found])
 
     def candidates(self, queries: DataFrame, probed: int, shortlist: int) -> DataFrame:
         """query_id, vec_id, list of each query's shortlist, by coded vectors."""
-        rows = queries.select("query_id", "asked").collect()  # MAX_QUERIES at most
+        rows = queries.select("query_id", "asked").collect()  # a block at most
         centres, books = self.model()
         ids, matrix = np.array([r[0] for r in rows], np.int64), _units(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, centres.shape[1]))
         near = matrix @ centres.T if len(rows) and books else np.zeros((len(rows), len(centres)))

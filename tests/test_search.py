@@ -98,3 +98,38 @@ def test_memory_of_a_search_is_bounded_by_its_blocks():
     some = r.choice(20_000, 50, replace=False)
     assert [((centres - rows[i]) ** 2).sum(axis=1).argmin() for i in some] == own[some].tolist()
     assert search._nearest(rows[:0], centres).tolist() == [] and search.CELLS <= 1_000_000
+
+
+def test_memory_of_an_exact_search_is_bounded(spark, monkeypatch):
+    """What a task holds doesn't grow with its batches or their width, and a block of queries not with theirs; ties, nulls and zeros as by brute force."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    rows = r.normal(size=(20_000, 256)).astype(np.float32)
+    rows[5000:5040], rows[7], rows[900::1000] = rows[0], 0, rows[1]
+    held = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.array([None if i == 3 else x for i, x in enumerate(rows)], pa.list_(pa.float32()))], ["vec_id", "embedding"])
+    asked = [*range(0, 3), *range(50, 1000, 50)]
+    vectors, sizes = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>"), []
+    queries = spark.createDataFrame([(i, rows[i].tolist()) for i in asked], "query_id long, asked array<float>")
+    tasks, real = [], type(vectors).mapInArrow
+    monkeypatch.setattr(type(vectors), "mapInArrow", lambda df, f, schema: tasks.append(f) or real(df, f, schema))
+    search._search_block(queries, vectors, 10)
+    tracemalloc.start()
+    (out,) = tasks[0](iter([held.slice(0, 11_000), held.slice(11_000)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * 256 * 8 / 2
+    units = rows.astype(np.float64) / np.maximum(np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True), 1e-300)
+    for i in asked:
+        near = np.round(units @ units[i], 6)
+        want = [j for j in np.lexsort((np.arange(20_000), -near)) if j not in (i, 3, 7)][:10]
+        mine = sorted((-round(s, 6), v) for q, v, s in zip(*(c.to_pylist() for c in out.columns), strict=True) if q == i)
+        assert [v for _, v in mine] == want
+    monkeypatch.setattr(search, "MAX_VALUES", 256 * 7, raising=False)
+    block = search._search_block
+    monkeypatch.setattr(search, "_search_block", lambda q, v, k: sizes.append(q.count()) or block(q, v.limit(0), k))
+    assert search.batch_search(queries, vectors).count() == 0
+    assert sum(sizes) == len(asked) and max(sizes) * 256 <= search.MAX_VALUES * 2
