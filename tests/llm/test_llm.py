@@ -382,6 +382,22 @@ def test_rules_of_tokens_beyond_the_cut_are_found(spark):
     assert [tuple(x) for x in url_rules.match_rules(unseen, url_rules.mine_rules(labelled)).collect()] == [("https://q.example/xx/yy/", 1.0)]
 
 
+def test_whole_baskets_are_never_broadcast(spark, monkeypatch):
+    """Files of baskets and sets that repeat their items are small, whatever they take in memory: what is broadcast goes by its counted size."""
+    item = lambda i: f"{2000 + i}:{10**19 + 7919 * i}:{10**19 + 104729 * i}"
+    baskets = spark.range(20_000).select(F.concat(F.lit("http://"), "id").alias("url"), (F.col("id") % 2 == 0).alias("blocked"), F.array(*[F.lit(item(i)) for i in range(10)]).alias("items"))
+    whole = common.stash(baskets, "whole-baskets")
+    sets = [[item(i) for i in s] for k in range(1, 11) for s in itertools.combinations(range(10), k)]
+    rules = common.stash(spark.createDataFrame([(s,) for s in sets], "antecedent array<string>"), "proposed-rules")
+    want = sorted((tuple(s), 20_000, 10_000) for s in sets)
+    for most in (url_rules.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_BYTES", most)
+        counted = url_rules.recount(rules, whole)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == bool(most)
+        assert sorted((tuple(x["antecedent"]), x["n"], x["bad"]) for x in counted.collect()) == want
+
+
 def test_awkward_urls_and_chats(spark):
     long = "http://x.example/" + "a/" * 50_000 + "?" + "k=1&" * 20_000
     pages = spark.createDataFrame([(1, None, "d"), (None, "", "d"), (2, long, "d"), (2, long, None), (3, "http://casino.example/", "d"), (4, "http://", "d"), (5, "http://É.example?x", "d")], "page_id long, url string, host string")
